@@ -47,6 +47,13 @@ def _finite(x: Column) -> Column:
     return F.when(F.abs(x) < F.lit(float("inf")), x)
 
 
+def carries_number(dtype: T.DataType, rule: str = "lenient") -> bool:
+    """Whether any value of the type can be averaged under the rule."""
+    if isinstance(dtype, T.BooleanType):
+        return rule == "lenient"
+    return isinstance(dtype, (T.StringType, T.NumericType))
+
+
 def numeric(col: Column, dtype: T.DataType, rule: str = "lenient") -> Column:
     """Number carried by a value, or NULL.
 
@@ -65,7 +72,7 @@ def numeric(col: Column, dtype: T.DataType, rule: str = "lenient") -> Column:
         return _finite(col.cast("double"))
     if isinstance(dtype, T.NumericType):
         return col.cast("double")
-    if isinstance(dtype, T.BooleanType) and rule == "lenient":
+    if carries_number(dtype, rule):
         return col.cast("int").cast("double")
     return F.lit(None).cast("double")
 
