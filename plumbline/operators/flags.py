@@ -16,7 +16,15 @@ NEAR_UNIQUE_RATIO = 0.98
 NEAR_UNIQUE_DISTINCT = 10
 INFERENCE_VALUES = 20
 
-VALUE_SUMMARY = ("listed", "numeric_listed", "boolean_listed")
+VALUE_SUMMARY = (
+    "all_dates",
+    "all_whole",
+    "all_real",
+    "all_words",
+    "listed",
+    "numeric_listed",
+    "boolean_listed",
+)
 
 
 def summarise_values(ranked: DataFrame) -> DataFrame:
@@ -29,7 +37,7 @@ def summarise_values(ranked: DataFrame) -> DataFrame:
     def every(test: Column) -> Column:
         return F.bool_and(F.when(first, test))
 
-    return ranked.groupBy("ordinal").agg(
+    return ranked.groupBy("cid").agg(
         every(v.rlike(X.ISO_DATE)).alias("all_dates"),
         every(whole).alias("all_whole"),
         every(real).alias("all_real"),

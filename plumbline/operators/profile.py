@@ -1,11 +1,12 @@
 """Column profiles: counts, text extremes, moments, distinct counts, top values.
 
-Two reads per table, whatever its width:
+A whole source is one plan with a fixed number of shuffles, whatever the number
+of tables and columns, and two reads per column:
 
 * ``column_stats``      aggregates without a shuffle of rows;
-* ``value_frequencies`` every column turned into (column, value) rows and counted
-  by one shuffle, with map-side combining, from which the distinct counts, the
-  text extremes and the top values of all columns are taken.
+* ``value_frequencies`` every column of every table turned into (column, value)
+  rows and counted by one shuffle, with map-side combining, from which the
+  distinct counts, the text extremes and the top values are taken.
 
 A frequent value is combined before the shuffle, so it arrives as one row per
 map task.  A long text travels as its SHA-256 digest and a short prefix used
@@ -15,7 +16,7 @@ only for ordering; the whole texts of the few winners are looked up afterwards.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
-from plumbline.functions.types import canonical_type, column_ref
+from plumbline.functions.types import canonical_type
 from plumbline.operators import flags
 
 
@@ -37,7 +38,6 @@ class ProfileOptions:
     ``inline_chars``  longer texts are grouped by digest.
     ``stats_width``   columns per aggregate; wider tables use several, each
                       reading only its own columns.
-    ``expected_types`` declared type per column, overriding the table's own.
     """
 
     top_k: int = 20
@@ -46,7 +46,6 @@ class ProfileOptions:
     pct_base: str = "non_null"
     inline_chars: int = 128
     stats_width: int = 64
-    expected_types: Mapping[str, str] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.deviation not in ("sample", "population"):
@@ -77,6 +76,41 @@ PROFILE_COLUMNS = (
 )
 
 
+@dataclass(frozen=True)
+class ColumnSite:
+    """Where a profiled column lives: ``cid`` numbers all columns of the source."""
+
+    cid: int
+    table: str
+    ordinal: int
+    name: str
+    dtype: T.DataType
+    declared: str
+
+    @property
+    def slot(self) -> tuple[str, str]:
+        return _slot(self.dtype)
+
+    @property
+    def is_text(self) -> bool:
+        return self.slot[0] == "v_string"
+
+
+def column_sites(
+    tables: Mapping[str, DataFrame], expected: Mapping[str, Mapping[str, str]] | None = None
+) -> dict[str, list[ColumnSite]]:
+    """Column sites per table. ``expected`` overrides declared types by table and column."""
+    sites, cid = {}, 0
+    for table, df in tables.items():
+        labels = (expected or {}).get(table, {})
+        sites[table] = []
+        for i, f in enumerate(df.schema.fields):
+            declared = labels.get(f.name, canonical_type(f.dataType))
+            sites[table].append(ColumnSite(cid, table, i, f.name, f.dataType, declared))
+            cid += 1
+    return sites
+
+
 def positional(df: DataFrame) -> DataFrame:
     """Columns renamed to their position, so any name (dots, case) is safe."""
     return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
@@ -85,7 +119,11 @@ def positional(df: DataFrame) -> DataFrame:
 # --- first read: moments and text extremes ----------------------------------
 
 
-def column_stats(df: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
+def column_stats(
+    tables: Mapping[str, DataFrame],
+    sites: Mapping[str, list[ColumnSite]],
+    options: ProfileOptions = ProfileOptions(),
+) -> DataFrame:
     """One row per column: row count, mean, deviation; text min/max of text columns.
 
     Text and typed columns are aggregated apart, so that numeric moments stay in
@@ -93,43 +131,36 @@ def column_stats(df: DataFrame, options: ProfileOptions = ProfileOptions()) -> D
     read once. The text extremes of typed columns come from their distinct
     values, see :func:`value_summary`.
     """
-    columns = list(enumerate(df.schema.fields))
-    texts = [c for c in columns if _slot(c[1].dataType)[0] == "v_string"]
-    typed = [c for c in columns if c not in texts]
-    data, width = positional(df), options.stats_width
-    blocks = [group[i : i + width] for group in (typed, texts) for i in range(0, len(group), width)]
-    return reduce(DataFrame.unionByName, [_stats_block(data, b, options) for b in blocks])
+    blocks, width = [], options.stats_width
+    for table, df in tables.items():
+        data = positional(df)
+        for text in (False, True):
+            group = [s for s in sites[table] if s.is_text is text]
+            blocks += [_stats_block(data, group[i : i + width], options) for i in range(0, len(group), width)]
+    return reduce(DataFrame.union, blocks)
 
 
-def _stats_block(data: DataFrame, block: list, options: ProfileOptions) -> DataFrame:
+def _stats_block(data: DataFrame, block: list[ColumnSite], options: ProfileOptions) -> DataFrame:
     spread = F.stddev_samp if options.deviation == "sample" else F.stddev_pop
     aggregates = [F.count(F.lit(1)).alias("rows")]
     per_column = []
-    for i, f in block:
-        col, none = F.col(f"c{i}"), F.lit(None)
-        low = high = none.cast("string")
-        mean = deviation = none.cast("double")
-        if X.carries_number(f.dataType, options.number_rule):
-            value = X.numeric(col, f.dataType, options.number_rule)
+    for s in block:
+        i = s.ordinal
+        low = high = mean = deviation = "NULL"
+        if X.carries_number(s.dtype, options.number_rule):
+            value = X.numeric(F.col(f"c{i}"), s.dtype, options.number_rule)
             aggregates += [F.avg(value).alias(f"avg{i}"), spread(value).alias(f"sd{i}")]
-            mean, deviation = F.col(f"avg{i}"), F.col(f"sd{i}")
-        if _slot(f.dataType)[0] == "v_string":
-            shown = X.render(col, f.dataType)
+            mean, deviation = f"avg{i}", f"sd{i}"
+        if s.is_text:
+            shown = X.render(F.col(f"c{i}"), s.dtype)
             aggregates += [F.min(shown).alias(f"lo{i}"), F.max(shown).alias(f"hi{i}")]
-            low, high = F.col(f"lo{i}"), F.col(f"hi{i}")
+            low, high = f"lo{i}", f"hi{i}"
         per_column.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(f.name).alias("column"),
-                F.lit(options.expected_types.get(f.name, canonical_type(f.dataType))).alias("declared_type"),
-                F.col("rows").alias("row_count"),
-                low.alias("low"),
-                high.alias("high"),
-                mean.alias("mean_val"),
-                deviation.alias("std_val"),
-            )
+            f"named_struct('cid', {s.cid}, 'row_count', rows, 'low', CAST({low} AS STRING), "
+            f"'high', CAST({high} AS STRING), 'mean_val', CAST({mean} AS DOUBLE), "
+            f"'std_val', CAST({deviation} AS DOUBLE))"
         )
-    return data.agg(*aggregates).select(F.inline(F.array(*per_column)))
+    return data.agg(*aggregates).selectExpr(f"inline(array({', '.join(per_column)}))")
 
 
 # --- second read: value frequencies ----------------------------------------
@@ -148,54 +179,63 @@ def _slot(dtype: T.DataType) -> tuple[str, str]:
 
 @dataclass(frozen=True)
 class Frequencies:
-    """Value counts of a table: ``counts`` has one row per (ordinal, value)."""
+    """Value counts of a source: ``counts`` has one row per (cid, value)."""
 
     counts: DataFrame
     slots: tuple[str, ...]
-    texts: DataFrame | None  # (ordinal, value) rows of the long texts, unread until needed
+    texts: DataFrame | None  # (cid, value) rows of the long texts, unread until needed
 
 
-def value_frequencies(df: DataFrame, options: ProfileOptions = ProfileOptions()) -> Frequencies:
+def value_frequencies(
+    tables: Mapping[str, DataFrame],
+    sites: Mapping[str, list[ColumnSite]],
+    options: ProfileOptions = ProfileOptions(),
+) -> Frequencies:
     """Count every non-null value of every column, typed, in one shuffle."""
-    data = positional(df)
-    members: dict[tuple[str, str], list[tuple[int, T.DataType]]] = {}
-    for i, f in enumerate(df.schema.fields):
-        members.setdefault(_slot(f.dataType), []).append((i, f.dataType))
-
-    parts, texts, slots = [], None, []
-    for (slot, kind), columns in members.items():
-        rows = _unpivot(data, columns, kind)
-        if slot == "v_string":
-            texts = rows.where(F.length("value") > options.inline_chars)
-            rows = rows.select(
-                "ordinal",
-                F.left("value", F.lit(options.inline_chars)).alias(slot),
-                F.when(F.length("value") > options.inline_chars, F.sha2("value", 256)).alias("digest"),
+    kinds = {}  # slot -> type, over all tables
+    for s in (s for group in sites.values() for s in group):
+        kinds[s.slot[0]] = s.slot[1]
+    slots = {**kinds, **({"digest": "string"} if "v_string" in kinds else {})}
+
+    parts, texts = [], []
+    for table, df in tables.items():
+        data = positional(df)
+        for slot, kind in kinds.items():
+            members = [s for s in sites[table] if s.slot[0] == slot]
+            if not members:
+                continue
+            rows = _unpivot(data, members, kind)
+            filled = {slot: "value"}
+            if slot == "v_string":
+                long = f"length(value) > {options.inline_chars}"
+                texts.append(rows.where(long))
+                filled = {
+                    slot: f"left(value, {options.inline_chars})",
+                    "digest": f"CASE WHEN {long} THEN sha2(value, 256) END",
+                }
+            parts.append(
+                rows.selectExpr("cid", *[f"{filled.get(s, f'CAST(NULL AS {t})')} AS {s}" for s, t in slots.items()])
             )
-            slots += [slot, "digest"]
-        else:
-            rows = rows.select("ordinal", F.col("value").alias(slot))
-            slots.append(slot)
-        parts.append(rows)
-    # one column set for all parts; missing slots are NULL literals
-    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    counts = rows.groupBy("ordinal", *slots).agg(F.count(F.lit(1)).alias("count"))
-    return Frequencies(counts, tuple(slots), texts)
-
-
-def _unpivot(data: DataFrame, columns: list[tuple[int, T.DataType]], kind: str) -> DataFrame:
-    """(ordinal, value) rows of the given columns, NULLs dropped."""
+    counts = reduce(DataFrame.union, parts).groupBy("cid", *slots).agg(F.count(F.lit(1)).alias("count"))
+    return Frequencies(counts, tuple(slots), reduce(DataFrame.union, texts) if texts else None)
+
+
+def _unpivot(data: DataFrame, members: list[ColumnSite], kind: str) -> DataFrame:
+    """(cid, value) rows of the given columns, NULLs dropped."""
     shaped = data.select(
         *[
-            (X.render(F.col(f"c{i}"), t) if kind == "string" else F.col(f"c{i}").cast(kind)).alias(str(i))
-            for i, t in columns
+            (
+                X.render(F.col(f"c{s.ordinal}"), s.dtype)
+                if kind == "string"
+                else F.col(f"c{s.ordinal}").cast(kind)
+            ).alias(str(s.cid))
+            for s in members
         ]
     )
-    names = [f"`{i}`" for i, _ in columns]
     return (
-        shaped.unpivot([], names, "position", "value")
-        .where(F.col("value").isNotNull())
-        .select(F.col("position").cast("int").alias("ordinal"), "value")
+        shaped.unpivot([], [f"`{s.cid}`" for s in members], "site", "value")
+        .where("value IS NOT NULL")
+        .selectExpr("CAST(site AS INT) AS cid", "value")
     )
 
 
@@ -206,7 +246,7 @@ def value_summary(freq: Frequencies) -> DataFrame:
     top values on one shuffle, which Spark then runs once.
     """
     shown = _short_text(freq)
-    return freq.counts.groupBy("ordinal").agg(
+    return freq.counts.groupBy("cid").agg(
         F.count(F.lit(1)).alias("distinct_count"),
         F.sum("count").alias("value_count"),
         F.min(shown).alias("short_low"),
@@ -224,51 +264,59 @@ def ranked_values(freq: Frequencies, k: int) -> DataFrame:
     The window filters on ``row_number``, so Spark keeps only k rows per column
     and map partition before the shuffle.
     """
-    order = Window.partitionBy("ordinal").orderBy(
+    order = Window.partitionBy("cid").orderBy(
         F.desc("count"), *[F.asc_nulls_first(s) for s in freq.slots]
     )
     top = freq.counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     short = _short_text(freq)
     if freq.texts is None:
-        return top.select("ordinal", "rank", short.alias("value"), "count")
+        return top.select("cid", "rank", short.alias("value"), "count")
     # Whole texts of the long winners: at most k per text column, so the wanted
     # side of this join is bounded. Without long winners AQE drops the read.
-    wanted = top.where(F.col("digest").isNotNull()).select("ordinal", "digest")
+    wanted = top.where(F.col("digest").isNotNull()).select("cid", "digest")
     found = (
         freq.texts.withColumn("digest", F.sha2("value", 256))
-        .join(F.broadcast(wanted), ["ordinal", "digest"])
-        .groupBy("ordinal", "digest")
+        .join(F.broadcast(wanted), ["cid", "digest"])
+        .groupBy("cid", "digest")
         # one text per digest: the set has one element and aggregates by hash
         .agg(F.element_at(F.collect_set("value"), 1).alias("whole"))
     )
-    return top.join(found, ["ordinal", "digest"], "left").select(
-        "ordinal", "rank", F.coalesce("whole", short).alias("value"), "count"
+    return top.join(found, ["cid", "digest"], "left").select(
+        "cid", "rank", F.coalesce("whole", short).alias("value"), "count"
     )
 
 
 # --- the profile --------------------------------------------------------------
 
 
-def profile_table(name: str, df: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
-    """Profile of one table: one row per column, lazily planned."""
-    freq = value_frequencies(df, options)
+def profile_tables(
+    tables: Mapping[str, DataFrame],
+    options: ProfileOptions = ProfileOptions(),
+    expected_types: Mapping[str, Mapping[str, str]] | None = None,
+) -> DataFrame:
+    """Profile of a whole source: one row per column, lazily planned.
+
+    ``expected_types`` gives, per table and column, the declared type to report
+    instead of the table's own.
+    """
+    tables = {name: df for name, df in tables.items() if df.columns}
+    if not tables:
+        raise ValueError("no columns to profile")
+    sites = column_sites(tables, expected_types)
+    freq = value_frequencies(tables, sites, options)
     top = flags.summarise_values(ranked_values(freq, options.top_k))
-    summary = value_summary(freq)
-    # both sides below have one row per column of the table
+    # all sides below have one row per column of the source
     stats = (
-        column_stats(df, options)
-        .join(F.broadcast(summary), "ordinal", "left")
+        column_stats(tables, sites, options)
+        .join(F.broadcast(value_summary(freq)), "cid", "left")
         .fillna(0, ["distinct_count", "value_count"])
     )
     base = F.col("value_count") if options.pct_base == "non_null" else F.col("row_count")
-    profile = (
-        stats.join(top, "ordinal", "left")
+    return (
+        stats.join(top, "cid", "left")
+        .withColumn("site", _site([s for group in sites.values() for s in group]))
         .select(
-            F.lit(name).alias("table"),
-            "column",
-            "ordinal",
-            "declared_type",
-            flags.inferred_type().alias("inferred_type"),
+            "site.*",
             "row_count",
             (F.col("row_count") - F.col("value_count")).alias("null_count"),
             "distinct_count",
@@ -278,18 +326,32 @@ def profile_table(name: str, df: DataFrame, options: ProfileOptions = ProfileOpt
             "std_val",
             _shares(base).alias("top_values"),
             *flags.VALUE_SUMMARY,
+            _ratio(F.col("row_count") - F.col("value_count"), F.col("row_count")).alias("null_pct"),
+            _ratio(F.col("distinct_count"), F.col("value_count")).alias("cardinality_ratio"),
         )
-        .withColumns(
-            {
-                "null_pct": _ratio(F.col("null_count"), F.col("row_count")),
-                "cardinality_ratio": _ratio(
-                    F.col("distinct_count"), F.col("row_count") - F.col("null_count")
-                ),
-            }
-        )
+        .withColumn("inferred_type", flags.inferred_type())
         .withColumn("pattern_flags", flags.pattern_flags())
+        .select(*PROFILE_COLUMNS)
     )
-    return profile.select(*PROFILE_COLUMNS)
+
+
+def profile_table(name: str, df: DataFrame, options: ProfileOptions = ProfileOptions()) -> DataFrame:
+    """Profile of one table."""
+    return profile_tables({name: df}, options)
+
+
+def _site(sites: list[ColumnSite]) -> Column:
+    """Names and declared type of the column a row is about."""
+    entries = [
+        f"named_struct('table', {_sql_text(s.table)}, 'column', {_sql_text(s.name)}, "
+        f"'ordinal', {s.ordinal}, 'declared_type', {_sql_text(s.declared)})"
+        for s in sites
+    ]
+    return F.element_at(F.expr(f"array({', '.join(entries)})"), F.col("cid") + 1)
+
+
+def _sql_text(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def _ratio(part: Column, whole: Column) -> Column:
@@ -308,30 +370,6 @@ def _shares(base: Column) -> Column:
     return F.coalesce(shares, F.array().cast(f"array<{TOP_VALUE}>"))
 
 
-def profile_tables(
-    tables: Mapping[str, DataFrame],
-    options: ProfileOptions = ProfileOptions(),
-    expected_types: Mapping[str, Mapping[str, str]] | None = None,
-) -> DataFrame:
-    """Profiles of a whole source as one plan; independent tables run together."""
-    if not tables:
-        raise ValueError("no tables to profile")
-    expected = expected_types or {}
-    plans = []
-    for name, df in tables.items():
-        if not df.columns:
-            continue
-        own = options if name not in expected else _with_types(options, expected[name])
-        plans.append(profile_table(name, df, own))
-    return reduce(DataFrame.unionByName, plans)
-
-
-def _with_types(options: ProfileOptions, types: Mapping[str, str]) -> ProfileOptions:
-    from dataclasses import replace
-
-    return replace(options, expected_types={**options.expected_types, **types})
-
-
 def top_values(profile: DataFrame) -> DataFrame:
     """Profile rows to long form: one row per (table, column, rank)."""
     return profile.select(
@@ -358,3 +396,8 @@ def table_shapes(profile: DataFrame) -> DataFrame:
     return profile.groupBy("table").agg(
         F.max("row_count").alias("rows"), F.count(F.lit(1)).alias("columns")
     )
+
+
+def null_band(null_pct: Column) -> Column:
+    """Colour of a null share."""
+    return F.when(null_pct >= 0.5, "red").when(null_pct >= 0.2, "amber").otherwise("green")
