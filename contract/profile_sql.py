@@ -106,7 +106,7 @@ PROFILE_BODY = """SELECT "table", "column", ordinal, declared_type, inferred_typ
 
 
 def profile_sql(view: str, **options) -> str:
-    return with_ctes(profile_ctes(view, **options), PROFILE_BODY.format(tag=""))
+    return with_ctes(profile_ctes(view, **options), PROFILE_BODY.replace("{tag}", ""))
 
 
 def profiles_sql(views: list[str], body: str = PROFILE_BODY) -> str:
@@ -114,7 +114,7 @@ def profiles_sql(views: list[str], body: str = PROFILE_BODY) -> str:
     ctes, parts = [], []
     for n, view in enumerate(views):
         ctes += profile_ctes(view, tag=f"_{n}")
-        parts.append(body.format(tag=f"_{n}"))
+        parts.append(body.replace("{tag}", f"_{n}"))
     return with_ctes(ctes, "\nUNION ALL\n".join(parts))
 
 
@@ -138,4 +138,4 @@ FROM ranked{tag} r JOIN profile{tag} p ON p.ordinal = r.ordinal"""
 
 
 def top_sql(view: str, **options) -> str:
-    return with_ctes(profile_ctes(view, **options), TOP_BODY.format(tag=""))
+    return with_ctes(profile_ctes(view, **options), TOP_BODY.replace("{tag}", ""))

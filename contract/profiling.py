@@ -126,7 +126,7 @@ def register() -> dict[str, tuple]:
     )
     q["top_values_for_display"] = (
         lambda s, d: P.top_values(profile_table("events", load(s, d, "events"))).where("rank <= 5"),
-        S.with_ctes(S.profile_ctes("events"), S.TOP_BODY.format(tag="") + " WHERE r.rnk <= 5"),
+        S.with_ctes(S.profile_ctes("events"), S.TOP_BODY.replace("{tag}", "") + " WHERE r.rnk <= 5"),
     )
     q["numbers_in_text_lenient"] = _numbers("lenient")
     q["numbers_in_text_plain"] = _numbers("plain")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from contract import profiling, relating
+from contract import auditing, profiling, relating
 
-MODULES = [profiling, relating]
+MODULES = [profiling, relating, auditing]
 
 
 def registered() -> dict[str, tuple]:

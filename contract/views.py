@@ -155,3 +155,40 @@ VIEWS |= {
         "sale_id:bigint supplier_id:bigint line_no:int quantity:double",
     ),
 }
+
+# One table with planted defects of every kind, derived from all orders.
+_QUANTITY = "CASE WHEN o_orderkey % 101 = 0 THEN -1 ELSE o_custkey % 9 + 1 END"
+VIEWS["intake"] = _renamed(
+    "orders",
+    "intake_id=CASE WHEN o_orderkey % 40 = 7 THEN o_orderkey - 1 ELSE o_orderkey END;"
+    "customer_id=o_custkey;"
+    "placed=CASE WHEN o_orderkey % 10 = 0 THEN concat(month(o_orderdate), '/', day(o_orderdate), '/', "
+    "year(o_orderdate)) ELSE substring(CAST(o_orderdate AS VARCHAR(40)), 1, 10) END;"
+    "email=concat('user', o_custkey, CASE WHEN o_orderkey % 50 = 0 THEN '_at_' ELSE '@' END, 'example.com');"
+    "priority=CASE WHEN o_orderkey % 11 = 0 THEN lower(o_orderpriority) WHEN o_orderkey % 13 = 0 "
+    "THEN concat(' ', o_orderpriority) ELSE o_orderpriority END;"
+    "amount=CASE WHEN o_orderkey % 997 = 0 THEN o_totalprice * 1000 ELSE o_totalprice END;"
+    f"quantity={_QUANTITY};"
+    "price=o_totalprice;"
+    f"line_total=CASE WHEN o_orderkey % 333 = 0 THEN 1.0 ELSE 0.0 END + ({_QUANTITY}) * o_totalprice;"
+    "code=CASE WHEN o_custkey % 7 = 0 THEN o_orderstatus ELSE CAST(o_custkey % 5 AS VARCHAR(20)) END;"
+    "note=CAST(NULL AS VARCHAR(20));"
+    "phone=CASE WHEN o_orderkey % 4 <> 0 THEN concat('555-01', CAST(o_custkey % 90 + 10 AS VARCHAR(20))) END;"
+    "channel=CASE WHEN o_orderkey % 16 <> 0 THEN o_orderstatus END;"
+    "reviewer=CASE WHEN o_orderkey % 5 < 2 THEN concat('R', CAST(o_custkey % 10 AS VARCHAR(20))) END;"
+    "agent=CASE WHEN o_orderkey % 200 <> 0 THEN concat('A', CAST(o_custkey % 10 AS VARCHAR(20))) END",
+    "intake_id:bigint customer_id:bigint placed:string email:string priority:string amount:double "
+    "quantity:bigint price:double line_total:double code:string note:string phone:string channel:string "
+    "reviewer:string agent:string",
+)
+# texts repeated under different ids
+VIEWS["passages"] = _renamed("documents", "passage_id=doc_id; text=text", "passage_id:bigint text:string")
+# products, copies and dependencies
+VIEWS["invoice"] = _renamed(
+    "lineitem",
+    "order_no=l_orderkey; part_no=l_partkey; quantity=l_quantity; price=l_extendedprice;"
+    "total=l_quantity * l_extendedprice; qty_copy=l_quantity; shelf=l_partkey % 10; half=l_quantity / 2;"
+    "currency='EUR'; flag=l_returnflag; grade=CASE WHEN l_returnflag = 'A' THEN 'first' ELSE 'other' END",
+    "order_no:bigint part_no:bigint quantity:double price:double total:double qty_copy:double shelf:bigint "
+    "half:double currency:string flag:string grade:string",
+)
