@@ -10,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.functions.types import quoted, sql_text
+
 # Shapes of text that carry a type.
 ISO_DATE = (
     r"^[0-9]{4}-[0-9]{2}-[0-9]{2}"
@@ -31,50 +33,48 @@ EMAIL = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\z"
 NUMBER_RULES = ("lenient", "plain")
 
 
-def render(col: Column, dtype: T.DataType) -> Column:
-    """Text form of a value; nested values render as JSON."""
+def rendered(name: str, dtype: T.DataType) -> str:
+    """SQL of a column's text form; nested values render as JSON."""
     if isinstance(dtype, T.StringType):
-        return col
-    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType)):
-        return F.to_json(col)
-    if isinstance(dtype, T.VariantType):
-        return F.to_json(col)
-    return col.cast("string")
-
-
-def _finite(x: Column) -> Column:
-    # NaN sorts above infinity in Spark, so one comparison drops both.
-    return F.when(F.abs(x) < F.lit(float("inf")), x)
+        return quoted(name)
+    if isinstance(dtype, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
+        return f"to_json({quoted(name)})"
+    return f"CAST({quoted(name)} AS STRING)"
 
 
 def carries_number(dtype: T.DataType, rule: str = "lenient") -> bool:
     """Whether any value of the type can be averaged under the rule."""
+    if rule not in NUMBER_RULES:
+        raise ValueError(f"number rule must be one of {NUMBER_RULES}, not {rule!r}")
     if isinstance(dtype, T.BooleanType):
         return rule == "lenient"
     return isinstance(dtype, (T.StringType, T.NumericType))
 
 
-def numeric(col: Column, dtype: T.DataType, rule: str = "lenient") -> Column:
-    """Number carried by a value, or NULL.
+def number(name: str, dtype: T.DataType, rule: str = "lenient") -> str:
+    """SQL of the number a column's value carries, or NULL.
 
     ``lenient`` accepts anything a cast accepts (signs, exponents, leading
     point, booleans as 0/1); ``plain`` accepts digits with an optional minus
-    and fraction, as decimal, whatever the column's type.  Dates and timestamps
-    carry no number under either rule.
+    and fraction, as decimal.  Dates and timestamps carry no number under
+    either rule, and numbers that are not finite count as none.
     """
-    if rule not in NUMBER_RULES:
-        raise ValueError(f"number rule must be one of {NUMBER_RULES}, not {rule!r}")
+    col = quoted(name)
+    if not carries_number(dtype, rule):
+        return "CAST(NULL AS DOUBLE)"
     if isinstance(dtype, T.StringType):
         if rule == "plain":
-            return F.when(col.rlike(PLAIN_NUMBER), col.try_cast("decimal(38,10)").cast("double"))
-        return _finite(F.when(col.rlike(LENIENT_NUMBER), col.try_cast("double")))
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        return _finite(col.cast("double"))
-    if isinstance(dtype, T.NumericType):
-        return col.cast("double")
-    if carries_number(dtype, rule):
-        return col.cast("int").cast("double")
-    return F.lit(None).cast("double")
+            number = f"CAST(try_cast({col} AS DECIMAL(38,10)) AS DOUBLE)"
+            return f"CASE WHEN {col} RLIKE {sql_text(PLAIN_NUMBER)} THEN {number} END"
+        gate, number = f"{col} RLIKE {sql_text(LENIENT_NUMBER)} AND ", f"try_cast({col} AS DOUBLE)"
+    elif isinstance(dtype, (T.FloatType, T.DoubleType)):
+        gate, number = "", f"CAST({col} AS DOUBLE)"
+    elif isinstance(dtype, T.BooleanType):
+        return f"CAST(CAST({col} AS INT) AS DOUBLE)"
+    else:
+        return f"CAST({col} AS DOUBLE)"
+    # NaN sorts above infinity in Spark, so one comparison drops both.
+    return f"CASE WHEN {gate}abs({number}) < double('infinity') THEN {number} END"
 
 
 def key_stem(name: Column) -> Column:

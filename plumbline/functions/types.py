@@ -65,5 +65,10 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
+def sql_text(text: str) -> str:
+    """Text literal for use inside a SQL expression."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def column_ref(name: str) -> Column:
     return F.col(quoted(name))

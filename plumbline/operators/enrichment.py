@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -18,9 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
-from plumbline.functions.types import column_ref, is_numeric
+from plumbline.functions.types import is_numeric
 from plumbline.operators import findings as FD
 from plumbline.operators.profile import positional
+from plumbline.operators.unions import union_all
 
 
 @dataclass(frozen=True)
@@ -60,7 +60,7 @@ def derivable_columns(
     ]
     claims = _products_left(_probe(df, options), claims, options)
     data = positional(df)
-    number = {i: X.numeric(F.col(f"c{i}"), df.schema.fields[i].dataType) for i in numeric}
+    number = {i: F.expr(X.number(f"c{i}", df.schema.fields[i].dataType)) for i in numeric}
 
     def evidence(claim: tuple[int, ...]) -> Column:
         c, a, b = claim
@@ -163,7 +163,7 @@ def dependencies(
         return df.sparkSession.createDataFrame([], "determinant string, dependent string, `values` bigint")
     # One row per (pair, left, right); the left and right sides travel as text.
     types = {f.name: f.dataType for f in df.schema.fields}
-    data = df.select(*[X.render(column_ref(c), types[c]).alias(f"c{index[c]}") for c in df.columns])
+    data = df.selectExpr(*[f"{X.rendered(c, types[c])} AS c{index[c]}" for c in df.columns])
     sides = F.array(
         *[
             F.struct(
@@ -275,7 +275,7 @@ def enrichment_findings(
     parts = [profile_findings(profile, options=options)]
     for table, df in tables.items():
         parts += table_findings(table, df, facts[table], options)
-    return reduce(DataFrame.unionByName, parts)
+    return union_all(parts)
 
 
 def best(findings: DataFrame, n: int = 5) -> DataFrame:

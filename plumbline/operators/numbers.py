@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.operators.profile import ColumnSite, positional
+from plumbline.operators.unions import union_all
 from plumbline.sources.settle import settle
 
 
@@ -28,9 +28,7 @@ def number_rows(
         if not members:
             continue
         data = positional(df)
-        shaped = data.select(
-            *[X.numeric(F.col(f"c{s.ordinal}"), s.dtype, rule).alias(str(s.cid)) for s in members]
-        )
+        shaped = data.selectExpr(*[f"{X.number(f'c{s.ordinal}', s.dtype, rule)} AS `{s.cid}`" for s in members])
         parts.append(
             shaped.unpivot([], [f"`{s.cid}`" for s in members], "site", "x")
             .where("x IS NOT NULL")
@@ -39,7 +37,7 @@ def number_rows(
     if not parts:
         spark = next(iter(tables.values())).sparkSession
         return spark.createDataFrame([], "cid int, x double")
-    return reduce(DataFrame.union, parts)
+    return union_all(parts)
 
 
 def moments(rows: DataFrame) -> DataFrame:

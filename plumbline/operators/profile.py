@@ -17,15 +17,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
-from plumbline.functions.types import canonical_type
+from plumbline.functions.types import canonical_type, sql_text
 from plumbline.operators import flags
+from plumbline.operators.unions import union_all
 
 
 @dataclass(frozen=True)
@@ -137,30 +137,28 @@ def column_stats(
         for text in (False, True):
             group = [s for s in sites[table] if s.is_text is text]
             blocks += [_stats_block(data, group[i : i + width], options) for i in range(0, len(group), width)]
-    return reduce(DataFrame.union, blocks)
+    return union_all(blocks)
 
 
 def _stats_block(data: DataFrame, block: list[ColumnSite], options: ProfileOptions) -> DataFrame:
-    spread = F.stddev_samp if options.deviation == "sample" else F.stddev_pop
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    per_column = []
+    spread = "stddev_samp" if options.deviation == "sample" else "stddev_pop"
+    aggregates, entries = ["count(1) AS rows"], []
     for s in block:
-        i = s.ordinal
-        low = high = mean = deviation = "NULL"
+        i, low, high, mean, deviation = s.ordinal, "NULL", "NULL", "NULL", "NULL"
         if X.carries_number(s.dtype, options.number_rule):
-            value = X.numeric(F.col(f"c{i}"), s.dtype, options.number_rule)
-            aggregates += [F.avg(value).alias(f"avg{i}"), spread(value).alias(f"sd{i}")]
+            value = X.number(f"c{i}", s.dtype, options.number_rule)
+            aggregates += [f"avg({value}) AS avg{i}", f"{spread}({value}) AS sd{i}"]
             mean, deviation = f"avg{i}", f"sd{i}"
         if s.is_text:
-            shown = X.render(F.col(f"c{i}"), s.dtype)
-            aggregates += [F.min(shown).alias(f"lo{i}"), F.max(shown).alias(f"hi{i}")]
+            shown = X.rendered(f"c{i}", s.dtype)
+            aggregates += [f"min({shown}) AS lo{i}", f"max({shown}) AS hi{i}"]
             low, high = f"lo{i}", f"hi{i}"
-        per_column.append(
+        entries.append(
             f"named_struct('cid', {s.cid}, 'row_count', rows, 'low', CAST({low} AS STRING), "
             f"'high', CAST({high} AS STRING), 'mean_val', CAST({mean} AS DOUBLE), "
             f"'std_val', CAST({deviation} AS DOUBLE))"
         )
-    return data.agg(*aggregates).selectExpr(f"inline(array({', '.join(per_column)}))")
+    return data.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))")
 
 
 # --- second read: value frequencies ----------------------------------------
@@ -208,35 +206,27 @@ def value_frequencies(
             filled = {slot: "value"}
             if slot == "v_string":
                 long = f"length(value) > {options.inline_chars}"
-                texts.append(rows.where(long))
+                texts.append(rows.where(long).selectExpr("CAST(site AS INT) AS cid", "value"))
                 filled = {
                     slot: f"left(value, {options.inline_chars})",
                     "digest": f"CASE WHEN {long} THEN sha2(value, 256) END",
                 }
-            parts.append(
-                rows.selectExpr("cid", *[f"{filled.get(s, f'CAST(NULL AS {t})')} AS {s}" for s, t in slots.items()])
-            )
-    counts = reduce(DataFrame.union, parts).groupBy("cid", *slots).agg(F.count(F.lit(1)).alias("count"))
-    return Frequencies(counts, tuple(slots), reduce(DataFrame.union, texts) if texts else None)
+            keys = [f"{filled.get(s, f'CAST(NULL AS {t})')} AS {s}" for s, t in slots.items()]
+            parts.append(rows.selectExpr("CAST(site AS INT) AS cid", *keys))
+    counts = union_all(parts).groupBy("cid", *slots).agg(F.count(F.lit(1)).alias("count"))
+    return Frequencies(counts, tuple(slots), union_all(texts) if texts else None)
 
 
 def _unpivot(data: DataFrame, members: list[ColumnSite], kind: str) -> DataFrame:
-    """(cid, value) rows of the given columns, NULLs dropped."""
-    shaped = data.select(
+    """(site, value) rows of the given columns, NULLs dropped; ``site`` is the cid as text."""
+    shaped = data.selectExpr(
         *[
-            (
-                X.render(F.col(f"c{s.ordinal}"), s.dtype)
-                if kind == "string"
-                else F.col(f"c{s.ordinal}").cast(kind)
-            ).alias(str(s.cid))
+            (X.rendered(f"c{s.ordinal}", s.dtype) if kind == "string" else f"CAST(c{s.ordinal} AS {kind})")
+            + f" AS `{s.cid}`"
             for s in members
         ]
     )
-    return (
-        shaped.unpivot([], [f"`{s.cid}`" for s in members], "site", "value")
-        .where("value IS NOT NULL")
-        .selectExpr("CAST(site AS INT) AS cid", "value")
-    )
+    return shaped.unpivot([], [f"`{s.cid}`" for s in members], "site", "value").where("value IS NOT NULL")
 
 
 def value_summary(freq: Frequencies) -> DataFrame:
@@ -343,17 +333,13 @@ def profile_table(name: str, df: DataFrame, options: ProfileOptions = ProfileOpt
 def _site(sites: list[ColumnSite]) -> Column:
     """Names and declared type of the column a row is about."""
     entries = [
-        f"named_struct('table', {_sql_text(s.table)}, 'column', {_sql_text(s.name)}, "
-        f"'ordinal', {s.ordinal}, 'declared_type', {_sql_text(s.declared)})"
+        f"named_struct('table', {sql_text(s.table)}, 'column', {sql_text(s.name)}, "
+        f"'ordinal', {s.ordinal}, 'declared_type', {sql_text(s.declared)})"
         for s in sites
     ]
     return F.element_at(F.expr(f"array({', '.join(entries)})"), F.col("cid") + 1)
 
 
-def _sql_text(text: str) -> str:
-    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
-
-
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +20,7 @@ from plumbline.operators import findings as FD
 from plumbline.operators import numbers
 from plumbline.operators.orphans import orphan_counts
 from plumbline.operators.profile import column_sites, positional
+from plumbline.operators.unions import union_all
 from plumbline.sources.settle import settle
 
 
@@ -180,7 +180,7 @@ def value_scan(tables: Mapping[str, DataFrame]) -> DataFrame:
         spark = next(iter(tables.values())).sparkSession
         counts = ", ".join(f"{name} bigint" for name in ("filled", *SHAPES))
         return spark.createDataFrame([], f"`table` string, `column` string, {counts}")
-    return reduce(DataFrame.unionByName, blocks)
+    return union_all(blocks)
 
 
 SHAPES = ("iso_dates", "named_dates", "slashed_dates", "addresses", "numbers", "negatives")
@@ -286,7 +286,7 @@ def label_findings(
     if not parts:
         return None
     folded = (
-        reduce(DataFrame.unionByName, parts)
+        union_all(parts)
         .groupBy("table", "column", "folded")
         .agg(F.count(F.lit(1)).alias("spellings"), F.sum("rows").alias("rows"))
         .where("spellings > 1")
@@ -335,15 +335,15 @@ def duplicate_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
             continue
         col = F.col(f"c{i}")
         if isinstance(f.dataType, T.StringType):
-            text.append(col)
+            text.append(f"c{i}")
         elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)):
-            text.append(X.render(col, f.dataType))
+            text.append(X.rendered(f"c{i}", f.dataType))
         else:
             fixed.append(col.alias(f"f{i}"))
     if text:
         # Texts take part as one digest, so whole texts are never shuffled. JSON keeps
         # column boundaries and NULLs apart.
-        whole = F.to_json(F.struct(*[c.alias(f"t{j}") for j, c in enumerate(text)]))
+        whole = F.to_json(F.struct(*[F.expr(c).alias(f"t{j}") for j, c in enumerate(text)]))
         fixed.append(F.sha2(whole, 256).alias("digest"))
     rows = data.select(*fixed)
     return _repeats(rows.groupBy(*rows.columns))
@@ -368,7 +368,7 @@ def duplicate_row_findings(
         if set(df.columns) - set(keys.get(table, ()))
     ]
     return FD.emit(
-        reduce(DataFrame.unionByName, counted).where("duplicate_rows > 0"),
+        union_all(counted).where("duplicate_rows > 0"),
         FD.finding(
             "POSSIBLE_DUPLICATE", "medium", "red", "Rows repeat under different keys",
             {"duplicate_groups": "duplicate_groups", "duplicate_rows": "duplicate_rows"}, column=None,
@@ -389,7 +389,7 @@ def composite_key_findings(
     ]
     if not counted:
         return None
-    rows = reduce(DataFrame.unionByName, counted).where("duplicate_rows > 0")
+    rows = union_all(counted).where("duplicate_rows > 0")
     return FD.emit(
         rows,
         FD.finding(
@@ -412,7 +412,7 @@ def orphan_findings(tables: Mapping[str, DataFrame], relations: Sequence) -> Dat
     ]
     if not counted:
         return None
-    rows = reduce(DataFrame.unionByName, counted).where("orphan_rows > 0")
+    rows = union_all(counted).where("orphan_rows > 0")
     rate = F.col("orphan_rows") / F.col("referring_rows")
     return FD.emit(
         rows,
@@ -478,9 +478,9 @@ def formula_findings(
     for f in formulas:
         df = tables[f.table]
         types = {x.name: x.dataType for x in df.schema.fields}
-        target, left, right = (X.numeric(column_ref(c), types[c]) for c in (f.target, f.left, f.right))
+        target, left, right = (X.number(c, types[c]) for c in (f.target, f.left, f.right))
         counted.append(
-            df.select((target - left * right).alias("gap")).agg(
+            df.selectExpr(f"{target} - {left} * {right} AS gap").agg(
                 F.count("gap").alias("checked"),
                 F.count_if(F.abs("gap") > t.formula_tolerance).alias("violations"),
             )
@@ -498,7 +498,7 @@ def formula_findings(
     )
     value = F.format_string("round(try_cast(%s AS DOUBLE) * try_cast(%s AS DOUBLE), 2)", left, right)
     return FD.emit(
-        reduce(DataFrame.unionByName, counted).where("violations > 0"),
+        union_all(counted).where("violations > 0"),
         FD.finding(
             "FORMULA_DRIFT", "high", "yellow", F.format_string("Differs from %s * %s", "left", "right"),
             {"violations": "violations", "checked": "checked"},
@@ -545,4 +545,4 @@ def quality_findings(
     ]
     if relations is not None:
         parts.append(orphan_findings(tables, relations.collect()))
-    return reduce(DataFrame.unionByName, [p for p in parts if p is not None])
+    return union_all([p for p in parts if p is not None])

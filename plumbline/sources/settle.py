@@ -3,23 +3,29 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once and cut its lineage with a reliable checkpoint.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    The directory is the one the cluster names in ``spark.checkpoint.dir``. Only
-    a local master may fall back to a temporary directory; on a cluster a
-    missing setting is an error, since an executor's own disk can be lost.
+    Only a local master may fall back to a temporary one; on a cluster a missing
+    setting is an error, since an executor's own disk can be lost.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        configured = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not configured:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-            configured = tempfile.mkdtemp(prefix="plumbline-")
-        context.setCheckpointDir(configured)
-    return df.checkpoint(eager=True)
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+        folder = tempfile.mkdtemp(prefix="plumbline-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute ``df`` once and cut its lineage: a table written to the shared folder
+    and read back. Meant for results bounded by the schema; they end in one file."""
+    path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
+    df.repartition(1).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
