@@ -29,12 +29,39 @@ def marker(entity: str) -> str:
     return f"[REDACTED:{entity}]"
 
 
+def _may_hold(text: Column, entity: str) -> Column:
+    """Cheap necessary condition, so most texts never meet the expensive patterns."""
+    if entity == "EMAIL_ADDRESS":
+        return text.contains("@")
+    if entity == "URL":
+        return text.contains("://")
+    return text.rlike("[0-9]")
+
+
+def _runs(entities: Sequence[str]) -> list[list[str]]:
+    """Consecutive entities that share their necessary condition."""
+    runs: list[list[str]] = []
+    for entity in entities:
+        kind = entity if entity in ("EMAIL_ADDRESS", "URL") else "digits"
+        if runs and runs[-1][0] == kind:
+            runs[-1].append(entity)
+        else:
+            runs.append([kind, entity])
+    return [run[1:] for run in runs]
+
+
+def _replaced(text: Column, entity: str) -> Column:
+    return F.regexp_replace(text, ENTITY_PATTERNS[entity], marker(entity))
+
+
 def redact(text: Column, entities: Sequence[str] = ENTITIES) -> Column:
     """Every recognised entity replaced by its marker; blank text unchanged."""
-    out = text
-    for entity in entities:
-        out = F.regexp_replace(out, ENTITY_PATTERNS[entity], marker(entity))
-    return out
+    for run in _runs(entities):
+        out = text
+        for entity in run:
+            out = _replaced(out, entity)
+        text = F.when(_may_hold(text, run[0]), out).otherwise(text)
+    return text
 
 
 def entity_counts(text: Column, entities: Sequence[str] = ENTITIES) -> dict[str, Column]:
@@ -43,8 +70,12 @@ def entity_counts(text: Column, entities: Sequence[str] = ENTITIES) -> dict[str,
     Each count looks at the text as the earlier entities left it, so a card
     number is not counted a second time as a phone number.
     """
-    counts, left = {}, text
-    for entity in entities:
-        counts[entity] = F.regexp_count(left, F.lit(ENTITY_PATTERNS[entity]))
-        left = F.regexp_replace(left, ENTITY_PATTERNS[entity], marker(entity))
+    counts = {}
+    for run in _runs(entities):
+        possible, left = _may_hold(text, run[0]), text
+        for entity in run:
+            hits = F.regexp_count(left, F.lit(ENTITY_PATTERNS[entity]))
+            counts[entity] = F.when(possible, hits).when(text.isNotNull(), 0)
+            left = _replaced(left, entity)
+        text = F.when(possible, left).otherwise(text)
     return counts

@@ -42,6 +42,24 @@ def rendered(name: str, dtype: T.DataType) -> str:
     return f"CAST({quoted(name)} AS STRING)"
 
 
+# What a text must satisfy, byte by byte, before a shape is worth matching: blanks,
+# signs, points and digits all sort below a colon.
+_FIRST_BYTES = {
+    ISO_DATE: "{c} < ':'",
+    SLASHED_DATE: "{c} < ':'",
+    LENIENT_NUMBER: "{c} < ':'",
+    PLAIN_NUMBER: "{c} < ':'",
+    NAMED_DATE: "{c} >= 'A' AND {c} < '['",
+    EMAIL: "contains({c}, '@')",
+}
+
+
+def matches(name: str, shape: str) -> str:
+    """SQL of a shape test on a text column, cheap for texts that cannot match."""
+    col = quoted(name)
+    return f"({_FIRST_BYTES[shape].format(c=col)} AND {col} RLIKE {sql_text(shape)})"
+
+
 def carries_number(dtype: T.DataType, rule: str = "lenient") -> bool:
     """Whether any value of the type can be averaged under the rule."""
     if rule not in NUMBER_RULES:
@@ -65,8 +83,8 @@ def number(name: str, dtype: T.DataType, rule: str = "lenient") -> str:
     if isinstance(dtype, T.StringType):
         if rule == "plain":
             number = f"CAST(try_cast({col} AS DECIMAL(38,10)) AS DOUBLE)"
-            return f"CASE WHEN {col} RLIKE {sql_text(PLAIN_NUMBER)} THEN {number} END"
-        gate, number = f"{col} RLIKE {sql_text(LENIENT_NUMBER)} AND ", f"try_cast({col} AS DOUBLE)"
+            return f"CASE WHEN {matches(name, PLAIN_NUMBER)} THEN {number} END"
+        gate, number = f"{matches(name, LENIENT_NUMBER)} AND ", f"try_cast({col} AS DOUBLE)"
     elif isinstance(dtype, (T.FloatType, T.DoubleType)):
         gate, number = "", f"CAST({col} AS DOUBLE)"
     elif isinstance(dtype, T.BooleanType):

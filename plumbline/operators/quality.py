@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
-from plumbline.functions.types import column_ref, is_numeric
+from plumbline.functions.types import column_ref, is_numeric, sql_text
 from plumbline.operators import findings as FD
 from plumbline.operators import numbers
 from plumbline.operators.orphans import orphan_counts
@@ -158,24 +158,18 @@ def value_scan(tables: Mapping[str, DataFrame]) -> DataFrame:
     for table, df in tables.items():
         data, aggregates, entries = positional(df), [], []
         for i, f in enumerate(df.schema.fields):
-            col = F.col(f"c{i}")
-            counts = {
-                name: F.count_if(test).alias(f"{name}{i}") for name, test in _shape_tests(col, f.dataType).items()
-            }
-            if not counts:
+            tests = _shape_tests(f"c{i}", f.dataType)
+            if not tests:
                 continue
-            aggregates += [F.count(col).alias(f"filled{i}"), *counts.values()]
-            entry = [F.lit(f.name).alias("column"), F.col(f"filled{i}").alias("filled")]
-            for name in SHAPES:
-                value = F.col(f"{name}{i}") if name in counts else F.lit(0).cast("bigint")
-                entry.append(value.alias(name))
-            entries.append(F.struct(*entry))
-        if entries:
-            blocks.append(
-                data.agg(*aggregates)
-                .select(F.inline(F.array(*entries)))
-                .select(F.lit(table).alias("table"), "*")
+            aggregates.append(f"count(c{i}) AS filled{i}")
+            aggregates += [f"count_if({test}) AS {name}{i}" for name, test in tests.items()]
+            counts = [f"'{name}', {f'{name}{i}' if name in tests else '0L'}" for name in SHAPES]
+            entries.append(
+                f"named_struct('table', {sql_text(table)}, 'column', {sql_text(f.name)}, "
+                f"'filled', filled{i}, {', '.join(counts)})"
             )
+        if entries:
+            blocks.append(data.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))"))
     if not blocks:
         spark = next(iter(tables.values())).sparkSession
         counts = ", ".join(f"{name} bigint" for name in ("filled", *SHAPES))
@@ -186,20 +180,20 @@ def value_scan(tables: Mapping[str, DataFrame]) -> DataFrame:
 SHAPES = ("iso_dates", "named_dates", "slashed_dates", "addresses", "numbers", "negatives")
 
 
-def _shape_tests(col: Column, dtype: T.DataType) -> dict[str, Column]:
+def _shape_tests(name: str, dtype: T.DataType) -> dict[str, str]:
+    """SQL of the shapes a column's values are counted by."""
     if isinstance(dtype, T.StringType):
-        # one parse of the number per value: the sign is visible in the text
-        number = col.rlike(X.LENIENT_NUMBER)
+        number = X.matches(name, X.LENIENT_NUMBER)
         return {
-            "iso_dates": col.rlike(X.ISO_DATE),
-            "named_dates": col.rlike(X.NAMED_DATE),
-            "slashed_dates": col.rlike(X.SLASHED_DATE),
-            "addresses": col.rlike(X.EMAIL),
+            "iso_dates": X.matches(name, X.ISO_DATE),
+            "named_dates": X.matches(name, X.NAMED_DATE),
+            "slashed_dates": X.matches(name, X.SLASHED_DATE),
+            "addresses": X.matches(name, X.EMAIL),
             "numbers": number,
-            "negatives": number & col.rlike(r"^\s*-") & col.rlike(r"^[^eE]*[1-9]"),
+            "negatives": f"(contains({name}, '-') AND {number} AND try_cast({name} AS DOUBLE) < 0)",
         }
     if is_numeric(dtype):
-        return {"numbers": col.isNotNull(), "negatives": col < 0}
+        return {"numbers": f"{name} IS NOT NULL", "negatives": f"{name} < 0"}
     return {}
 
 
@@ -437,6 +431,11 @@ def outlier_statistics(tables: Mapping[str, DataFrame], t: Thresholds = DEFAULT)
             (F.col("hi") - F.col("mean") > limit) | (F.col("mean") - F.col("lo") > limit)
         )
     )
+    # From here on only the columns in question are read: at most all of them.
+    wanted = {r["cid"] for r in far.select("cid").collect()}
+    rows = numbers.number_rows(
+        tables, {table: [s for s in group if s.cid in wanted] for table, group in sites.items()}
+    )
     percentiles = numbers.percentile_discrete(rows, far, t.outlier_quantile)
     bounds = settle(far.join(F.broadcast(percentiles), "cid"))
     extreme = (F.abs(F.col("x") - F.col("mean")) > limit) & (
