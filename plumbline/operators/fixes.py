@@ -160,8 +160,8 @@ def runnable(findings: DataFrame) -> list[tuple[str, Fix]]:
     rows = (
         identified(findings)
         .where((F.col("fix_risk") != "red") & F.col("fix").isNotNull())
-        .select("finding_id", "kind", F.col("tables")[0].alias("table"), "fix_risk", "fix.*")
-        .orderBy(F.desc("kind"), "table", "column", "finding_id")
+        .orderBy(F.desc("kind"), F.col("tables")[0], F.col("column"), "code", "description", "finding_id")
+        .select("finding_id", F.col("tables")[0].alias("table"), "fix_risk", "fix.*")
         .collect()
     )
     return [

@@ -353,14 +353,16 @@ def _repeats(grouped) -> DataFrame:
 
 def duplicate_row_findings(
     tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[str]] | None = None
-) -> DataFrame:
-    """POSSIBLE_DUPLICATE: rows equal on everything but the key."""
+) -> DataFrame | None:
+    """POSSIBLE_DUPLICATE: rows equal on everything but the key. Tables that are all key are left out."""
     keys = keys or {}
     counted = [
         duplicate_rows(df, keys.get(table, ())).select(F.lit(table).alias("table"), "*")
         for table, df in tables.items()
         if set(df.columns) - set(keys.get(table, ()))
     ]
+    if not counted:
+        return None
     return FD.emit(
         union_all(counted).where("duplicate_rows > 0"),
         FD.finding(
