@@ -32,7 +32,7 @@ def number_rows(
         parts.append(
             shaped.unpivot([], [f"`{s.cid}`" for s in members], "site", "x")
             .where("x IS NOT NULL")
-            .selectExpr("CAST(site AS INT) AS cid", "x")
+            .selectExpr("coalesce(CAST(site AS INT), -1) AS cid", "x")
         )
     if not parts:
         spark = next(iter(tables.values())).sparkSession

@@ -184,6 +184,11 @@ class Frequencies:
     texts: DataFrame | None  # (cid, value) rows of the long texts, unread until needed
 
 
+# Never NULL, and visibly so: a join on a nullable cid would push a NULL filter into
+# one of the branches that share the frequencies, which would then be counted twice.
+_CID = "coalesce(CAST(site AS INT), -1) AS cid"
+
+
 def value_frequencies(
     tables: Mapping[str, DataFrame],
     sites: Mapping[str, list[ColumnSite]],
@@ -206,13 +211,13 @@ def value_frequencies(
             filled = {slot: "value"}
             if slot == "v_string":
                 long = f"length(value) > {options.inline_chars}"
-                texts.append(rows.where(long).selectExpr("CAST(site AS INT) AS cid", "value"))
+                texts.append(rows.where(long).selectExpr(_CID, "value"))
                 filled = {
                     slot: f"left(value, {options.inline_chars})",
                     "digest": f"CASE WHEN {long} THEN sha2(value, 256) END",
                 }
             keys = [f"{filled.get(s, f'CAST(NULL AS {t})')} AS {s}" for s, t in slots.items()]
-            parts.append(rows.selectExpr("CAST(site AS INT) AS cid", *keys))
+            parts.append(rows.selectExpr(_CID, *keys))
     counts = union_all(parts).groupBy("cid", *slots).agg(F.count(F.lit(1)).alias("count"))
     return Frequencies(counts, tuple(slots), union_all(texts) if texts else None)
 

@@ -256,24 +256,25 @@ def label_findings(
     ``columns`` are the label columns, see :func:`label_columns`. Values are
     reduced to their distinct spellings before they are compared.
     """
-    parts = []
+    parts, chosen = [], set(columns)
     for table, df in tables.items():
-        names = [c for c in df.columns if (table, c) in set(columns)]
+        names = [c for c in df.columns if (table, c) in chosen]
         if not names:
             continue
         data = df.select(*[column_ref(c).alias(f"c{i}") for i, c in enumerate(names)])
         spelled = (
             data.unpivot([], [f"c{i}" for i in range(len(names))], "site", "label")
             .where("label IS NOT NULL")
-            .groupBy("site", "label")
-            .agg(F.count(F.lit(1)).alias("rows"))
+            .selectExpr("site", *_compact("label", "spelling"), *_compact("lower(trim(label))", "folded"))
         )
+        spelled = spelled.groupBy(*spelled.columns).agg(F.count(F.lit(1)).alias("rows"))
         names_by_site = F.array(*[F.lit(n) for n in names])
         parts.append(
             spelled.select(
                 F.lit(table).alias("table"),
                 F.element_at(names_by_site, F.substring("site", 2, 9).cast("int") + 1).alias("column"),
-                F.lower(F.trim("label")).alias("folded"),
+                "folded",
+                "folded_digest",
                 "rows",
             )
         )
@@ -281,7 +282,7 @@ def label_findings(
         return None
     folded = (
         union_all(parts)
-        .groupBy("table", "column", "folded")
+        .groupBy("table", "column", "folded", "folded_digest")
         .agg(F.count(F.lit(1)).alias("spellings"), F.sum("rows").alias("rows"))
         .where("spellings > 1")
         .groupBy("table", "column")
@@ -304,6 +305,14 @@ def label_findings(
     )
 
 
+def _compact(expression: str, name: str, inline: int = 128) -> list[str]:
+    """A text as its beginning and, if that is not all of it, its digest."""
+    return [
+        f"left({expression}, {inline}) AS {name}",
+        f"CASE WHEN length({expression}) > {inline} THEN sha2({expression}, 256) END AS {name}_digest",
+    ]
+
+
 def label_columns(profile: DataFrame, t: Thresholds = DEFAULT) -> list[tuple[str, str]]:
     """(table, column) of text columns that hold labels: bounded by the schema."""
     rows = profile.where(

@@ -66,6 +66,14 @@ def test_shop(spark):
     assert got["customers", "spend", "OUTLIER"]["evidence"]["p95"] == 5700.0
 
 
+def test_long_labels_differ_beyond_their_beginning(spark):
+    long = "x" * 300
+    labels = [long + "A", long + "a", long + "b", "One", "one ", "two"] * 5
+    df = spark.createDataFrame([(v,) for v in labels], "v string")
+    row = Q.label_findings({"t": df}, [("t", "v")]).first()
+    assert row["evidence"] == {"labels": 2.0, "spellings": 4.0, "rows": 20.0}
+
+
 def test_orphans_follow_relations(spark):
     tables = shop(spark)
     tables["customers"] = tables["customers"].where("customer_id <> 1")
