@@ -35,9 +35,15 @@ class Options:
 DEFAULT = Options()
 
 
-def _probe(df: DataFrame, options: Options):
-    """A bounded number of rows as pandas, for refutation only."""
-    return positional(df).limit(options.probe_rows).toPandas()
+def _probe(df: DataFrame, expressions: Mapping[int, str], options: Options):
+    """A bounded number of rows as pandas, for refutation only: numbers and hashes, no texts."""
+    shown = [f"{e} AS c{i}" for i, e in expressions.items()]
+    return positional(df).limit(options.probe_rows).selectExpr(*shown).toPandas()
+
+
+def _hash(value: str) -> str:
+    """SQL of a value's hash as text, NULL for NULL: different hashes mean different values."""
+    return f"CASE WHEN {value} IS NOT NULL THEN CAST(xxhash64({value}) AS STRING) END"
 
 
 def _usable(df: DataFrame, constant: Sequence[str]) -> list[int]:
@@ -58,9 +64,11 @@ def derivable_columns(
     claims = [
         (c, a, b) for a, b in combinations(numeric, 2) for c in numeric if c not in (a, b)
     ]
-    claims = _products_left(_probe(df, options), claims, options)
+    sql = {i: X.number(f"c{i}", df.schema.fields[i].dataType) for i in numeric}
+    if claims:
+        claims = _products_left(_probe(df, sql, options), claims, options)
     data = positional(df)
-    number = {i: F.expr(X.number(f"c{i}", df.schema.fields[i].dataType)) for i in numeric}
+    number = {i: F.expr(e) for i, e in sql.items()}
 
     def evidence(claim: tuple[int, ...]) -> Column:
         c, a, b = claim
@@ -95,8 +103,12 @@ def redundant_pairs(
         for a, b in combinations(usable, 2)
         if fields[a].dataType == fields[b].dataType and _orderable(fields[a].dataType)
     ]
-    sample = _probe(df, options)
-    claims = [(a, b) for a, b in claims if _same(sample[f"c{a}"], sample[f"c{b}"])]
+    if claims:
+        # adding zero makes the two zeros of floating point one, as equality does
+        plus = {i: " + 0" if isinstance(fields[i].dataType, (T.FloatType, T.DoubleType)) else "" for i in usable}
+        hashed = {i: _hash(f"(c{i}{plus[i]})") for i in sorted({i for pair in claims for i in pair})}
+        sample = _probe(df, hashed, options)
+        claims = [(a, b) for a, b in claims if sample[f"c{a}"].tolist() == sample[f"c{b}"].tolist()]
     data = positional(df)
     return _confirmed(
         df, data, claims, lambda p: F.col(f"c{p[0]}").eqNullSafe(F.col(f"c{p[1]}")), ("kept", "copy")
@@ -107,37 +119,31 @@ def _orderable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.VariantType))
 
 
-def _same(x, y) -> bool:
-    both_null = x.isna() & y.isna()
-    return bool(((x == y) | both_null).all()) if x.dtype != object else list(x.where(~x.isna(), None)) == list(
-        y.where(~y.isna(), None)
-    )
-
-
-def _confirmed(df, data, claims, evidence, names) -> DataFrame:
+def _confirmed(df, data, claims, evidence, names, width: int = 200) -> DataFrame:
     """Claims without a counter-example on the whole table, and the rows that bear them out."""
     schema = ", ".join(f"{n} string" for n in names) + ", checked bigint"
     if not claims:
         return df.sparkSession.createDataFrame([], schema)
-    aggregates, entries = [], []
-    for j, claim in enumerate(claims):
-        holds = evidence(claim)
-        aggregates += [F.count_if(~holds).alias(f"broken{j}"), F.count(holds).alias(f"checked{j}")]
-        labels = [F.lit(df.schema.fields[i].name).alias(n) for i, n in zip(claim, names)]
-        entries.append(
-            F.struct(*labels, F.col(f"checked{j}").alias("checked"), F.col(f"broken{j}").alias("broken"))
-        )
-    return (
-        data.agg(*aggregates)
-        .select(F.inline(F.array(*entries)))
-        .where("broken = 0 AND checked > 0")
-        .drop("broken")
-    )
+    blocks = []
+    for start in range(0, len(claims), width):
+        aggregates, entries = [], []
+        for j, claim in enumerate(claims[start : start + width]):
+            holds = evidence(claim)
+            aggregates += [F.count_if(~holds).alias(f"broken{j}"), F.count(holds).alias(f"checked{j}")]
+            labels = [F.lit(df.schema.fields[i].name).alias(n) for i, n in zip(claim, names)]
+            entries.append(
+                F.struct(*labels, F.col(f"checked{j}").alias("checked"), F.col(f"broken{j}").alias("broken"))
+            )
+        blocks.append(data.agg(*aggregates).select(F.inline(F.array(*entries))))
+    return union_all(blocks).where("broken = 0 AND checked > 0").drop("broken")
 
 
 # --- a determines b ---------------------------------------------------------------
 
 
+_DEPENDENCY = "determinant string, dependent string, `values` bigint"
+
+
 def dependencies(
     df: DataFrame,
     determinants: Sequence[str],
@@ -150,20 +156,24 @@ def dependencies(
     shuffle of their distinct value pairs.
     """
     index = {name: i for i, name in enumerate(df.columns)}
-    sample = _probe(df, options)
+    named = sorted({index[c] for c in (*determinants, *dependents)})
+    fields = df.schema.fields
+    if not named:
+        return df.sparkSession.createDataFrame([], _DEPENDENCY)
+    sample = _probe(df, {i: _hash(X.rendered(f"c{i}", fields[i].dataType)) for i in named}, options)
     claims = []
     for a in determinants:
         for b in dependents:
             if a == b:
                 continue
-            pair = sample[[f"c{index[a]}", f"c{index[b]}"]].dropna().astype(str).drop_duplicates()
+            pair = sample[[f"c{index[a]}", f"c{index[b]}"]].dropna().drop_duplicates()
             if not pair[f"c{index[a]}"].duplicated().any():
                 claims.append((a, b))
     if not claims:
-        return df.sparkSession.createDataFrame([], "determinant string, dependent string, `values` bigint")
+        return df.sparkSession.createDataFrame([], _DEPENDENCY)
     # One row per (pair, left, right); the left and right sides travel as text.
-    types = {f.name: f.dataType for f in df.schema.fields}
-    data = df.selectExpr(*[f"{X.rendered(c, types[c])} AS c{index[c]}" for c in df.columns])
+    used = sorted({index[c] for claim in claims for c in claim})
+    data = positional(df).selectExpr(*[f"{X.rendered(f'c{i}', fields[i].dataType)} AS c{i}" for i in used])
     sides = F.array(
         *[
             F.struct(

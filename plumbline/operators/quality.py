@@ -152,24 +152,27 @@ def _duplicate_key(column: str) -> Column:
 # --- rules over values -----------------------------------------------------------
 
 
-def value_scan(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(table, column, counts of each shape): one aggregate per table, no shuffle of rows."""
+def value_scan(tables: Mapping[str, DataFrame], width: int = 32) -> DataFrame:
+    """(table, column, counts of each shape): aggregates without a shuffle of rows."""
     blocks = []
     for table, df in tables.items():
-        data, aggregates, entries = positional(df), [], []
-        for i, f in enumerate(df.schema.fields):
-            tests = _shape_tests(f"c{i}", f.dataType)
-            if not tests:
-                continue
-            aggregates.append(f"count(c{i}) AS filled{i}")
-            aggregates += [f"count_if({test}) AS {name}{i}" for name, test in tests.items()]
-            counts = [f"'{name}', {f'{name}{i}' if name in tests else '0L'}" for name in SHAPES]
-            entries.append(
-                f"named_struct('table', {sql_text(table)}, 'column', {sql_text(f.name)}, "
-                f"'filled', filled{i}, {', '.join(counts)})"
-            )
-        if entries:
-            blocks.append(data.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))"))
+        data, fields = positional(df), list(enumerate(df.schema.fields))
+        # a wide table is cut into blocks of columns, each reading only its own
+        for start in range(0, len(fields), width):
+            aggregates, entries = [], []
+            for i, f in fields[start : start + width]:
+                tests = _shape_tests(f"c{i}", f.dataType)
+                if not tests:
+                    continue
+                aggregates.append(f"count(c{i}) AS filled{i}")
+                aggregates += [f"count_if({test}) AS {name}{i}" for name, test in tests.items()]
+                counts = [f"'{name}', {f'{name}{i}' if name in tests else '0L'}" for name in SHAPES]
+                entries.append(
+                    f"named_struct('table', {sql_text(table)}, 'column', {sql_text(f.name)}, "
+                    f"'filled', filled{i}, {', '.join(counts)})"
+                )
+            if entries:
+                blocks.append(data.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))"))
     if not blocks:
         spark = next(iter(tables.values())).sparkSession
         counts = ", ".join(f"{name} bigint" for name in ("filled", *SHAPES))
