@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -15,7 +14,6 @@ from contract.views import VIEWS, load
 from plumbline import profile_tables
 from plumbline.functions import pii
 from plumbline.operators import enrichment as E
-from plumbline.operators import findings as FD
 from plumbline.operators import fixes as FX
 from plumbline.operators import quality as Q
 from plumbline.operators import redaction

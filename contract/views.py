@@ -42,8 +42,15 @@ class View:
         return _TYPES[dict(self.columns)[column]]
 
 
+_HANDLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """Table handle; its schema is read from the file once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{table}.parquet")
+    if key not in _HANDLES:
+        _HANDLES[key] = spark.read.parquet(key[1])
+    return _HANDLES[key]
 
 
 def _columns(text: str) -> tuple[tuple[str, str], ...]:

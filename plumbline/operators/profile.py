@@ -48,6 +48,9 @@ class ProfileOptions:
     stats_width: int = 64
 
     def __post_init__(self) -> None:
+        if not 1 <= self.top_k <= 1000:
+            # beyond that Spark no longer limits the values per partition
+            raise ValueError(f"top_k must be between 1 and 1000, not {self.top_k}")
         if self.deviation not in ("sample", "population"):
             raise ValueError(f"deviation must be sample or population, not {self.deviation!r}")
         if self.pct_base not in ("non_null", "all"):

@@ -54,3 +54,11 @@ def test_against_sql(spark, database, name):
     query, sql = registered()[name]
     text, ok = compare(spark, database, SF, query, sql)
     assert ok, text
+
+
+@needs_data
+@pytest.mark.parametrize("name", ["profile_orders", "relations_inferred", "orphaned_keys", "quality_duplicate_rows"])
+def test_no_cross_joins_and_no_python(spark, name):
+    plan = registered()[name][0](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    for operator in ("CartesianProduct", "NestedLoopJoin", "EvalPython", "InPandas"):
+        assert operator not in plan
