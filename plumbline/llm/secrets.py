@@ -132,8 +132,9 @@ def scan(
 
 def digest(found: DataFrame) -> DataFrame:
     """The registered query's columns."""
-    counts = [F.size(F.filter("base", lambda s, i=i: s["kind"] == i)).cast("long").alias(f"n_{k.name}") for i, k in enumerate(BASE)]
-    return found.select("doc_id", *counts, F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), "n_live", "n_copied")
+    counts = [F.size(F.filter("base", lambda s: s["name"] == name)).cast("long").alias(f"n_{name}") for name in (k.name for k in BASE)]
+    shown = [F.sha2(_joined(F.col("base")), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans")]
+    return found.select("doc_id", *counts, *shown, "n_live", "n_copied")
 
 
 def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
