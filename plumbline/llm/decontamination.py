@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,7 +189,7 @@ def _tokens_and_index(docs: DataFrame, items: list[tuple], size: int):
         tally = docs.select("_text").mapInArrow(_tally(context.broadcast(tokens), list(tokens)), "k int, at long, n long")
         got = tally.groupBy("k", "at").agg(F.sum("n").alias("n")).toArrow()
         for k in tokens:
-            mine = got.filter(pa.compute.equal(got.column("k"), k))
+            mine = got.filter(pc.equal(got.column("k"), k))
             counts[k][mine.column("at").to_numpy()] = mine.column("n").to_numpy()
     return context.broadcast(windows.index(counts))
 

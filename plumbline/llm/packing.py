@@ -22,6 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -175,8 +176,8 @@ def _running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the range's number, and the full runs and rest tokens before each row in it."""
     part, runs, tokens = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        full = pa.compute.list_value_length(batch.column("full")).to_numpy(zero_copy_only=False).astype(np.int64)
-        rest = pa.compute.binary_length(batch.column("rest")).to_numpy(zero_copy_only=False).astype(np.int64) // 2
+        full = pc.list_value_length(batch.column("full")).to_numpy(zero_copy_only=False).astype(np.int64)
+        rest = pc.binary_length(batch.column("rest")).to_numpy(zero_copy_only=False).astype(np.int64) // 2
         yield pa.RecordBatch.from_arrays(
             [*batch.columns[2:], pa.array(np.full(len(full), part, np.int32))]
             + [pa.array(runs + np.cumsum(full) - full), pa.array(tokens + np.cumsum(rest) - rest)],
