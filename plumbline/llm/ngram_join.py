@@ -35,7 +35,7 @@ from plumbline.llm.hashing import U, as_bytes, constants, mix, shingle_sets
 from plumbline.llm.tables import settle
 
 #: Shingles of more sets than this are indexed in pairs.
-RARE = 16
+RARE = 64
 #: Shingles and texts that one batch holds, and text bytes that one bucket stands for.
 BATCH_TOKENS, BATCH_TEXTS, BUCKET_BYTES = 1 << 20, 1 << 14, 8 << 20
 #: Most shingles that are broadcast as very frequent; which ones does not change results.
@@ -199,17 +199,24 @@ def _signatures(n: int, tokens: np.ndarray, df: np.ndarray) -> list[tuple[int, i
                     a, b = np.triu_indices(len(group), 1)
                     first, second = n_rare + group[a], n_rare + group[b]
                     sign = mix(tokens[first] * _C[1] + tokens[second] * _C[2] + U(scheme + 1))
-                    out += [(s, alone + int(p), slots) for s, p in zip(sign.view(np.int64).tolist(), first, strict=True)]
+                    out += [(s, alone + int(p), min(slots, int(p))) for s, p in zip(sign.view(np.int64).tolist(), first, strict=True)]
     sign = mix(tokens[:last_rare] ^ _C[3]).view(np.int64).tolist()
     return out + [(s, alone + i, 0) for i, s in enumerate(sign)]
 
 
+def _bits(tokens: np.ndarray) -> list[int]:
+    """128 bits, of which each shingle sets one."""
+    out = np.zeros(128, np.uint8)
+    out[(tokens >> U(20)) % U(128)] = 1
+    return np.packbits(out).view(np.int64).tolist()
+
+
 def _sign(table: pa.Table) -> pa.Table:
     """Of a batch: the sets with signatures."""
     kinds = {0: [], 1: [], 2: []}
     for r in table.to_pylist():
         kinds[r["kind"]].append(r)
-    out = {"key": [], "n": [], "tokens": [], "signs": []}
+    out = {"key": [], "n": [], "m": [], "low": [], "high": [], "tokens": [], "signs": []}
     if kinds[0] or kinds[2]:
         found = kinds[0] + kinds[2]
         keys = kinds[1][0]["tokens"]
@@ -225,14 +232,18 @@ def _sign(table: pa.Table) -> pa.Table:
             if signs := _signatures(int(sizes[ref]), tokens[a:b], df[a:b]):
                 out["key"].append(keys[16 * ref : 16 * ref + 16])
                 out["n"].append(int(sizes[ref]))
-                out["tokens"].append(np.sort(tokens[a:b]).tobytes())
+                low, high = _bits(tokens[a:b])
+                out["m"].append(int(b - a))
+                out["low"].append(low)
+                out["high"].append(high)
+                out["tokens"].append(_packed(np.sort(tokens[a:b] >> U(16))))
                 out["signs"].append([{"sign": s, "place": p, "before": m} for s, p, m in signs])
     sign = pa.struct([("sign", pa.int64()), ("place", pa.int32()), ("before", pa.int32())])
-    kinds = [pa.binary(), pa.int64(), pa.binary(), pa.list_(sign)]
+    kinds = [pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.list_(sign)]
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-_SIGNED = "key binary, n long, tokens binary, signs array<struct<sign: long, place: int, before: int>>"
+_SIGNED = "key binary, n long, m long, low long, high long, tokens binary, signs array<struct<sign: long, place: int, before: int>>"
 
 
 def _similar(percent: int):
@@ -240,7 +251,7 @@ def _similar(percent: int):
         for batch in batches:
             keep = []
             for x, y, n, m in zip(*(batch.column(c).to_pylist() for c in ("x", "y", "n", "m")), strict=True):
-                both = len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True))
+                both = len(np.intersect1d(_unpacked(x), _unpacked(y), assume_unique=True))
                 keep.append(100 * both >= percent * (n + m - both))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -273,24 +284,32 @@ def components(links: DataFrame) -> DataFrame:
         labels = labels.select("key", "label")
 
 
+#: What a list says of a member.
+_MEMBER = ["key", "n", "m", "low", "high", "place", "before"]
+
+
 def _fits(a: str, b: str):
-    """Sizes and places allow a similarity of 0.75: at most the rest from the common
-    shingle on, and what may come before it, is shared."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    rest = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) + F.col(f"{a}.before")
-    return (100 * F.least(n, m) >= 75 * F.greatest(n, m)) & (700 * rest >= 300 * (n + m))
+    """Sizes, places and bits allow a similarity of 0.75. Shared are at most what is from the
+    first common shingle on and may come before it; and of the shingles that other sets have,
+    at most those whose bit the other set has too, for each bit at least one less."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    most = F.least(x("n") - x("place"), y("n") - y("place")) + F.least(x("before"), y("before"))
+    for u, v in ((x, y), (y, x)):
+        lacks = sum(F.bit_count(u(c).bitwiseAND(F.bitwise_not(v(c)))) for c in ("low", "high"))
+        most = F.least(most, u("m") - lacks)
+    return (100 * F.least(x("n"), y("n")) >= 75 * F.greatest(x("n"), y("n"))) & (700 * most >= 300 * (x("n") + y("n")))
 
 
 def _links(signed: DataFrame) -> DataFrame:
     """Components of the signed sets: key, label; sets without links may be missing."""
-    lists = signed.select("key", "n", F.explode("signs").alias("s")).select("key", "n", "s.sign", "s.place", "s.before")
+    lists = signed.select(*_MEMBER[:5], F.explode("signs").alias("s")).select(*_MEMBER[:5], "s.sign", "s.place", "s.before")
     several = lists.groupBy("sign").agg(F.count("*").alias("members")).filter("members > 1").select("sign")
     lists = settle(lists.join(several, "sign"))
     found, labels = None, None
     for last in (False, False, True):
         if labels is None:
             named = lists.withColumn("label", F.col("key"))
-            head = F.struct("key", "n", "place", "before", "label")
+            head = F.struct(*_MEMBER, "label")
             chosen = named.groupBy("sign").agg(F.min(head).alias("b"))
         else:
             named = lists.join(labels, "key", "left").withColumn("label", F.coalesce("label", "key"))
@@ -301,11 +320,11 @@ def _links(signed: DataFrame) -> DataFrame:
                 share = named.groupBy("sign", "label").count()
                 main = share.groupBy("sign").agg(F.max(F.struct("count", "label")).alias("main")).select("sign", "main.label")
                 few = named.join(main.withColumnRenamed("label", "largest"), "sign").filter("label != largest")
-                chosen = few.select("sign", F.struct("key", "n", "place", "before", "label").alias("b"))
+                chosen = few.select("sign", F.struct(*_MEMBER, "label").alias("b"))
             else:
-                head = F.struct(F.xxhash64("sign", "key").alias("at"), "key", "n", "place", "before", "label")
+                head = F.struct(F.xxhash64("sign", "key").alias("at"), *_MEMBER, "label")
                 chosen = named.groupBy("sign").agg(F.min(head).alias("b"))
-        left = named.select("sign", F.struct("key", "n", "place", "before", "label").alias("a"))
+        left = named.select("sign", F.struct(*_MEMBER, "label").alias("a"))
         pairs = left.join(chosen, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
         pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
         new = settle(_verified(pairs, signed))
