@@ -79,17 +79,31 @@ def _points(word: np.ndarray, place: np.ndarray) -> np.ndarray:
 
 class Encoder:
     """Token ids of many texts. A pre-token never goes on behind a visible character that
-    white space follows, so texts are cut there, and each distinct piece of a block is
-    encoded once. A piece without ids of its own keeps its place."""
+    white space follows, so texts are cut there, and each distinct piece is encoded once for
+    as long as it is remembered: pieces that follow each other may be encoded as one text,
+    whose tokens' lengths in bytes tell them apart again."""
+
+    #: Pieces remembered, about 30 bytes each.
+    MOST = 2_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids are kept in 16 bits")
-        self.known: dict[int, np.ndarray] = {}
+        # a character of a byte-level token stands for a byte
+        self.bytes = np.zeros(1 << 16, np.int64)
+        for token, i in vocabulary.items():
+            self.bytes[i] = len(token)
+        self.forget()
+
+    def forget(self) -> None:
+        self.names, self.start, self.size, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.new: list[tuple] = []
+        self.n_new = 0
 
     def block(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """ids of the whole block, where each text's begin, word hashes, each text's first word."""
@@ -99,48 +113,84 @@ class Encoder:
         texts = np.arange(len(ends) - 1)
         owner = np.repeat(texts, np.diff(place))
         begin = np.maximum(np.concatenate([[0], end])[:-1], ends[owner]) if len(word) else start
+        gap = start - begin
         # white space at the end of a text is a piece of its own
         last = np.where(np.diff(place) > 0, np.concatenate([[0], end])[place[1:]], ends[:-1])
         tails = last < ends[1:] - 1
-        begin = np.concatenate([begin, last[tails]])
-        stop = np.concatenate([end, (ends[1:] - 1)[tails]])
-        owner = np.concatenate([owner, texts[tails]])
-        body = np.concatenate([word, np.full(tails.sum(), 1, U)])
-        order = np.lexsort((begin, owner))
-        begin, stop, owner, body = begin[order], stop[order], owner[order], body[order]
+        if tails.any():
+            begin = np.concatenate([begin, last[tails]])
+            stop = np.concatenate([end, (ends[1:] - 1)[tails]])
+            gap = np.concatenate([gap, (ends[1:] - 1 - last)[tails]])
+            owner = np.concatenate([owner, texts[tails]])
+            body = np.concatenate([word, np.full(tails.sum(), 1, U)])
+            order = np.lexsort((begin, owner))
+            begin, stop, gap, owner, body = begin[order], stop[order], gap[order], owner[order], body[order]
+        else:
+            stop, body = end, word
         raw = data.tobytes()
-        gap = np.where(body == 1, stop, np.concatenate([start, [0]])[np.minimum(np.searchsorted(start, begin), len(start))]) - begin
-        # most pieces begin with one blank; others add a hash of their white space
-        plain = (gap == 1) & (data[begin] == 32)
-        name = mix(body + _EDGE * np.where(plain, 1, 2).astype(U))
-        for i in np.flatnonzero(~plain):
-            lead = raw[begin[i] : begin[i] + gap[i]]
-            name[i] = mix(name[i : i + 1] + U(zlib.crc32(lead) * 65599 + len(lead) + 1))[0]
+        lead = np.where(gap == 0, 1, 256 + data[np.minimum(begin, len(data) - 1)].astype(np.int64)).astype(U)
+        for i in np.flatnonzero(gap > 1):
+            lead[i] = zlib.crc32(raw[begin[i] : begin[i] + gap[i]]) * 512 + int(gap[i]) % 512 + (1 << 42)
+        name = mix(body + mix(lead * _EDGE))
         distinct, first, at = np.unique(name, return_index=True, return_inverse=True)
-        ids = self.ids(distinct, [(begin[i], stop[i]) for i in first], raw)
-        sizes = np.array([len(x) for x in ids], np.int64)
-        flat = np.concatenate([*ids, np.zeros(0, np.uint16)])
-        origin = np.cumsum(sizes) - sizes
+        # alone: what has no white space before it, or nothing else
+        flat, origin, sizes = self.ids(distinct, begin[first], stop[first], (gap[first] == 0) | (body[first] == 1), raw)
         per_piece = sizes[at]
         # one place more for the end of each text, behind its last piece
         per_text = np.bincount(owner, weights=per_piece, minlength=len(texts)).astype(np.int64) + 1
         out_start = np.concatenate([[0], np.cumsum(per_text)])
-        piece_start = np.cumsum(per_piece) - per_piece + owner
+        before = np.cumsum(per_piece) - per_piece
         out = np.full(out_start[-1], END, np.uint16)
-        step = np.arange(per_piece.sum()) - np.repeat(np.cumsum(per_piece) - per_piece, per_piece)
-        out[np.repeat(piece_start, per_piece) + step] = flat[np.repeat(origin[at], per_piece) + step]
+        step = np.arange(per_piece.sum())
+        out[step + np.repeat(owner, per_piece)] = flat[step + np.repeat(origin[at] - before, per_piece)]
         return out, out_start, word, place
 
-    def ids(self, names: np.ndarray, bounds: list[tuple], raw: bytes) -> list[np.ndarray]:
-        """Ids of the pieces, kept for later blocks up to a bound."""
-        keys = names.tolist()
-        if len(self.known) > 200_000:
-            self.known = {}
-        new = [i for i, k in enumerate(keys) if k not in self.known]
-        texts = [raw[bounds[i][0] : bounds[i][1]].decode("utf-8", "replace") for i in new]
-        for i, e in zip(new, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            self.known[keys[i]] = np.array(e.ids, np.uint16)
-        return [self.known[k] for k in keys]
+    def ids(self, names: np.ndarray, begin: np.ndarray, stop: np.ndarray, alone: np.ndarray, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one behind the other, and each piece's place and number among them."""
+        at = np.minimum(np.searchsorted(self.names, names), max(0, len(self.names) - 1))
+        known = self.names[at] == names if len(self.names) else np.zeros(len(names), bool)
+        start, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
+        start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        single, joined = np.flatnonzero(~known & alone), np.flatnonzero(~known & ~alone)
+        found = self.tokenizer.encode_batch_fast([raw[begin[i] : stop[i]].decode() for i in single], add_special_tokens=False)
+        parts = [np.array(e.ids, np.uint16) for e in found]
+        size[single] = [len(x) for x in parts]
+        text = b"".join([raw[a:b] for a, b in zip(begin[joined].tolist(), stop[joined].tolist(), strict=True)])
+        ids = np.array(self.tokenizer.encode_batch_fast([text.decode()], add_special_tokens=False)[0].ids, np.uint16)
+        ends = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum(stop[joined] - begin[joined])) + 1
+        size[joined] = np.diff(ends, prepend=0)
+        new = np.concatenate([single, joined])
+        flat = np.concatenate([*parts, ids])
+        start[new] = len(self.flat) + np.cumsum(size[new]) - size[new]
+        every = np.concatenate([self.flat, flat])
+        self.new.append((names[new], size[new], flat))
+        self.n_new += len(new)
+        if self.n_new > max(50_000, len(self.names) // 4):
+            self.remember()
+        return every, start, size
+
+    def remember(self) -> None:
+        if len(self.names) + self.n_new > self.MOST:
+            self.forget()
+            return
+        names = np.concatenate([self.names, *(n for n, _, _ in self.new)])
+        size = np.concatenate([self.size, *(s for _, s, _ in self.new)])
+        fresh = np.concatenate([s for _, s, _ in self.new])
+        start = np.concatenate([self.start, len(self.flat) + np.cumsum(fresh) - fresh])
+        self.flat = np.concatenate([self.flat, *(f for _, _, f in self.new)])
+        self.names, order = np.unique(names, return_index=True)
+        self.start, self.size = start[order], size[order]
+        self.new, self.n_new = [], 0
+
+
+_ENCODERS: dict[str, Encoder] = {}
+
+
+def _encoder(path: str) -> Encoder:
+    """One for a worker, which goes on to the next task with what it remembers."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
+    return _ENCODERS[path]
 
 
 _READ = "curve long, text_hash long, doc_id {id}, doc_tokens long, full array<long>, rest binary"
@@ -150,7 +200,7 @@ def _encode(path: str, size: int):
     """Per text: its place on the curve, the checksums of its full runs, the rest's ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = _encoder(path)
         for batch in batches:
             for first, data, ends in blocks(as_bytes(batch.column("text"))):
                 ids, start, word, place = encoder.block(data, ends)
@@ -216,7 +266,8 @@ def pack(docs: DataFrame, size: int = 1024, text: str = "text", doc_id: str = "d
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
-    read = docs.mapInArrow(_encode(path, size), _READ.format(id=kind))
+    # settled, or else finding the ranges' bounds would encode every text once more
+    read = settle(docs.mapInArrow(_encode(path, size), _READ.format(id=kind)))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     lined = read.repartitionByRange(n, "curve", "text_hash", "doc_id").sortWithinPartitions("curve", "text_hash", "doc_id")
     schema = f"doc_id {kind}, doc_tokens long, full array<long>, rest binary, part int, runs_before long, tokens_before long"
