@@ -61,6 +61,19 @@ def _content_root(parents: list[int], mass: list[float]) -> int:
     return at
 
 
+def _named_root(parents: list[int], labels: list[str], mass: list[float]) -> int:
+    """The main part or articles, where markup names one that holds half of all mass; else
+    where most of it is."""
+    total = list(mass)
+    for i in range(len(total) - 1, 0, -1):
+        total[parents[i]] += total[i]
+    for name in ("main", "article"):
+        for i, label in enumerate(labels):
+            if label.split(".")[0] == name and 2 * total[i] >= total[0]:
+                return i
+    return _content_root(parents, mass)
+
+
 def _own_root(page: Folded) -> set[int]:
     """By one page alone: its articles or main part if it has text, else where most text is."""
     sizes = [float(sum(map(len, t)) - link) for t, link in zip(page.texts, page.linked, strict=True)]
@@ -125,7 +138,7 @@ def wrappers(pages: DataFrame) -> DataFrame:
     per_text = distinct.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     per_place = per_text.groupBy("host", "place").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("chars").alias("chars"))
     constant = (F.col("n") >= LEAST) & (F.col("same") >= CONSTANT * F.col("n"))
-    place = F.struct("place", constant.alias("constant"), "chars")
+    place = F.struct("place", constant.alias("constant"), "chars", "n")
     per_host = per_place.groupBy("host").agg(F.collect_list(place).alias("places"))
     return per_host.join(reference, "host").select("host", "reference", "places")
 
@@ -134,14 +147,16 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {"root": [], "template": []}
         for reference, places in zip(batch.column("reference").to_pylist(), batch.column("places").to_pylist(), strict=True):
-            parents = [p for p, _ in json.loads(reference)]
+            parents, labels = zip(*json.loads(reference), strict=True)
             mass, template = [0.0] * len(parents), []
             for p in places:
                 if p["constant"]:
                     template.append(p["place"])
                 else:
                     mass[p["place"]] = float(max(0, p["chars"]))
-            out["root"].append(_content_root(parents, mass) if any(mass) else -1)
+            # of one main text alone nothing is known to vary
+            several = max((p["n"] for p in places), default=0) > 1
+            out["root"].append(_named_root(parents, labels, mass) if several and any(mass) else -1)
             out["template"].append(sorted(template))
         yield pa.RecordBatch.from_arrays(
             [batch.column("host"), batch.column("reference"), pa.array(out["root"], pa.int32()), pa.array(out["template"], pa.list_(pa.int32()))],

@@ -11,11 +11,11 @@ the first in alphabetical order. With nothing to learn from, every text is ``und
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,7 +35,7 @@ FAMILIES = {
     "indic": "bn hi mr ne ur",
 }
 _FAMILY = {code: name for name, codes in FAMILIES.items() for code in codes.split()}
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _GAP = gaps((0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 #: Letters are 1-26 in either case, bytes over 127 keep their value, gaps are 0.
 _CODE = np.arange(256, dtype=np.int64)

@@ -61,7 +61,11 @@ class Model:
         error = np.sqrt(share * (1 - share) * (1 / n_p + 1 / n_u)) + 1e-9
         apart = np.where(in_p + in_u >= 5, np.abs(in_p / n_p - in_u / n_u) / error, 0)
         self.slots = np.sort(np.argsort(-apart, kind="stable")[:MOST]).astype(np.int32)
+        # inputs that tell little have little room to fit noise
+        scale = (apart[self.slots] / max(1e-9, float(apart.max()))).astype(np.float32)
         x_p, x_u = self._dense(positive), self._dense(unlabelled)
+        x_p *= scale
+        x_u *= scale
         self.weights, self.offset = np.zeros(len(self.slots), np.float32), np.float32(0)
         first, second = np.zeros(len(self.slots) + 1, np.float32), np.zeros(len(self.slots) + 1, np.float32)
         for t in range(1, rounds + 1):
@@ -80,6 +84,7 @@ class Model:
             move = 0.05 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
             self.weights = (self.weights - move[:-1]).astype(np.float32)
             self.offset = np.float32(self.offset - move[-1])
+        self.weights *= scale
 
     def _dense(self, rows: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(rows), len(self.slots)), np.float32)
