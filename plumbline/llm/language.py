@@ -23,7 +23,7 @@ from plumbline.llm.hashing import as_bytes, blocks, gaps
 from plumbline.llm.tables import bounded_sample
 
 #: Bound of the sample that is fitted; slots of the hashed n-grams.
-PER_LANGUAGE, SLOTS = 800, 4096
+PER_LANGUAGE, SLOTS = 400, 2048
 # Families of languages; a language that is not listed is a family of its own.
 FAMILIES = {
     "germanic": "da de en is nl no sv",
@@ -52,7 +52,7 @@ def features(texts: list[bytes | None]) -> Iterator[np.ndarray]:
         code, place = code[keep], np.concatenate([[0], np.cumsum(keep[1:-2])])[ends]
         a, b, c = code[:-2], code[1:-1], code[2:]
         two, three = a * 256 + b, (a * 256 + b) * 256 + c
-        slots = np.stack([a, 256 + two * 40503 % 65537 % 1024, 1280 + (three * 2654435761 >> 7) % 1000003 % (SLOTS - 1280)])
+        slots = np.stack([a, 256 + two * 40503 % 65537 % 640, 896 + (three * 2654435761 >> 7) % 1000003 % (SLOTS - 896)])
         for x, y in zip(place[:-1], place[1:], strict=True):
             count = np.bincount(slots[:, x:y].ravel(), minlength=SLOTS).astype(np.float32)
             count[0] = 0  # how many words there are says nothing
@@ -129,7 +129,9 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
     got = sample.mapInArrow(_featured, "lang string, data binary").orderBy("lang", "data").toArrow()
     data = got.column("data").to_pylist()
-    x = np.frombuffer(b"".join(data), np.float32).reshape(len(data), -1) if data else np.zeros((0, SLOTS), np.float32)
+    x = np.zeros((len(data), SLOTS), np.float32)
+    for i, row in enumerate(data):
+        x[i] = np.frombuffer(row, np.float32)
     known = x.any(axis=1)
     languages = [n for n, k in zip(got.column("lang").to_pylist(), known, strict=True) if k]
     return Model(x[known], languages) if languages else None

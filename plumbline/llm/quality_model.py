@@ -24,7 +24,7 @@ from plumbline.llm.hashing import U, WHITE, as_bytes, blocks, shingles, words
 from plumbline.llm.tables import bounded_sample
 
 #: Bound of the sample that is fitted; slots of hashed words; factors; steps of a statistic.
-PER_CLASS, SLOTS, FACTORS, STEPS = 3000, 1 << 14, 8, 16
+PER_CLASS, SLOTS, FACTORS, STEPS = 2000, 1 << 14, 8, 16
 _CLASS = np.zeros(256, np.int8)
 for _name, _at in enumerate(("#*$%&|<>{}[]\\^~=_@", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ".,;:!?"), 1):
     _CLASS[list(_at.encode())] = _name

@@ -24,7 +24,7 @@ from plumbline.llm.hashing import NOT_ALNUM_EITHER_CASE, U, as_bytes, blocks, mi
 from plumbline.llm.tables import bounded_sample
 
 #: Bound of the sample that is fitted, slots that features are hashed to, features of the model.
-PER_CLASS, SLOTS, MOST = 2500, 1 << 18, 2048
+PER_CLASS, SLOTS, MOST = 1500, 1 << 18, 1024
 #: Bytes of the word beginnings.
 BEGINNINGS = (4, 5, 6)
 
