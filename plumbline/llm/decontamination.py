@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import NOT_ALNUM_EITHER_CASE, U, as_bytes, blocks, shingles, words
+from plumbline.llm.tables import for_workers
 
 #: Words of benchmark items that are broadcast together: 8 bytes each, as often as windows overlap.
 BLOCK_WORDS = 1_000_000
@@ -199,7 +200,7 @@ def contamination(
 ) -> DataFrame:
     """Per row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, runs (bounds of the
     runs of hit words, in words, end exclusive), contaminated."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text"))
+    docs = for_workers(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("_text")))
     held = benchmark.select(F.col("item_id").cast("string").alias("id"), F.col("text").cast("string").alias("t")).filter("t IS NOT NULL")
     total = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // 2
     n_blocks = max(1, -(-total // block_words))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.dom import Folded, Node, align, blocks_of, fold, parse
-from plumbline.llm.tables import settle
+from plumbline.llm.tables import for_workers, settle
 from plumbline.llm.url_filter import host_and_path
 
 #: A node is template if this share of a host's distinct main texts come with the same text in
@@ -203,7 +203,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: str = "page_id") -> DataFrame:
     """Per row of ``pages``: page_id, url, text (blocks parted by line feeds), n_chars."""
-    pages = pages.select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("_url"), F.col(html).cast("string").alias("_html"))
+    pages = for_workers(pages).select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("_url"), F.col(html).cast("string").alias("_html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     pages = pages.withColumn("host", host_and_path(F.col("_url"))[0])
     wrapped = wrappers(pages).mapInArrow(_rooted, "host string, reference string, root int, template array<int>")

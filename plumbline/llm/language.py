@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import as_bytes, blocks, gaps
-from plumbline.llm.tables import bounded_sample
+from plumbline.llm.tables import bounded_sample, for_workers
 
 #: Bound of the sample that is fitted; slots of the hashed n-grams.
 PER_LANGUAGE, SLOTS = 400, 2048
@@ -122,7 +122,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the rows with a language and a letter; None without any. The sample is chosen by
     id before any text is read."""
-    rows = rows.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
+    rows = for_workers(rows).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     chosen = bounded_sample(rows.select("doc_id", "lang"), "lang", per_language).distinct()
     # as many ids as PER_LANGUAGE for each language
@@ -159,7 +159,7 @@ def _predicted(model):
 
 def identify(docs: DataFrame, model: Model | None, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns of ``keep``, lang_pred and score, per row of ``docs``."""
-    kept = docs.select(*(c.alias(n) for n, c in keep.items()))
+    kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

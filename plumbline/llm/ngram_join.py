@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, as_bytes, constants, mix, shingle_sets
-from plumbline.llm.tables import settle
+from plumbline.llm.tables import for_workers, settle
 
 #: Shingles of more sets than this are indexed in pairs.
 RARE = 64
@@ -61,17 +61,17 @@ def _unpacked(data: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def _sets(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, int, bytes | None, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes | None, np.ndarray]]:
     for batch in batches:
-        for row, tokens in enumerate(shingle_sets(as_bytes(batch.column(text)))):
-            yield batch, row, _key(tokens) if len(tokens) else None, tokens
+        for doc_id, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(as_bytes(batch.column("text"))), strict=True):
+            yield doc_id, _key(tokens) if len(tokens) else None, tokens
 
 
 def _batches(sets: Iterator[tuple]) -> Iterator[tuple[list, dict[bytes, np.ndarray]]]:
-    """Bounded runs of texts: (batch, row, key, size) of each, and the distinct sets."""
+    """Bounded runs of texts: (id, key, size) of each, and the distinct sets."""
     rows, distinct, held = [], {}, 0
-    for batch, row, key, tokens in sets:
-        rows.append((batch, row, key, len(tokens)))
+    for doc_id, key, tokens in sets:
+        rows.append((doc_id, key, len(tokens)))
         if key is not None and key not in distinct:
             distinct[key] = tokens
             held += len(tokens)
@@ -84,16 +84,16 @@ def _batches(sets: Iterator[tuple]) -> Iterator[tuple[list, dict[bytes, np.ndarr
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Id, key and size of each text's set; and shingles of a hundredth of a batch's sets."""
-    for rows, distinct in _batches(_sets(batches, "text")):
-        ids = [batch.column("doc_id")[row].as_py() for batch, row, _, _ in rows]
+    for rows, distinct in _batches(_sets(batches)):
+        ids = [r[0] for r in rows]
         tokens, count = np.unique(np.concatenate([*distinct.values(), np.zeros(0, U)]), return_counts=True)
         often = count >= max(64, len(distinct) // 100)
         n, m = len(ids), int(often.sum())
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(ids + [None] * m, pa.int64()),
-                pa.array([r[2] for r in rows] + [None] * m, pa.binary()),
-                pa.array([r[3] for r in rows] + [None] * m, pa.int64()),
+                pa.array([r[1] for r in rows] + [None] * m, pa.binary()),
+                pa.array([r[2] for r in rows] + [None] * m, pa.int64()),
                 pa.array([None] * n + tokens[often].view(np.int64).tolist(), pa.int64()),
                 pa.array([None] * n + count[often].tolist(), pa.int64()),
             ],
@@ -119,7 +119,7 @@ def _send(n_buckets: int, hot: np.ndarray):
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for seq, (_, distinct) in enumerate(_batches(_sets(batches, "text"))):
+        for seq, (_, distinct) in enumerate(_batches(_sets(batches))):
             if not distinct:
                 continue
             batch = (part << 24) + seq
@@ -339,7 +339,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
     """Per row of ``docs``: doc_id, n_shingles, component_id (smallest id reachable over links
     of similarity 0.75 or more between sets of five-word shingles, itself included)."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = for_workers(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")))
     described = settle(docs.mapInArrow(_describe, _DESCRIBED))
     rows = described.filter("n IS NOT NULL").select("doc_id", "key", "n")
     often = described.filter("token IS NOT NULL").groupBy("token").agg(F.sum("sets").alias("sets"))

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, WHITE, as_bytes, blocks, constants, mix, words
-from plumbline.llm.tables import settle
+from plumbline.llm.tables import for_workers, settle
 
 DIMENSIONS, BITS = 4, 8
 END = 0  # fixed: the id behind each document
@@ -263,7 +263,7 @@ def _pieces(size: int):
 def pack(docs: DataFrame, size: int = 1024, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None) -> DataFrame:
     """Pieces of the documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id,
     offset. Sequences are numbered from 0 on."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = for_workers(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     path = tokenizer or public_tokenizers.path("byte_bpe_50k.json")
     # settled, or else finding the ranges' bounds would encode every text once more

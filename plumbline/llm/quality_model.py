@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, WHITE, as_bytes, blocks, shingles, words
-from plumbline.llm.tables import bounded_sample
+from plumbline.llm.tables import bounded_sample, for_workers
 
 #: Bound of the sample that is fitted; slots of hashed words; factors; steps of a statistic.
 PER_CLASS, SLOTS, FACTORS, STEPS = 2000, 1 << 14, 8, 16
@@ -121,7 +121,7 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS) -> Model | float:
     """``labels``: doc_id and label (1 good, 0 not; others are left out) of the rows to learn from."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = for_workers(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select("doc_id", "label").filter("label IN (0, 1)")
     counts = dict(known.groupBy("label").count().collect())
     if len(counts) < 2:
@@ -153,7 +153,7 @@ def _scored(model):
 
 def score(docs: DataFrame, model: Model | float, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns of ``keep`` and score, per row of ``docs``."""
-    kept = docs.select(*(c.alias(n) for n, c in keep.items()))
+    kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)

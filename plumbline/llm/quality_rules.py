@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import WHITE, as_bytes, blocks, shingles, words
-from plumbline.llm.tables import bounded_sample
+from plumbline.llm.tables import bounded_sample, for_workers
 
 #: Bound of the sample that is fitted; least share of bad texts a rule may cover, and least number.
 PER_CLASS, PRECISION, LEAST = 4000, 0.95, 4
@@ -94,7 +94,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measured(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns of ``keep`` and the statistics, per row of ``docs``."""
-    kept = docs.select(*(c.alias(n) for n, c in keep.items()))
+    kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
     schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
     schema += [f"{n} long" for n in COUNTS] + [f"{n} double" for n in SHARES]
     rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))

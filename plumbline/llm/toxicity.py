@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import NOT_ALNUM_EITHER_CASE, U, as_bytes, blocks, mix, words
-from plumbline.llm.tables import bounded_sample
+from plumbline.llm.tables import bounded_sample, for_workers
 
 #: Bound of the sample that is fitted, slots that features are hashed to, features of the model.
 PER_CLASS, SLOTS, MOST = 1500, 1 << 18, 1024
@@ -111,7 +111,7 @@ def fit(docs: DataFrame, confirmed: DataFrame, text: str = "text", doc_id: str =
     """``confirmed``: doc_id and a boolean of the same name for the rows to learn from; what is
     not true there is unlabelled. The class prior is the share of confirmed ones among them,
     which is a lower bound where toxic texts are missed. None without any."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
+    docs = for_workers(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = confirmed.select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
     n, n_positive = known.agg(F.count("*"), F.coalesce(F.sum(F.col("confirmed").cast("long")), F.lit(0))).first()
     if not n_positive:
@@ -143,7 +143,7 @@ def _scored(model):
 
 def score(docs: DataFrame, model: Model | None, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns of ``keep`` and score, per row of ``docs``."""
-    kept = docs.select(*(c.alias(n) for n, c in keep.items()))
+    kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
     rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
