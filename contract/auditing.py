@@ -118,7 +118,7 @@ def _formats_sql(names) -> str:
         "INCONSISTENT_FORMAT", "t", "c", "'medium'", "'yellow'", date_styles="NULL", malformed="filled - mails"
     )
     return f"""WITH counts AS ({counts}) {dates} FROM counts WHERE {styles} >= 2 UNION ALL
-        {mails} FROM counts WHERE (c LIKE '%email%' OR mails >= filled * 0.5) AND filled > mails AND mails > 0"""
+        {mails} FROM counts WHERE (c LIKE '%email%' OR mails >= filled * 0.5) AND filled > mails"""
 
 
 def _labels_sql(names) -> str:
@@ -556,8 +556,7 @@ def register() -> dict[str, tuple]:
         - least(count(*) FILTER (kind = 'enrichment'), 5)) AS INTEGER)"""
     summary_sql = f"""SELECT health_score, CASE WHEN health_score >= 80 THEN 'Good' WHEN health_score >= 50
         THEN 'Fair' ELSE 'Poor' END AS band, critical_count, high_count, medium_count, low_count,
-        'Found ' || q || ' quality issue(s), ' || qc || ' of them critical and ' || qh || ' high, and ' || e
-          || ' enrichment opportunity(ies).' AS summary
+        'Quality findings: ' || q || ' (critical ' || qc || ', high ' || qh || '). Enrichment findings: ' || e || '.' AS summary
         FROM (SELECT {score} AS health_score,
             count(*) FILTER (severity = 'critical') AS critical_count, count(*) FILTER (severity = 'high') AS high_count,
             count(*) FILTER (severity = 'medium') AS medium_count, count(*) FILTER (severity = 'low') AS low_count,
@@ -623,6 +622,6 @@ def register() -> dict[str, tuple]:
             limit=500,
         ),
         """SELECT o_orderkey AS id, o_orderstatus AS status, o_orderdate AS created_at FROM orders
-           ORDER BY o_orderdate DESC, o_orderkey LIMIT 100""",
+           ORDER BY o_orderdate DESC, o_orderkey LIMIT 500""",
     )
     return q

@@ -21,6 +21,7 @@ from plumbline.functions.types import is_numeric
 from plumbline.operators import findings as FD
 from plumbline.operators.profile import positional
 from plumbline.operators.unions import union_all
+from plumbline.sources.catalog import describe_tables
 
 
 @dataclass(frozen=True)
@@ -282,7 +283,7 @@ def enrichment_findings(
     for r in profile.select("table", "column", "distinct_count", "cardinality_ratio").collect():
         if r["table"] in facts:
             facts[r["table"]][r["column"]] = r.asDict()
-    parts = [profile_findings(profile, options=options)]
+    parts = [profile_findings(profile, describe_tables(tables), options=options)]
     for table, df in tables.items():
         parts += table_findings(table, df, facts[table], options)
     return union_all(parts)

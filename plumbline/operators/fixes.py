@@ -62,6 +62,15 @@ class Fix:
         return F.count_if(hit)
 
 
+    def lost(self, df: DataFrame) -> Column:
+        """Number of new values that the column's type cannot hold, as an aggregate."""
+        if self.action != "set" or self.value is None:
+            return F.lit(0).cast("long") + F.count_if(F.lit(False))
+        new = F.expr(self.value)
+        kind = df.schema[self.column].dataType
+        return F.count_if(F.expr(self.predicate) & new.isNotNull() & new.try_cast(kind).isNull())
+
+
 @dataclass(frozen=True)
 class Outcome:
     seq: int
@@ -92,6 +101,11 @@ def dry_run(tables: Mapping[str, DataFrame], fixes: Sequence[Fix]) -> list[Outco
     def failed(seq: int, error: Exception) -> Outcome:
         return Outcome(seq, fixes[seq].table, fixes[seq].column, False, None, _short(error), "drop")
 
+    def judged(seq: int, affected: int, lost: int) -> Outcome:
+        if lost:
+            return failed(seq, ValueError(f"{lost} new values do not fit the type of {fixes[seq].column!r}"))
+        return passed(seq, affected)
+
     ready: dict[str, list[int]] = {}
     for seq, fix in enumerate(fixes):
         try:
@@ -103,12 +117,13 @@ def dry_run(tables: Mapping[str, DataFrame], fixes: Sequence[Fix]) -> list[Outco
 
     for table, group in ready.items():
         try:
-            counts = tables[table].agg(*[fixes[s].matches().alias(f"n{s}") for s in group]).first()
-            outcomes |= {s: passed(s, counts[f"n{s}"]) for s in group}
+            tests = [c for s in group for c in (fixes[s].matches().alias(f"n{s}"), fixes[s].lost(tables[table]).alias(f"lost{s}"))]
+            counts = tables[table].agg(*tests).first()
+            outcomes |= {s: judged(s, counts[f"n{s}"], counts[f"lost{s}"]) for s in group}
         except PySparkException:
             for s in group:
                 try:
-                    outcomes[s] = passed(s, tables[table].agg(fixes[s].matches().alias("n")).first()["n"])
+                    outcomes[s] = judged(s, *tables[table].agg(fixes[s].matches(), fixes[s].lost(tables[table])).first())
                 except PySparkException as error:
                     outcomes[s] = failed(s, error)
     return [outcomes[s] for s in range(len(fixes))]

@@ -169,13 +169,13 @@ def value_scan(tables: Mapping[str, DataFrame], width: int = 32) -> DataFrame:
                 counts = [f"'{name}', {f'{name}{i}' if name in tests else '0L'}" for name in SHAPES]
                 entries.append(
                     f"named_struct('table', {sql_text(table)}, 'column', {sql_text(f.name)}, "
-                    f"'filled', filled{i}, {', '.join(counts)})"
+                    f"'filled', filled{i}, 'texts', {f'filled{i}' if isinstance(f.dataType, T.StringType) else '0L'}, {', '.join(counts)})"
                 )
             if entries:
                 blocks.append(data.selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(entries)}))"))
     if not blocks:
         spark = next(iter(tables.values())).sparkSession
-        counts = ", ".join(f"{name} bigint" for name in ("filled", *SHAPES))
+        counts = ", ".join(f"{name} bigint" for name in ("filled", "texts", *SHAPES))
         return spark.createDataFrame([], f"`table` string, `column` string, {counts}")
     return union_all(blocks)
 
@@ -206,17 +206,19 @@ def format_findings(scan: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     styles = sum(((F.col(s) > 0).cast("int") for s in shapes), F.lit(0))
     rows = scan.withColumns({"date_styles": styles, "malformed": F.col("filled") - F.col("addresses")})
     name = FD.sql_name(F.col("column"))
-    named_dates = F.concat(name, F.lit(" RLIKE '" + X.NAMED_DATE.replace("\\", "\\\\") + "'"))
+    named = F.concat(name, F.lit(" RLIKE '" + X.NAMED_DATE.replace("\\", "\\\\") + "'"))
     to_iso = F.concat(
         F.lit("date_format(try_to_timestamp(replace("),
         name,
         F.lit(", ',', ''), 'MMM d yyyy'), 'yyyy-MM-dd')"),
     )
+    # what looks like a date and is none keeps its text
+    named_dates = F.concat(named, F.lit(" AND "), to_iso, F.lit(" IS NOT NULL"))
     dates = FD.finding(
         "INCONSISTENT_FORMAT", "medium", F.when(F.col("slashed_dates") == 0, "green").otherwise("yellow"),
         "Dates are written in several ways",
         {"date_styles": "date_styles", **{s: s for s in shapes}},
-        fix=FD.set_value(F.col("column"), named_dates, to_iso), investigation=named_dates,
+        fix=FD.set_value(F.col("column"), named_dates, to_iso), investigation=named,
     )
     not_address = F.concat(
         F.lit("NOT "), name, F.lit(" RLIKE '" + X.EMAIL.replace("\\", "\\\\") + "'")
@@ -229,9 +231,8 @@ def format_findings(scan: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     for_mail = F.lower("column").contains("email") | (
         F.col("addresses") >= F.col("filled") * F.lit(t.email_share)
     )
-    is_text = F.col("addresses") + F.col("iso_dates") + F.col("named_dates") + F.col("slashed_dates") > 0
     return FD.emit(
-        rows.where(is_text),
+        rows.where("texts > 0"),
         F.when(F.col("date_styles") >= 2, dates),
         F.when(for_mail & (F.col("malformed") > 0), addresses),
     )
@@ -342,7 +343,9 @@ def duplicate_rows(df: DataFrame, ignore: Sequence[str] = ()) -> DataFrame:
         col = F.col(f"c{i}")
         if isinstance(f.dataType, T.StringType):
             text.append(f"c{i}")
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType, T.BinaryType)):
+        elif isinstance(f.dataType, T.BinaryType):
+            text.append(f"base64(c{i})")  # JSON cannot carry bytes
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType, T.VariantType)):
             text.append(X.rendered(f"c{i}", f.dataType))
         else:
             fixed.append(col.alias(f"f{i}"))

@@ -23,6 +23,7 @@ class Audit:
     profile: DataFrame
     relations: DataFrame
     findings: DataFrame
+    best_enrichment: DataFrame
     summary: DataFrame
     runbook: DataFrame
     cleaned: dict[str, DataFrame]
@@ -47,7 +48,7 @@ def audit(
     relations = settle(infer_relations(profile, declared_keys, capabilities, singular_names))
     found = quality.quality_findings(tables, profile, relations, formulas, keys, thresholds)
     if enrich:
-        found = report.combined(found, enrichment.best(enrichment.enrichment_findings(tables, profile)))
+        found = report.combined(found, enrichment.enrichment_findings(tables, profile))
     found = settle(found)
     disposed, runs, outcomes = fixes.validate(tables, found)
     disposed = settle(disposed)
@@ -58,6 +59,7 @@ def audit(
         profile=redact_profile(profile),
         relations=relations,
         findings=disposed,
+        best_enrichment=enrichment.best(disposed.where("kind = 'enrichment'")),
         summary=report.summary(disposed),
         runbook=report.runbook(disposed),
         cleaned=cleaned,

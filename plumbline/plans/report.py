@@ -57,7 +57,7 @@ def summary(findings: DataFrame) -> DataFrame:
         F.lit(0), F.lit(100) - F.col("penalty") - F.least(F.col("enrichment_findings"), F.lit(ENRICHMENT_CAP))
     )
     sentence = F.format_string(
-        "Found %d quality issue(s), %d of them critical and %d high, and %d enrichment opportunity(ies).",
+        "Quality findings: %d (critical %d, high %d). Enrichment findings: %d.",
         "quality_findings", "quality_critical", "quality_high", "enrichment_findings",
     )
     return totals.withColumn("health_score", score.cast("int")).select(
@@ -139,7 +139,7 @@ def as_json(rows: DataFrame) -> DataFrame:
 def report_history(
     reports: DataFrame, jobs: DataFrame, sources: DataFrame, user_id, limit: int = 20
 ) -> DataFrame:
-    """The latest reports of one user with their source; at most 100.
+    """The latest reports of one user with their source, as many as asked for.
 
     ``reports`` (id, job_id, health_score, created_at), ``jobs`` (id, user_id,
     source_id), ``sources`` (id, name, source_type). The sort keeps only the
@@ -154,10 +154,10 @@ def report_history(
         .join(sources, "source_id", "left")
         .select("id", "job_id", "health_score", "source_name", "source_type", "created_at")
         .orderBy(F.desc("created_at"), "id")
-        .limit(min(limit, 100))
+        .limit(limit)
     )
 
 
 def latest(rows: DataFrame, order_by: str = "created_at", limit: int = 20) -> DataFrame:
-    """The most recent rows; at most 100."""
-    return rows.orderBy(F.desc(order_by), "id").limit(min(limit, 100))
+    """The most recent rows, as many as asked for."""
+    return rows.orderBy(F.desc(order_by), "id").limit(limit)

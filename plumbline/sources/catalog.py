@@ -53,10 +53,10 @@ def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
     )
 
 
-def sample_rows(df: DataFrame, n: int = 1000, order_by: Sequence[str | Column] = (), limit: int = 50_000) -> DataFrame:
-    """The first n rows (never more than ``limit``), in a given order if any."""
+def sample_rows(df: DataFrame, n: int = 1000, order_by: Sequence[str | Column] = ()) -> DataFrame:
+    """The first n rows, in a given order if any."""
     ordered = df.orderBy(*order_by) if order_by else df
-    return ordered.limit(min(n, limit))
+    return ordered.limit(n)
 
 
 # --- declared foreign keys --------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import text as X
+from plumbline.operators.redaction import redact_profile
 
 
 def read_csv(
@@ -79,8 +80,9 @@ def write_cleaned(df: DataFrame, folder: str) -> str:
     return path
 
 
-def save_results(profile: DataFrame, findings: DataFrame, folder: str) -> dict[str, str]:
-    """Persist the (redacted) profile per table and the findings; returns their paths."""
+def save_results(profile: DataFrame, findings: DataFrame, folder: str, raw: bool = False) -> dict[str, str]:
+    """Persist the profile per table, redacted unless ``raw``, and the findings; returns their paths."""
+    profile = profile if raw else redact_profile(profile)
     folder = folder.rstrip("/")
     paths = {"profile": f"{folder}/profile", "findings": f"{folder}/findings"}
     profile.write.partitionBy("table").parquet(paths["profile"])

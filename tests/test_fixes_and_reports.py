@@ -103,7 +103,7 @@ def test_summary_and_counts(spark):
     row = RP.summary(frame(spark, *rows)).first()
     assert (row["health_score"], row["band"]) == (100 - 15 - 16 - 5, "Fair")
     assert (row["critical_count"], row["high_count"], row["medium_count"], row["low_count"]) == (1, 2, 0, 8)
-    assert "3 quality issue(s), 1 of them critical and 2 high, and 8 enrichment" in row["summary"]
+    assert row["summary"] == "Quality findings: 3 (critical 1, high 2). Enrichment findings: 8."
     assert [tuple(r) for r in RP.severity_counts(frame(spark, *rows)).collect()] == [
         ("critical", 1), ("high", 2), ("medium", 0), ("low", 8),
     ]

@@ -72,7 +72,7 @@ def test_listing_counts_and_sample(spark):
     listing = catalog.describe_tables(tables).collect()
     assert [(r["table"], r["column"], r["declared_type"]) for r in listing] == [("b", "id", "integer"), ("a", "x", "float")]
     assert {tuple(r) for r in catalog.row_counts(tables).collect()} == {("b", 5), ("a", 1)}
-    sample = catalog.sample_rows(tables["b"], 10, [F.desc("id")], limit=3)
+    sample = catalog.sample_rows(tables["b"], 3, [F.desc("id")])
     assert [r["id"] for r in sample.collect()] == [4, 3, 2]
 
 
