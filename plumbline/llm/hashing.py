@@ -13,7 +13,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Bytes of text that are hashed together; bounds the arrays of a step.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:

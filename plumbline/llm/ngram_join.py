@@ -37,7 +37,7 @@ from plumbline.llm.tables import for_workers, settle
 #: Shingles of more sets than this are indexed in pairs.
 RARE = 64
 #: Shingles and texts that one batch holds, and text bytes that one bucket stands for.
-BATCH_TOKENS, BATCH_TEXTS, BUCKET_BYTES = 1 << 20, 1 << 14, 8 << 20
+BATCH_TOKENS, BATCH_TEXTS, BUCKET_BYTES = 1 << 19, 1 << 14, 8 << 20
 #: Most shingles that are broadcast as very frequent; which ones does not change results.
 MOST_HOT = 1 << 18
 _C = constants(4, 77)

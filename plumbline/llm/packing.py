@@ -77,6 +77,10 @@ def _points(word: np.ndarray, place: np.ndarray) -> np.ndarray:
     return np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1)
 
 
+#: What a worker goes on to its next task with; the tokenizer itself, which is large, goes.
+_KNOWN: dict[str, tuple] = {}
+
+
 class Encoder:
     """Token ids of many texts. A pre-token never goes on behind a visible character that
     white space follows, so texts are cut there, and each distinct piece is encoded once for
@@ -84,7 +88,7 @@ class Encoder:
     whose tokens' lengths in bytes tell them apart again."""
 
     #: Pieces remembered, about 30 bytes each.
-    MOST = 2_000_000
+    MOST = 1_000_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
@@ -99,6 +103,8 @@ class Encoder:
         for token, i in vocabulary.items():
             self.bytes[i] = len(token)
         self.forget()
+        if path in _KNOWN:
+            self.names, self.start, self.size, self.flat = _KNOWN[path]
 
     def forget(self) -> None:
         self.names, self.start, self.size, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
@@ -183,16 +189,6 @@ class Encoder:
         self.new, self.n_new = [], 0
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """One for a worker, which goes on to the next task with what it remembers."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
-
-
 _READ = "curve long, text_hash long, doc_id {id}, doc_tokens long, full array<long>, rest binary"
 
 
@@ -200,7 +196,7 @@ def _encode(path: str, size: int):
     """Per text: its place on the curve, the checksums of its full runs, the rest's ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(path)
+        encoder = Encoder(path)
         for batch in batches:
             for first, data, ends in blocks(as_bytes(batch.column("text"))):
                 ids, start, word, place = encoder.block(data, ends)
@@ -218,6 +214,7 @@ def _encode(path: str, size: int):
                     + [pa.array(np.diff(start)), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
                     names=["curve", "text_hash", "doc_id", "doc_tokens", "full", "rest"],
                 )
+        _KNOWN[path] = (encoder.names, encoder.start, encoder.size, encoder.flat)
 
     return encode
 
