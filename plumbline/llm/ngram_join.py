@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.hashing import U, as_bytes, constants, mix, shingle_sets
@@ -204,11 +204,10 @@ def _signatures(n: int, tokens: np.ndarray, df: np.ndarray) -> list[tuple[int, i
     return out + [(s, alone + i, 0) for i, s in enumerate(sign)]
 
 
-def _bits(tokens: np.ndarray) -> list[int]:
-    """128 bits, of which each shingle sets one."""
-    out = np.zeros(128, np.uint8)
-    out[(tokens >> U(20)) % U(128)] = 1
-    return np.packbits(out).view(np.int64).tolist()
+def _sketch(tokens: np.ndarray) -> list[int]:
+    """How many shingles fall in each of 32 slots, modulo 16, four bits a slot."""
+    count = (np.bincount(((tokens >> U(20)) % U(32)).astype(np.int64), minlength=32) & 15).astype(np.uint8)
+    return (count[::2] << 4 | count[1::2]).view(np.int64).tolist()
 
 
 def _sign(table: pa.Table) -> pa.Table:
@@ -232,7 +231,7 @@ def _sign(table: pa.Table) -> pa.Table:
             if signs := _signatures(int(sizes[ref]), tokens[a:b], df[a:b]):
                 out["key"].append(keys[16 * ref : 16 * ref + 16])
                 out["n"].append(int(sizes[ref]))
-                low, high = _bits(tokens[a:b])
+                low, high = _sketch(tokens[a:b])
                 out["m"].append(int(b - a))
                 out["low"].append(low)
                 out["high"].append(high)
@@ -288,16 +287,35 @@ def components(links: DataFrame) -> DataFrame:
 _MEMBER = ["key", "n", "m", "low", "high", "place", "before"]
 
 
-def _fits(a: str, b: str):
-    """Sizes, places and bits allow a similarity of 0.75. Shared are at most what is from the
-    first common shingle on and may come before it; and of the shingles that other sets have,
-    at most those whose bit the other set has too, for each bit at least one less."""
+def _slots_apart(x: Column, y: Column) -> Column:
+    """Sum over 16 slots of the difference of two counts modulo 16, the shorter way round.
+    Every other slot is taken at once, each in a byte of its own; as 256 is 1 modulo 255,
+    the remainder is the sum of the bytes, which is at most 128."""
+    low, one = 0x0F0F0F0F0F0F0F0F, 0x0101010101010101
+    total = None
+    for shift in (0, 4):
+        u, v = (F.shiftrightunsigned(c, shift).bitwiseAND(low) for c in (x, y))
+        d = (u.bitwiseOR(16 * one) - v).bitwiseAND(low)
+        far = F.shiftright(d, 3).bitwiseAND(one)  # 8 or more: 16 - d is the bits' complement and one
+        way = d.bitwiseXOR(far * 15) + far
+        total = way if total is None else total + way
+    return total % 255
+
+
+def _apart(a: str, b: str) -> Column:
+    """Least number of shingles that only one of two sets has: those no other set has, and
+    of the rest, by how much the counts of their slots differ."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    return x("n") - x("m") + y("n") - y("m") + _slots_apart(x("low"), y("low")) + _slots_apart(x("high"), y("high"))
+
+
+def _fits(a: str, b: str) -> Column:
+    """Sizes, places and counts allow a similarity of 0.75. Shared are at most what is from the
+    first common shingle on and may come before it; a seventh of both sets' sizes may differ."""
     x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
     most = F.least(x("n") - x("place"), y("n") - y("place")) + F.least(x("before"), y("before"))
-    for u, v in ((x, y), (y, x)):
-        lacks = sum(F.bit_count(u(c).bitwiseAND(F.bitwise_not(v(c)))) for c in ("low", "high"))
-        most = F.least(most, u("m") - lacks)
-    return (100 * F.least(x("n"), y("n")) >= 75 * F.greatest(x("n"), y("n"))) & (700 * most >= 300 * (x("n") + y("n")))
+    sizes = 100 * F.least(x("n"), y("n")) >= 75 * F.greatest(x("n"), y("n"))
+    return sizes & (700 * most >= 300 * (x("n") + y("n"))) & (7 * _apart(a, b) <= x("n") + y("n"))
 
 
 def _links(signed: DataFrame) -> DataFrame:

@@ -344,3 +344,20 @@ def test_url_rules(spark, none):
     assert got == {i: u[1:] for i, u in enumerate(urls)}
     assert url_filter.judge(pages.filter("false"), url_filter.rules(spark)).count() == 0
     assert url_filter.judge(pages, url_filter.rules(spark).filter("false")).filter("verdict = 'allow'").count() == len(urls)
+
+
+def test_slots_apart_never_exceeds_what_differs(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], []
+    for _ in range(300):
+        both, x, y = (rng.integers(0, 1 << 62, rng.integers(0, 700)).astype(np.uint64) for _ in range(3))
+        x, y = np.concatenate([both, x]), np.concatenate([both, y])
+        count = [np.bincount(((t >> np.uint64(20)) % np.uint64(32)).astype(int), minlength=32) for t in (x, y)]
+        around = (count[0] - count[1]) % 16
+        want.append((int(np.minimum(around, 16 - around).sum()), len(x) + len(y) - 2 * len(both)))
+        rows.append((*ngram_join._sketch(x), *ngram_join._sketch(y)))
+    df = spark.createDataFrame(rows, "a long, b long, c long, d long")
+    apart = ngram_join._slots_apart(df.a, df.c) + ngram_join._slots_apart(df.b, df.d)
+    got = [r[0] for r in df.select(apart).collect()]
+    assert got == [slots for slots, _ in want]
+    assert all(g <= differ for g, (_, differ) in zip(got, want, strict=True))
