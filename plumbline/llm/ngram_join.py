@@ -9,11 +9,12 @@ frequent ones, for which the prefix is extended until it still has to share a pa
    shingles of two or more sets come back to the batch of texts they are from: what no
    other set has can't be shared, and keeps its place in the order by number alone.
 3. Each set's prefix yields its signatures. Most sets have none left.
-4. Sets that share a signature are compared: first with one leader of each signature's
-   list, then with another one where a list is still in several components, at last all
-   that are not in a list's largest component with those of other components. Members
-   of one component are not compared again, so a group of n copies costs about n
-   comparisons, and no link between different components goes unseen.
+4. Sets that share a signature are compared: first each with the nearest of the leaders of
+   its signatures' lists, then twice with the nearest of other ones where lists are still
+   in several components, at last all that are not in a list's largest component with
+   those of other components. Members of one component are not compared again, so a group
+   of n copies costs about n comparisons, and no link between different components goes
+   unseen.
 
 Null and empty texts have no shingles and no links. Repeated rows are members of the same
 group. The table must give the same rows in the same order when a task is run again, as
@@ -323,8 +324,8 @@ def _links(signed: DataFrame) -> DataFrame:
     lists = signed.select(*_MEMBER[:5], F.explode("signs").alias("s")).select(*_MEMBER[:5], "s.sign", "s.place", "s.before")
     several = lists.groupBy("sign").agg(F.count("*").alias("members")).filter("members > 1").select("sign")
     lists = settle(lists.join(several, "sign"))
-    found, labels = None, None
-    for last in (False, False, True):
+    labels = None
+    for turn, last in enumerate((False, False, False, True)):
         if labels is None:
             named = lists.withColumn("label", F.col("key"))
             head = F.struct(*_MEMBER, "label")
@@ -340,16 +341,23 @@ def _links(signed: DataFrame) -> DataFrame:
                 few = named.join(main.withColumnRenamed("label", "largest"), "sign").filter("label != largest")
                 chosen = few.select("sign", F.struct(*_MEMBER, "label").alias("b"))
             else:
-                head = F.struct(F.xxhash64("sign", "key").alias("at"), *_MEMBER, "label")
+                # lists are kept from round to round: another member leads in each
+                head = F.struct(F.xxhash64(F.lit(turn), "sign", "key").alias("at"), *_MEMBER, "label")
                 chosen = named.groupBy("sign").agg(F.min(head).alias("b"))
         left = named.select("sign", F.struct(*_MEMBER, "label").alias("a"))
         pairs = left.join(chosen, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
-        pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+        if last:
+            pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+        else:
+            # one a set, so that a group gets about a link a member; the last round misses none
+            nearest = F.min(F.struct(_apart("a", "b").alias("apart"), F.col("b.key").alias("key")))
+            pairs = pairs.groupBy(F.col("a.key").alias("a")).agg(nearest.alias("b")).select("a", F.col("b.key").alias("b"))
         new = settle(_verified(pairs, signed))
-        if labels is not None and new.isEmpty():
-            continue
-        found = new if found is None else found.union(new)
-        labels = components(found)
+        if labels is None:
+            labels = components(new)
+        elif not new.isEmpty():
+            # what is known is a link of each member to its component's label
+            labels = components(new.union(labels.toDF("a", "b")))
     return labels
 
 
