@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -58,19 +59,31 @@ def as_text(df: DataFrame) -> DataFrame:
     )
 
 
+def _cells(sep: str) -> Column:
+    """Cells of ``line``. A quoted cell may hold the separator, and quotes that are doubled;
+    a quote elsewhere is an ordinary character."""
+    at = re.escape(sep)
+    quoted, plain = r'"[^"]*+(?:""[^"]*+)*+"' + rf"(?={at}|\z)", rf"(?s:.*?)(?={at}|\z)"
+    found = F.regexp_extract_all(F.concat(F.lit(sep), "line"), F.lit(f"{at}({quoted}|{plain})"), 1)
+    bare = lambda c: F.replace(F.substring(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(found, lambda c: F.when(c.rlike(r'(?s)\A"[^"]*+(?:""[^"]*+)*+"\z'), bare(c)).otherwise(c))
+
+
 def sheet(spark: SparkSession, lines: DataFrame, sep: str = ",") -> DataFrame:
     """Text table from (number, line) rows whose line 0 holds the headers.
 
-    Short rows are padded with NULL and long rows cut to the header; values are
-    split in the executors, only the header line reaches the driver.
+    Short rows are padded with NULL; cells beyond the headers get columns named like
+    blank headers, as many as the longest row needs (one more read of the lines).
+    Values are split in the executors; the header line and a width reach the driver.
     """
-    first = lines.where("number = 0").first()
+    first = lines.where("number = 0").select(_cells(sep).alias("cells")).first()
     if first is None:
         raise ValueError("the sheet has no header line")
-    names = clean_headers(first["line"].split(sep))
-    cells = F.split("line", "\\Q" + sep + "\\E", -1)
-    values = [F.nullif(F.get(cells, F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)]
-    return lines.where("number > 0").select(*values)
+    headers = first["cells"] or []
+    width = lines.where("number > 0").agg(F.max(F.size(_cells(sep)))).first()[0] or 0
+    names = clean_headers([*headers, *[None] * (width - len(headers))])
+    rows = lines.where("number > 0").select(_cells(sep).alias("cells"))
+    return rows.select(*[F.nullif(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
 
 
 def write_cleaned(df: DataFrame, folder: str) -> str:

@@ -28,12 +28,32 @@ def test_sheet_pads_and_cuts_rows(spark):
         [(0, "id|id||note"), (1, "1|2|3|x"), (2, "4"), (3, "5||7|y|extra")], "number int, line string"
     )
     table = files.sheet(spark, lines, sep="|")
-    assert table.columns == ["id", "id_1", "col_2", "note"]
+    assert table.columns == ["id", "id_1", "col_2", "note", "col_4"]
     assert sorted(map(tuple, table.collect())) == [
-        ("1", "2", "3", "x"), ("4", None, None, None), ("5", None, "7", "y"),
+        ("1", "2", "3", "x", None), ("4", None, None, None, None), ("5", None, "7", "y", "extra"),
     ]
 
 
+@pytest.mark.parametrize("sep", [",", "||"])
+def test_quoted_cells_of_sheets(spark, sep):
+    rows = ['a,"b,c",d', '1,"x,y",3', '"say ""hi""",,"",', '5"",",6', '"7"8,"9', "", None, f'"{"long, " * 5000}"']
+    rows = [r if r is None else r.replace(",", sep) for r in rows]
+    lines = spark.createDataFrame(list(enumerate(rows)), "number int, line string")
+    table = files.sheet(spark, lines, sep)
+    assert table.columns == ["a", f"b{sep}c", "d", "col_3"]
+    found = {tuple(r) for r in table.collect()}
+    assert found == {
+        ("1", f"x{sep}y", "3", None), ('say "hi"', None, None, None), ('5""', '"', "6", None), ('"7"8', '"9', None, None),
+        (None, None, None, None), (f"long{sep} " * 5000, None, None, None),
+    }
+
+
+def test_sheet_of_headers_only(spark):
+    lines = spark.createDataFrame([(0, "a,a")], "number int, line string")
+    table = files.sheet(spark, lines)
+    assert table.columns == ["a", "a_1"] and table.count() == 0
+
+
 def test_everything_as_text(spark):
     df = spark.createDataFrame([(1, True, [1])], "A int, a_ boolean, l array<int>")
     assert files.as_text(df).collect() == [("1", "true", "[1]")]
