@@ -44,11 +44,10 @@ class Fix:
         if self.column not in df.columns:
             raise ValueError(f"table {self.table} has no column {self.column!r}")
         kept = column_ref(self.column)
-        changed = F.when(hit, F.expr(self.value if self.value is not None else "NULL")).otherwise(kept)
-        kind = df.schema[self.column].dataType
-        return df.select(
-            *[(changed.try_cast(kind) if c == self.column else column_ref(c)).alias(c) for c in df.columns]
-        )
+        # the new value takes the column's type, never the column the value's
+        new = F.expr(self.value if self.value is not None else "NULL")
+        changed = F.when(hit, new.try_cast(df.schema[self.column].dataType)).otherwise(kept)
+        return df.select(*[(changed if c == self.column else column_ref(c)).alias(c) for c in df.columns])
 
     def matches(self) -> Column:
         """Number of rows the predicate matches, as an aggregate.
@@ -61,14 +60,18 @@ class Fix:
             return F.count(F.when(hit, F.xxhash64(F.expr(self.value))))
         return F.count_if(hit)
 
+    def loses(self, df: DataFrame) -> Column:
+        """Not NULL in rows whose new value the column's type cannot hold. The value is
+        computed only where the predicate holds: nested, as AND may compute both sides."""
+        if self.action != "set" or self.value is None:
+            return F.lit(None).cast("int")
+        new = F.expr(self.value)
+        stored = new.try_cast(df.schema[self.column].dataType)
+        return F.when(F.expr(self.predicate), F.when(new.isNotNull() & stored.isNull(), F.lit(1)))
 
     def lost(self, df: DataFrame) -> Column:
         """Number of new values that the column's type cannot hold, as an aggregate."""
-        if self.action != "set" or self.value is None:
-            return F.lit(0).cast("long") + F.count_if(F.lit(False))
-        new = F.expr(self.value)
-        kind = df.schema[self.column].dataType
-        return F.count_if(F.expr(self.predicate) & new.isNotNull() & new.try_cast(kind).isNull())
+        return F.count(self.loses(df))
 
 
 @dataclass(frozen=True)
@@ -86,12 +89,49 @@ def _short(error: Exception) -> str:
     return str(error).splitlines()[0][:300]
 
 
+def _losses(df: DataFrame, fixes: Sequence[Fix], chain: Sequence[int]) -> list[int]:
+    """New values that each fix of ``chain`` would lose where earlier ones have changed the
+    rows. Evaluates every value the chain sets; raises if one fails on the data."""
+    columns, mark = df.columns, "lost"
+    while any(c.lower().startswith(mark) for c in columns):
+        mark += "_"
+    for s in chain:
+        df = fixes[s].apply(df.withColumn(f"{mark}{s}", fixes[s].loses(df)))
+    written = [column_ref(c) for c in columns if c in {fixes[s].column for s in chain if fixes[s].action == "set"}]
+    # a maximum, since a count of hashes does not evaluate them
+    done = df.agg(*[F.count(f"{mark}{s}") for s in chain], F.max(F.xxhash64(*written or [F.lit(0)]))).first()
+    return list(done[: len(chain)])
+
+
+def _culprits(df: DataFrame, fixes: Sequence[Fix], chain: list[int]) -> dict[int, Exception]:
+    """Fixes that fail only after earlier ones: one pass if there are none, else a pass for
+    each fix, which joins the chain only if the chain still runs with it."""
+    if len(chain) < 2:
+        return {}
+    try:
+        if not any(_losses(df, fixes, chain)):
+            return {}
+    except (PySparkException, ValueError):
+        pass
+    found: dict[int, Exception] = {}
+    kept: list[int] = []
+    for s in chain:
+        try:
+            if lost := _losses(df, fixes, [*kept, s])[-1]:
+                raise ValueError(f"{lost} new values do not fit the type of {fixes[s].column!r} after earlier fixes")
+            kept.append(s)
+        except (PySparkException, ValueError) as error:
+            found[s] = error
+    return found
+
+
 def dry_run(tables: Mapping[str, DataFrame], fixes: Sequence[Fix]) -> list[Outcome]:
     """Outcome of each fix against the untouched tables.
 
     Fixes that do not fit their table fail without reading it. The others of a
     table are counted in one pass; if that pass fails on the data, each is
-    counted alone so that only the culprits fail.
+    counted alone so that only the culprits fail. Green fixes of a table that pass
+    are then tried one after another, as ``apply_fixes`` will run them.
     """
     outcomes: dict[int, Outcome] = {}
 
@@ -126,6 +166,9 @@ def dry_run(tables: Mapping[str, DataFrame], fixes: Sequence[Fix]) -> list[Outco
                     outcomes[s] = judged(s, *tables[table].agg(fixes[s].matches(), fixes[s].lost(tables[table])).first())
                 except PySparkException as error:
                     outcomes[s] = failed(s, error)
+        chain = [s for s in group if fixes[s].risk == "green" and outcomes[s].passed]
+        for s, error in _culprits(tables[table], fixes, chain).items():
+            outcomes[s] = failed(s, error)
     return [outcomes[s] for s in range(len(fixes))]
 
 
