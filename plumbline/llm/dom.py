@@ -224,7 +224,8 @@ def align(a: tuple, b: tuple) -> list[int]:
 
 
 def blocks_of(root: Node, wanted: set[int], dropped: set[int]) -> list[str]:
-    """Text blocks under the places ``wanted``, without those ``dropped``, in page order."""
+    """Text blocks under the places ``wanted`` in page order, without the text directly in
+    those ``dropped``; places below them are judged by themselves."""
     out: list[str] = []
     held: list[str] = []
 
@@ -233,13 +234,14 @@ def blocks_of(root: Node, wanted: set[int], dropped: set[int]) -> list[str]:
             out.append(line)
         held.clear()
 
-    stack: list[tuple[Node | str | None, bool]] = [(root, False)]
+    # with each node: whether it is under a wanted place, and whether text directly in it is taken
+    stack: list[tuple[Node | str | None, bool, bool]] = [(root, False, False)]
     while stack:
-        node, inside = stack.pop()
+        node, inside, taken = stack.pop()
         if node is None:
             flush()
         elif isinstance(node, str):
-            if inside:
+            if taken:
                 held.append(node)
         elif node.out:
             if node.tag not in INLINE:
@@ -247,13 +249,11 @@ def blocks_of(root: Node, wanted: set[int], dropped: set[int]) -> list[str]:
         elif node.tag in INLINE:
             if node.tag == "br":
                 held.append(" ")
-            stack += [(c, inside) for c in reversed(node.children)]
-        elif node.place not in dropped:
-            flush()
-            inside = inside or node.place in wanted
-            stack.append((None, False))
-            stack += [(c, inside) for c in reversed(node.children)]
+            stack += [(c, inside, taken) for c in reversed(node.children)]
         else:
             flush()
+            inside = inside or node.place in wanted
+            stack.append((None, False, False))
+            stack += [(c, inside, inside and node.place not in dropped) for c in reversed(node.children)]
     flush()
     return out

@@ -3,7 +3,8 @@
 Pages of a host are made by the same template. A host's reference is its most frequent
 tree shape; each page's tree is aligned to it by simple tree matching, and of each node of
 the reference it is counted how often pages of different main texts have the same text
-there. Constant nodes are template. The smallest subtree that holds most of the varying
+there. A text that is constant in a node is template: it goes from the pages that have it
+there, while another text in the same node and what is in nodes below stay. The smallest subtree that holds most of the varying
 text outside of links is where content is. Menus, headers, footers, sidebars,
 notices, adverts, forms and comments that markup names as such are left out throughout.
 
@@ -87,6 +88,10 @@ def _own_root(page: Folded) -> set[int]:
     return {_content_root(page.parents, sizes)}
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh3_64_intdigest(text) >> 1
+
+
 def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shapes, nodes = [], []
@@ -95,10 +100,10 @@ def _shaped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             shapes.append(json.dumps(folded.shape()))
             texts = ["".join(t) for t in folded.texts]
             main = max(texts, key=len)
-            main_hash = xxhash.xxh3_64_intdigest(main) >> 1
+            main_hash = _hash(main)
             nodes.append(
                 [
-                    {"place": i, "text": xxhash.xxh3_64_intdigest(t) >> 1, "chars": len(t) - link, "main": main_hash}
+                    {"place": i, "text": _hash(t), "chars": len(t) - link, "main": main_hash}
                     for i, (t, link) in enumerate(zip(texts, folded.linked, strict=True))
                     if t
                 ]
@@ -127,7 +132,7 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """Per host: reference, and of its places the one content is in and those that are template."""
+    """Per host: reference, and of its places how much text they hold and which text is template."""
     shaped = settle(pages.select("host", "_html").mapInArrow(_shaped, f"host string, shape string, nodes {_NODES}"))
     shapes = shaped.groupBy("host", "shape").count()
     reference = shapes.groupBy("host").agg(F.max_by("shape", F.struct("count", "shape")).alias("reference"))
@@ -136,9 +141,10 @@ def wrappers(pages: DataFrame) -> DataFrame:
     # pages of one main text count once for a text
     distinct = nodes.groupBy("host", "place", "text", "main").agg(F.max("chars").alias("chars"))
     per_text = distinct.groupBy("host", "place", "text").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
-    per_place = per_text.groupBy("host", "place").agg(F.sum("n").alias("n"), F.max("n").alias("same"), F.sum("chars").alias("chars"))
-    constant = (F.col("n") >= LEAST) & (F.col("same") >= CONSTANT * F.col("n"))
-    place = F.struct("place", constant.alias("constant"), "chars", "n")
+    most = F.max(F.struct("n", "text")).alias("most")
+    per_place = per_text.groupBy("host", "place").agg(F.sum("n").alias("n"), most, F.sum("chars").alias("chars"))
+    constant = (F.col("n") >= LEAST) & (F.col("most.n") >= CONSTANT * F.col("n"))
+    place = F.struct("place", F.when(constant, F.col("most.text")).alias("constant"), "chars", "n")
     per_host = per_place.groupBy("host").agg(F.collect_list(place).alias("places"))
     return per_host.join(reference, "host").select("host", "reference", "places")
 
@@ -150,32 +156,28 @@ def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parents, labels = zip(*json.loads(reference), strict=True)
             mass, template = [0.0] * len(parents), []
             for p in places:
-                if p["constant"]:
-                    template.append(p["place"])
+                if p["constant"] is not None:
+                    template.append({"place": p["place"], "text": p["constant"]})
                 else:
                     mass[p["place"]] = float(max(0, p["chars"]))
             # of one main text alone nothing is known to vary
             several = max((p["n"] for p in places), default=0) > 1
             out["root"].append(_named_root(parents, labels, mass) if several and any(mass) else -1)
-            out["template"].append(sorted(template))
+            out["template"].append(template)
+        kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.int64())]))
         yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), batch.column("reference"), pa.array(out["root"], pa.int32()), pa.array(out["template"], pa.list_(pa.int32()))],
+            [batch.column("host"), batch.column("reference"), pa.array(out["root"], pa.int32()), pa.array(out["template"], kind)],
             names=["host", "reference", "root", "template"],
         )
 
 
-def _main_text(root: Node, page: Folded, to: list[int] | None, wrapper_root: int, template: list[int]) -> str:
+def _main_text(root: Node, page: Folded, to: list[int] | None, wrapper_root: int, template: list[dict]) -> str:
     wanted = {i for i, t in enumerate(to) if t == wrapper_root} if to is not None and wrapper_root >= 0 else set()
     dropped: set[int] = set()
     if wanted:
-        # nodes of the whole template above the content are not dropped with what is in them
-        above, keep = set(wanted), set(wanted)
-        for i in above:
-            while page.parents[i] >= 0:
-                i = page.parents[i]
-                keep.add(i)
-        constant = set(template)
-        dropped = {i for i, t in enumerate(to) if t in constant and i not in keep}
+        # a place is template on the pages that have the constant text there, on others it is not
+        constant = {t["place"]: t["text"] for t in template}
+        dropped = {i for i, t in enumerate(to) if t in constant and _hash("".join(page.texts[i])) == constant[t]}
     if not wanted or not (text := "\n".join(blocks_of(root, wanted, dropped))):
         text = "\n".join(blocks_of(root, _own_root(page), set()))
     return text
@@ -206,7 +208,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     pages = for_workers(pages).select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("_url"), F.col(html).cast("string").alias("_html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     pages = pages.withColumn("host", host_and_path(F.col("_url"))[0])
-    wrapped = wrappers(pages).mapInArrow(_rooted, "host string, reference string, root int, template array<int>")
+    wrapped = wrappers(pages).mapInArrow(_rooted, "host string, reference string, root int, template array<struct<place: int, text: long>>")
     both = pages.join(settle(wrapped), "host", "left")
     out = both.select("page_id", F.col("_url").alias("url"), "_html", "reference", "root", "template")
     return out.mapInArrow(_extracted, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

@@ -309,6 +309,21 @@ def test_main_text_by_wrapper(spark, odd, none):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_only_the_constant_text_of_a_place_is_template(spark):
+    page = "<body><article>{own}<h1>T{i}</h1><h2>{head}</h2><p>{text}</p><div>{label}<p>below {i}</p></div></article></body>"
+    rows = []
+    for i in range(10):
+        head, label, own = (f"Heading {i}", f"Label {i}", f"Own {i}") if i >= 7 else ("Summary", "Note", "Site")
+        rows.append((i, "http://h.example/", page.format(i=i, head=head, label=label, own=own, text=f"text {i} " * 30)))
+    got = {r.page_id: r.text.split("\n") for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for i in range(10):
+        text = " ".join([f"text {i}"] * 30)
+        if i >= 7:
+            assert got[i] == [f"Own {i}", f"T{i}", f"Heading {i}", text, f"Label {i}", f"below {i}"]
+        else:
+            assert got[i] == [f"T{i}", text, f"below {i}"]
+
+
 def test_tree_matching_keeps_order_and_takes_the_most():
     a = ((-1, ""), (0, "div"), (0, "p"), (0, "div"), (3, "h1"), (3, "p"))
     b = ((-1, ""), (0, "div"), (1, "h1"), (1, "p"))
