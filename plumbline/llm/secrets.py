@@ -47,12 +47,17 @@ BASE = (
     Kind("access", "AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     Kind("hex", "[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32}"),
 )
+# A private key's body goes to its END line, past few dashes of header lines; without one, over
+# lines of base64, parted by white space or escaped line ends.
+_BEGIN, _END = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"
+_CLOSED = rf"[^-]*+(?:-[^-]++){{0,20}}+(?={_END})"
+_OPEN = r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+){0,1000}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2}+)?+"
 #: What the method adds: credentials that a format alone makes likely.
 FURTHER = (
     Kind("bearer", r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 27, "[Bb]earer"),
     Kind("prefixed", r"\b(gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})", 0, 15, "gh[pousr]_|xox[abprs]-|sk_live_"),
     Kind("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 30, "eyJ"),
-    Kind("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 30, "PRIVATE KEY"),
+    Kind("pem", f"{_BEGIN}({_CLOSED}|{_OPEN})(?:{_END})?", 1, 30, "PRIVATE KEY"),
 )
 _NONE = "array<struct<start: long, kind: int, end: long, name: string, value: string>>"
 
@@ -168,10 +173,12 @@ def _kind_sql(kind: Kind, rank: int) -> str:
     WHERE length(value) >= {kind.least}"""
 
 
+# The SQL knows a private key by its header line alone.
+_IN_SQL = BASE + FURTHER[:-1] + (Kind("pem", _BEGIN, 0, 30, "PRIVATE KEY"),)
 #: DuckDB SQL for the registered query, of ``documents``.
 SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
-s AS ({" UNION ALL ".join(_kind_sql(k, i) for i, k in enumerate(BASE + FURTHER))}),
+s AS ({" UNION ALL ".join(_kind_sql(k, i) for i, k in enumerate(_IN_SQL))}),
 o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM s JOIN d USING (r) GROUP BY value),
 j AS (SELECT s.*, owners <= 2 AS live, name || ':' || start || ':' || "end" AS shown FROM s JOIN o USING (value)),
 g AS (

@@ -136,6 +136,21 @@ def test_secrets_against_python_and_ownership(spark, odd, none):
     assert clean[2] == "[secret]"
 
 
+def test_private_keys_are_told_apart_by_their_bodies(spark):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    lines = ["Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,AB12\n\n" + f"{c * 64}\n{c * 20}==" for c in "VWXYZ"]
+    keys = [f"{begin}\n{x}\n{end}" for x in lines[:3]] + [f"{begin}\\n{'Q' * 64}\\n{'R' * 64}\\nSTU=", f"{begin}\n{lines[4]}\n{end}"]
+    texts = [f"{keys[0]}{keys[1]} x", f"a {keys[1]}", f"b {keys[2]} c", f"{keys[3]} and prose", *[f"see {keys[4]}"] * 3, f"the line {begin} starts a key", f"{begin} {keys[2]}"]
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(docs_of(spark, texts))).collect()}
+    assert got[0].spans == f"pem:0:{len(keys[0])},pem:{len(keys[0])}:{len(keys[0] + keys[1])}" and got[0].n_live == 2
+    assert got[3].spans == f"pem:0:{len(keys[3])}"
+    assert [got[i].n_copied for i in (4, 5, 6)] == [1] * 3 and got[4].spans == ""
+    assert got[7].spans == "" and got[7].n_live == got[7].n_copied == 0
+    clean = {r.doc_id: r.text for r in secrets.redacted(docs_of(spark, texts)).collect()}
+    assert [clean[i] for i in (0, 1, 2, 3)] == ["[secret][secret] x", "a [secret]", "b [secret] c", "[secret] and prose"]
+    assert clean[8] == f"{begin} [secret]" and clean[5] == texts[5]
+
+
 # 3
 
 
