@@ -4,8 +4,9 @@ DataFrame functions only. One read finds each row's matches: positions come from
 lengths of what ``split`` leaves between the matches of a pattern. Values are hashed and
 counted by distinct repositories and owners, first by (value, owner, repository), then by
 (value, owner), then by value, each step combined before its shuffle, so that a value
-in a third of all rows is one row per task. A value of more than ``max_owners`` owners is a
-widely copied example; one of few owners is taken as live.
+in a third of all rows is one row per task. A value of more than ``max_owners`` owners
+or in more than ``max_repositories`` repositories is a widely copied example, also where one owner
+has all of them; one of few owners and repositories is taken as live.
 
 The three base kinds are always spans. The further kinds are spans where their value is live.
 
@@ -60,6 +61,7 @@ FURTHER = (
     Kind("pem", f"{_BEGIN}({_CLOSED}|{_OPEN})(?:{_END})?", 1, 30, "PRIVATE KEY"),
 )
 _NONE = "array<struct<start: long, kind: int, end: long, name: string, value: string>>"
+_JUDGED = "array<struct<start: long, kind: int, end: long, name: string, owners: long, repositories: long, live: boolean>>"
 
 
 def matches(text: Column, kind: Kind, rank: int) -> Column:
@@ -85,10 +87,11 @@ def _joined(spans: Column) -> Column:
 
 
 def scan(
-    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", max_owners: int = 2
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", repository: str = "doc_id", owner: str = "source", max_owners: int = 2, max_repositories: int = 10
 ) -> DataFrame:
-    """Per row of ``docs``: its id, the hash of its text, base spans, all spans, and how many
-    spans hold a live value and a widely copied one."""
+    """Per row of ``docs``: its id, the hash of its text, base spans, all spans, how many
+    spans hold a live value and a widely copied one, and of each span, by how many owners and
+    repositories it was judged."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     found = docs.select(
         F.col(doc_id).alias("doc_id"),
@@ -117,11 +120,12 @@ def scan(
         .groupBy("value")
         .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    judged = spans.join(owners, "value").withColumn("live", F.col("owners") <= max_owners)
+    judged = spans.join(owners, "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     per_row = judged.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.when(F.col("live") & (F.col("s.kind") >= len(BASE)), F.col("s")))).alias("added"),
         F.size(F.collect_set(F.when(F.col("live"), F.col("s")))).cast("long").alias("n_live"),
         F.size(F.collect_set(F.when(~F.col("live"), F.col("s")))).cast("long").alias("n_copied"),
+        F.array_sort(F.collect_set(F.struct("s.start", "s.kind", "s.end", "s.name", "owners", "repositories", "live"))).alias("judged"),
     )
     per_row = per_row.withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash"))
@@ -132,6 +136,7 @@ def scan(
         F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_NONE)))).alias("spans"),
         F.coalesce("n_live", F.lit(0)).alias("n_live"),
         F.coalesce("n_copied", F.lit(0)).alias("n_copied"),
+        F.coalesce("judged", F.array().cast(_JUDGED)).alias("judged"),
     )
 
 
@@ -173,7 +178,7 @@ def _kind_sql(kind: Kind, rank: int) -> str:
     WHERE length(value) >= {kind.least}"""
 
 
-# The SQL knows a private key by its header line alone.
+# The SQL knows a private key by its header line alone, and judges values by owners alone.
 _IN_SQL = BASE + FURTHER[:-1] + (Kind("pem", _BEGIN, 0, 30, "PRIVATE KEY"),)
 #: DuckDB SQL for the registered query, of ``documents``.
 SQL = f"""

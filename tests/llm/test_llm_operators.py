@@ -151,6 +151,19 @@ def test_private_keys_are_told_apart_by_their_bodies(spark):
     assert clean[8] == f"{begin} [secret]" and clean[5] == texts[5]
 
 
+def test_examples_of_one_owner_in_many_repositories_are_copied(spark):
+    token, own, text = "see ghp_" + "Ab" * 18, "see ghp_" + "Cd" * 18, "nothing"
+    rows = [(i, token if i < 11 else own if i < 13 else text, "en", "hot", 1) for i in range(15)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    for i in range(15):
+        live, copied = (0, 1) if i < 11 else (1, 0) if i < 13 else (0, 0)
+        assert (got[i].n_live, got[i].n_copied, len(got[i].spans)) == (live, copied, live)
+    assert [(j.owners, j.repositories, j.live) for j in got[0].judged] == [(1, 11, False)]
+    assert [(j.owners, j.repositories, j.live) for j in got[11].judged] == [(1, 2, True)] and got[14].judged == []
+    assert {r.n_live for r in secrets.scan(docs, max_repositories=11).filter("doc_id < 13").collect()} == {1}
+
+
 # 3
 
 
