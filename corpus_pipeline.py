@@ -15,9 +15,15 @@ from plumbline.llm import decontamination, language, ngram_join, packing, secret
 from plumbline.llm.tables import fold, read, settle, shared_folder
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows of the given ids. A null id is never among them."""
-    return docs.join(settle(ids.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With a key of id and text, so that null and repeated ids are told apart by their texts.
+    Only rows of one id and one text share a key; what a stage decides is the same for these."""
+    return docs.withColumn("_key", F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text"))
+
+
+def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """``keyed`` without the rows of the given keys."""
+    return keyed.join(settle(keys.select("_key").distinct()), "_key", "left_anti").select(*keyed.columns)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,20 +35,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document of the smallest id stays, in one row if
-    the id is repeated. Documents without words are nobody's duplicates."""
-    found = settle(ngram_join.near_duplicates(docs))
-    kept = _without(docs, found.filter("doc_id != component_id"))
-    repeated = settle(found.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
-    if repeated.isEmpty():
-        return kept
-    return _without(kept, repeated).union(kept.join(repeated, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates, one document of the smallest id stays, a null id
+    being the largest, in one row if id and text are repeated. Documents without words are
+    nobody's duplicates."""
+    keyed = _keyed(docs)
+    found = settle(ngram_join.near_duplicates(keyed, doc_id="_key").select(F.col("doc_id").alias("_key"), "component_id"))
+    groups, ids = found.distinct(), keyed.select("_key", "doc_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "_key")).alias("first")
+    stay = groups.join(ids, "_key").groupBy("component_id").agg(first).select("first._key")
+    kept = _without(keyed, groups.join(stay, "_key", "left_anti"))
+    repeated = settle(found.groupBy("_key").count().filter("count > 1").select("_key"))
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "_key", "left_semi").select(*keyed.columns).dropDuplicates(["_key"])
+        kept = _without(kept, repeated).union(once)
+    return kept.select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
-    found = decontamination.contamination(docs, read(spark, sf_dir, "benchmark"))
-    return _without(docs, found.filter("contaminated"))
+    keyed = _keyed(docs)
+    found = decontamination.contamination(keyed, read(spark, sf_dir, "benchmark"), doc_id="_key")
+    return _without(keyed, found.filter("contaminated").withColumnRenamed("doc_id", "_key")).select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,7 +75,8 @@ STAGES = [
     ("secrets", hide_secrets),
     ("packing", pack),
 ]
-#: Tokens and learned models can't be had in SQL; a brute-force version checks the result.
+#: Tokens and learned models can't be had in SQL; tests check what the stages from near duplicates
+#: to secrets keep against brute force.
 ORACLE_SQL = None
 
 
