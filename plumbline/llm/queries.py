@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontamination, html_text, language, ngram_join, packing, quality_model, quality_rules, secrets, toxicity, url_filter
+from plumbline.llm import (
+    decontamination,
+    filter_audit,
+    html_text,
+    language,
+    license_scan,
+    ngram_join,
+    packing,
+    periodic_runs,
+    quality_model,
+    quality_rules,
+    secrets,
+    toxicity,
+    url_filter,
+)
 from plumbline.llm.tables import fold, read
 
 
@@ -62,6 +76,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, rules).select("doc_id", *quality_rules.COUNTS, "base_failed", "kept")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.periodic_runs(periodic_runs.planted(read(spark, sf_dir, "documents"))))
+
+
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(read(spark, sf_dir, "documents")))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def register() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]:
     """Query and SQL, None where SQL cannot express it; those are tested against brute force."""
     return {
@@ -75,4 +101,7 @@ def register() -> dict[str, tuple[Callable[[SparkSession, str], DataFrame], str
         "op8_url_filter": (op8_url_filter, url_filter.SQL),
         "op9_language": (op9_language, None),
         "op10_quality_rules": (op10_quality_rules, None),
+        "op11_periodic_runs": (op11_periodic_runs, None),
+        "op12_license_scan": (op12_license_scan, license_scan.SQL),
+        "op13_filter_audit": (op13_filter_audit, filter_audit.SQL),
     }
