@@ -48,14 +48,9 @@ def profile_ctes(
                        avg({n}) AS mean_val, {deviation}({n}) AS std_val
                 FROM data{tag}"""
         )
-        order = c
-        if kind == "string":
-            order = (
-                f"left({c}, 128) ASC, CASE WHEN length({c}) > 128 THEN sha256({c}) END ASC NULLS FIRST"
-            )
         freq.append(
             f"""SELECT {i} AS ordinal, CAST({c} AS VARCHAR) AS value, count(*) AS cnt,
-                       row_number() OVER (ORDER BY count(*) DESC, {order}) AS rnk
+                       row_number() OVER (ORDER BY count(*) DESC, {c}) AS rnk
                 FROM data{tag} WHERE {c} IS NOT NULL GROUP BY {c}"""
         )
     share_base = "row_count - null_count" if base == "non_null" else "row_count"

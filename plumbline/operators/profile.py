@@ -9,13 +9,14 @@ of tables and columns, and two reads per column:
   distinct counts, the text extremes and the top values are taken.
 
 A frequent value is combined before the shuffle, so it arrives as one row per
-map task.  A long text travels as its SHA-256 digest and a short prefix used
-only for ordering; the whole texts of the few winners are looked up afterwards.
+map task.  A long text travels as its SHA-256 digest and a short prefix.  What is
+left of the frequencies is a few rows per column and kept as a small table;
+:mod:`long_ties` brings the long texts among them into the order of whole values.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -24,8 +25,9 @@ from pyspark.sql import types as T
 
 from plumbline.functions import text as X
 from plumbline.functions.types import canonical_type, sql_text
-from plumbline.operators import flags
+from plumbline.operators import flags, long_ties
 from plumbline.operators.unions import union_all
+from plumbline.sources.settle import settle
 
 
 @dataclass(frozen=True)
@@ -184,7 +186,6 @@ class Frequencies:
 
     counts: DataFrame
     slots: tuple[str, ...]
-    texts: DataFrame | None  # (cid, value) rows of the long texts, unread until needed
 
 
 # Never NULL, and visibly so: a join on a nullable cid would push a NULL filter into
@@ -203,7 +204,7 @@ def value_frequencies(
         kinds[s.slot[0]] = s.slot[1]
     slots = {**kinds, **({"digest": "string"} if "v_string" in kinds else {})}
 
-    parts, texts = [], []
+    parts = []
     for table, df in tables.items():
         data = positional(df)
         for slot, kind in kinds.items():
@@ -214,7 +215,6 @@ def value_frequencies(
             filled = {slot: "value"}
             if slot == "v_string":
                 long = f"length(value) > {options.inline_chars}"
-                texts.append(rows.where(long).selectExpr(_CID, "value"))
                 filled = {
                     slot: f"left(value, {options.inline_chars})",
                     "digest": f"CASE WHEN {long} THEN sha2(value, 256) END",
@@ -222,7 +222,20 @@ def value_frequencies(
             keys = [f"{filled.get(s, f'CAST(NULL AS {t})')} AS {s}" for s, t in slots.items()]
             parts.append(rows.selectExpr(_CID, *keys))
     counts = union_all(parts).groupBy("cid", *slots).agg(F.count(F.lit(1)).alias("count"))
-    return Frequencies(counts, tuple(slots), union_all(texts) if texts else None)
+    return Frequencies(counts, tuple(slots))
+
+
+def long_texts(
+    tables: Mapping[str, DataFrame], sites: Mapping[str, list[ColumnSite]], cids: Iterable[int], inline_chars: int
+) -> DataFrame:
+    """(cid, value): the values of the given text columns that are longer than ``inline_chars``."""
+    chosen, parts = set(cids), []
+    for table, df in tables.items():
+        members = [s for s in sites[table] if s.cid in chosen]
+        if members:
+            rows = _unpivot(positional(df), members, "string")
+            parts.append(rows.where(f"length(value) > {inline_chars}").selectExpr(_CID, "value"))
+    return union_all(parts)
 
 
 def _unpivot(data: DataFrame, members: list[ColumnSite], kind: str) -> DataFrame:
@@ -256,32 +269,26 @@ def _short_text(freq: Frequencies) -> Column:
     return F.coalesce(*[F.col(s).cast("string") for s in freq.slots if s != "digest"])
 
 
-def ranked_values(freq: Frequencies, k: int) -> DataFrame:
-    """The k most frequent values per column; equal counts in value order.
+def leading_values(freq: Frequencies, n: int) -> DataFrame:
+    """The n most frequent values per column; equal counts in the order of values, long texts
+    in that of their prefix.
 
-    The window filters on ``row_number``, so Spark keeps only k rows per column
+    The window filters on ``row_number``, so Spark keeps only n rows per column
     and map partition before the shuffle.
     """
     order = Window.partitionBy("cid").orderBy(
         F.desc("count"), *[F.asc_nulls_first(s) for s in freq.slots]
     )
-    top = freq.counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    short = _short_text(freq)
-    if freq.texts is None:
-        return top.select("cid", "rank", short.alias("value"), "count")
-    # Whole texts of the long winners: at most k per text column, so the wanted
-    # side of this join is bounded. Without long winners AQE drops the read.
-    wanted = top.where(F.col("digest").isNotNull()).select("cid", "digest")
-    found = (
-        freq.texts.withColumn("digest", F.sha2("value", 256))
-        .join(F.broadcast(wanted), ["cid", "digest"])
-        .groupBy("cid", "digest")
-        # one text per digest: the set has one element and aggregates by hash
-        .agg(F.element_at(F.collect_set("value"), 1).alias("whole"))
-    )
-    return top.join(found, ["cid", "digest"], "left").select(
-        "cid", "rank", F.coalesce("whole", short).alias("value"), "count"
-    )
+    top = freq.counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= n)
+    digest = F.col("digest") if "digest" in freq.slots else F.lit(None).cast("string")
+    return top.select("cid", "rank", _short_text(freq).alias("value"), digest.alias("digest"), "count")
+
+
+def frequency_head(freq: Frequencies, k: int) -> DataFrame:
+    """Of each column, the k + 1 leading values and, in a row of rank 0, its summary: what
+    a profile needs of the frequencies, in one job."""
+    summary = value_summary(freq).withColumn("rank", F.lit(0))
+    return leading_values(freq, k + 1).unionByName(summary, allowMissingColumns=True)
 
 
 # --- the profile --------------------------------------------------------------
@@ -292,8 +299,9 @@ def profile_tables(
     options: ProfileOptions = ProfileOptions(),
     expected_types: Mapping[str, Mapping[str, str]] | None = None,
 ) -> DataFrame:
-    """Profile of a whole source: one row per column, lazily planned.
+    """Profile of a whole source: one row per column.
 
+    Values are counted here and now, moments when the result is read.
     ``expected_types`` gives, per table and column, the declared type to report
     instead of the table's own.
     """
@@ -301,12 +309,17 @@ def profile_tables(
     if not tables:
         raise ValueError("no columns to profile")
     sites = column_sites(tables, expected_types)
-    freq = value_frequencies(tables, sites, options)
-    top = flags.summarise_values(ranked_values(freq, options.top_k))
+    # at most k + 2 rows per column
+    head = settle(frequency_head(value_frequencies(tables, sites, options), options.top_k))
+    ranked = long_ties.in_value_order(
+        head, options.top_k, options.inline_chars, lambda cids: long_texts(tables, sites, cids, options.inline_chars)
+    )
+    top = flags.summarise_values(ranked)
+    summary = head.where("rank = 0").select("cid", "distinct_count", "value_count", "short_low", "short_high")
     # all sides below have one row per column of the source
     stats = (
         column_stats(tables, sites, options)
-        .join(F.broadcast(value_summary(freq)), "cid", "left")
+        .join(F.broadcast(summary), "cid", "left")
         .fillna(0, ["distinct_count", "value_count"])
     )
     base = F.col("value_count") if options.pct_base == "non_null" else F.col("row_count")

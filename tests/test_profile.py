@@ -194,15 +194,51 @@ def test_values_are_shuffled_once(spark, tmp_path):
     spark.range(5000).selectExpr("id", "CAST(id % 9 AS STRING) AS label", "id * 0.5 AS half").write.parquet(
         str(tmp_path / "t")
     )
-    profile = profile_table("t", spark.read.parquet(str(tmp_path / "t")))
+    tables = {"t": spark.read.parquet(str(tmp_path / "t"))}
+    sites = P.column_sites(tables)
+    head = P.frequency_head(P.value_frequencies(tables, sites), 20)
+    head.collect()
+    profile = profile_tables(tables)
     profile.collect()
-    plan = profile._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
-    assert "ReusedExchange" in plan
-    # two reads per column: typed and text statistics, three slots, and the long-text
-    # lookup that falls away when there is no long text
-    assert 5 <= plan.count("FileScan") <= 6
-    assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
-    assert "ReadSchema: struct<label:string>" in plan  # each read takes only its columns
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0] for df in (head, profile)]
+    assert "ReusedExchange" in plans[0]
+    # two reads per column: three slots here, typed and text statistics there
+    assert [plan.count("FileScan parquet [id") + plan.count("FileScan parquet [la") + plan.count("FileScan parquet [ha") for plan in plans] == [3, 2]
+    for plan in plans:
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan and "Python" not in plan
+        assert "ReadSchema: struct<label:string>" in plan  # each read takes only its columns
+
+
+def whole_order(texts, k):
+    return sorted(Counter(texts).items(), key=lambda item: (-item[1], item[0].encode()))[:k]
+
+
+@pytest.mark.parametrize("shared", ["", "x" * 200, "é" * 128, "y" * 2000, "z" * 127])
+def test_long_ties_follow_whole_values(spark, shared):
+    """Many texts of one beginning; the border of the leading values lies among them."""
+    rng = random.Random(len(shared))
+    texts = [shared + "".join(rng.choice("abé") for _ in range(rng.randint(0, 9))) + rng.choice(["", "q" * 700]) for _ in range(300)]
+    texts += [shared + "a" * n for n in range(130)] + ["b" * 300] * 3 + ["short"] * 2
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "v string, n int").repartition(5)
+    for k in (1, 5, 20, 64):
+        row = by_column(profile_table("t", df, ProfileOptions(top_k=k)))["v"]
+        assert values(row) == whole_order(texts, k)
+
+
+def test_the_descent_reads_only_columns_whose_border_ties(spark):
+    data = [("p" * 500 + str(i), "q" * 300 if i < 30 else "r" * 300 + str(i), "s") for i in range(60)]
+    df = spark.createDataFrame(data, "tied string, clear string, brief string")
+    tables, asked = {"t": df}, []
+    sites, options = P.column_sites(tables), ProfileOptions(top_k=1)
+
+    def texts(cids):
+        asked.append(sorted(cids))
+        return P.long_texts(tables, sites, cids, options.inline_chars)
+
+    head = P.frequency_head(P.value_frequencies(tables, sites, options), 1)
+    rows = P.long_ties.in_value_order(head, 1, options.inline_chars, texts).collect()
+    assert asked == [[0], [0, 1]]  # one level for the tie, then the winners' texts
+    assert {r["cid"]: r["value"] for r in rows} == {0: "p" * 500 + "0", 1: "q" * 300, 2: "s"}
 
 
 def test_presentation(spark):
