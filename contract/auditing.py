@@ -246,16 +246,24 @@ def _copies_sql(view: str) -> str:
     return f"WITH data AS ({v.sql}) " + " UNION ALL ".join(parts)
 
 
-_DETERMINANTS = ["part_no", "quantity", "shelf", "flag", "grade"]
-_DEPENDENTS = ["part_no", "quantity", "qty_copy", "shelf", "half", "flag", "grade", "order_no"]
+def _dependencies(view: str):
+    """Every column against every other one."""
+
+    def run(spark, sf_dir):
+        df = VIEWS[view].build(spark, sf_dir)
+        return E.dependencies(df, df.columns, df.columns)
+
+    return run
 
 
 def _dependencies_sql(view: str) -> str:
+    names = [c for c, _ in VIEWS[view].columns]
     parts = [
         f"""SELECT '{a}' AS determinant, '{b}' AS dependent, count(DISTINCT {a}) AS "values" FROM data
-        WHERE {a} IS NOT NULL AND {b} IS NOT NULL HAVING count(DISTINCT {a}) = count(DISTINCT ({a}, {b}))"""
-        for a in _DETERMINANTS
-        for b in _DEPENDENTS
+        WHERE {a} IS NOT NULL AND {b} IS NOT NULL
+        HAVING count(DISTINCT {a}) = count(DISTINCT ({a}, {b})) AND count(*) > 0"""
+        for a in names
+        for b in names
         if a != b
     ]
     return f"WITH data AS ({VIEWS[view].sql}) " + " UNION ALL ".join(parts)
@@ -450,9 +458,15 @@ def register() -> dict[str, tuple]:
         _copies_sql("invoice"),
     )
     q["enrichment_dependencies"] = (
-        lambda s, d: E.dependencies(VIEWS["invoice"].build(s, d), _DETERMINANTS, _DEPENDENTS),
+        _dependencies("invoice"),
         _dependencies_sql("invoice"),
     )
+    # gaps: columns that are missing together or apart
+    q["enrichment_dependencies_with_gaps"] = (_dependencies("intake"), _dependencies_sql("intake"))
+    q["enrichment_derivable_with_gaps"] = (
+        lambda s, d: E.derivable_columns(VIEWS["late_figures"].build(s, d)),
+        _products_sql("late_figures"),
+    )
     q["enrichment_profile_rules"] = (
         lambda s, d: flat(enrichment(s, d)),
         _over_profiles(_PROFILE_RULES, _ENRICHED),

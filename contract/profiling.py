@@ -109,6 +109,7 @@ def register() -> dict[str, tuple]:
         lambda s, d: presentable(profile_tables(inputs(s, d, PROFILED))),
         S.profiles_sql(PROFILED),
     )
+    q["profile_headed_texts"] = (_profile("headed_texts"), S.profile_sql("headed_texts"))
     q["profile_population_deviation"] = (
         _profile("lineitem", deviation="population"),
         S.profile_sql("lineitem", deviation="stddev_pop"),
@@ -117,7 +118,7 @@ def register() -> dict[str, tuple]:
         lambda s, d: presentable(profile_tables(inputs(s, d, ["order_sheet"]), expected_types=EXPECTED)),
         S.profile_sql("order_sheet", expected=EXPECTED["order_sheet"]),
     )
-    for view in ("orders", "lineitem", "documents", "labelled"):
+    for view in ("orders", "lineitem", "documents", "pages", "conversations", "labelled", "headed_texts"):
         q[f"top_values_{view}"] = (_top(view), S.top_sql(view))
     q["top_values_share_of_all_rows"] = (
         _top("labelled", pct_base="all"),

@@ -199,3 +199,23 @@ VIEWS["invoice"] = _renamed(
     "order_no:bigint part_no:bigint quantity:double price:double total:double qty_copy:double shelf:bigint "
     "half:double currency:string flag:string grade:string",
 )
+# figures that begin late, and two kinds of rows that fill different ones
+VIEWS["late_figures"] = _renamed(
+    "lineitem",
+    "order_no=l_orderkey; quantity=l_quantity; price=l_extendedprice;"
+    "total=CASE WHEN l_orderkey % 5 > 0 THEN l_quantity * l_extendedprice END;"
+    "early_fee=CASE WHEN l_linenumber < 4 THEN l_quantity * 2 END;"
+    "late_rate=CASE WHEN l_linenumber >= 4 THEN l_quantity / 4 END;"
+    "late_units=CASE WHEN l_linenumber >= 4 THEN l_partkey % 13 + 2 END;"
+    "late_cost=CASE WHEN l_linenumber >= 4 THEN l_quantity / 4 * (l_partkey % 13 + 2) END;"
+    "late_drift=CASE WHEN l_linenumber >= 4 THEN l_quantity / 4 * (l_partkey % 13 + 2) + "
+    "CASE WHEN l_orderkey = 7 THEN 1 ELSE 0 END END",
+    "order_no:bigint quantity:double price:double total:double early_fee:double late_rate:double "
+    "late_units:bigint late_cost:double late_drift:double",
+)
+# texts that differ only far behind a common beginning
+VIEWS["headed_texts"] = _renamed(
+    "documents",
+    "doc_id=doc_id; text=concat(repeat('= ', 100), text); lang=lang",
+    "doc_id:bigint text:string lang:string",
+)

@@ -1,9 +1,12 @@
 """Enrichment rules: derivable, redundant and dependent columns, constraints, partitions.
 
-Claims about all rows (``c = a * b``, ``a = b``, ``a determines b``) are first
-tested on a handful of rows: one counter-example refutes a claim for good, so
-the few rows only ever discard.  What survives is checked on the whole table, all
-claims of a kind together in one pass.
+Claims about all rows are never listed by brute force:
+
+* ``c = a * b``      rows that cover all co-occurring columns refute claims, each product of such a row
+                     looked up among its sorted values; what is left is checked on the whole table;
+* ``a = b``          equal columns have equal fingerprints, taken of all columns in one pass;
+* ``a determines b`` one grouped aggregate of the least and greatest hash of every dependent per
+                     value of each determinant.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from pyspark.sql import types as T
 from plumbline.functions import text as X
 from plumbline.functions.types import is_numeric
 from plumbline.operators import findings as FD
+from plumbline.operators import products
 from plumbline.operators.profile import positional
 from plumbline.operators.unions import union_all
 from plumbline.sources.catalog import describe_tables
@@ -27,7 +31,7 @@ from plumbline.sources.catalog import describe_tables
 @dataclass(frozen=True)
 class Options:
     tolerance: float = 0.005
-    probe_rows: int = 1000  # rows used to refute claims; never to accept one
+    probe_rows: int = 1000  # rows used to refute products; never to accept one
     partition_rows: int = 1_000_000  # a table this large is worth partitioning
     partition_values: int = 1000  # a partition column has at most this many values
     partition_fill: int = 1000  # and at least this many rows per value
@@ -36,15 +40,10 @@ class Options:
 DEFAULT = Options()
 
 
-def _probe(df: DataFrame, expressions: Mapping[int, str], options: Options):
-    """A bounded number of rows as pandas, for refutation only: numbers and hashes, no texts."""
-    shown = [f"{e} AS c{i}" for i, e in expressions.items()]
-    return positional(df).limit(options.probe_rows).selectExpr(*shown).toPandas()
-
-
-def _hash(value: str) -> str:
-    """SQL of a value's hash as text, NULL for NULL: different hashes mean different values."""
-    return f"CASE WHEN {value} IS NOT NULL THEN CAST(xxhash64({value}) AS STRING) END"
+def _hash(value: str, seed: str | None = None) -> str:
+    """SQL of a value's hash, NULL for NULL: different hashes mean different values."""
+    more = f", '{seed}'" if seed else ""
+    return f"CASE WHEN {value} IS NOT NULL THEN xxhash64({value}{more}) END"
 
 
 def _usable(df: DataFrame, constant: Sequence[str]) -> list[int]:
@@ -62,13 +61,15 @@ def derivable_columns(
     Constant columns take no part: multiplying by one explains nothing.
     """
     numeric = [i for i in _usable(df, constant) if is_numeric(df.schema.fields[i].dataType)]
-    claims = [
-        (c, a, b) for a, b in combinations(numeric, 2) for c in numeric if c not in (a, b)
-    ]
+    if len(numeric) < 3:
+        return _confirmed(df, df, [], lambda _: None, ("target", "left", "right"))
     sql = {i: X.number(f"c{i}", df.schema.fields[i].dataType) for i in numeric}
-    if claims:
-        claims = _products_left(_probe(df, sql, options), claims, options)
     data = positional(df)
+    rows, complete = _refuting_rows(data, list(sql.values()), options)
+    left = products.surviving(rows, options.tolerance)
+    if not complete:
+        left += products.unseen(rows)
+    claims = [tuple(numeric[x] for x in claim) for claim in left]
     number = {i: F.expr(e) for i, e in sql.items()}
 
     def evidence(claim: tuple[int, ...]) -> Column:
@@ -78,17 +79,22 @@ def derivable_columns(
     return _confirmed(df, data, claims, evidence, ("target", "left", "right"))
 
 
-def _products_left(sample, claims, options):
-    import numpy as np
-
-    values = {i: sample[f"c{i}"].astype("float64").to_numpy() for i in {x for c in claims for x in c}}
-    left = []
-    for c, a, b in claims:
-        with np.errstate(all="ignore"):
-            gap = np.abs(values[c] - values[a] * values[b])
-        if not np.any(gap > options.tolerance * (1 + 1e-9) + 1e-9):
-            left.append((c, a, b))
-    return left
+def _refuting_rows(data: DataFrame, numbers: Sequence[str], options: Options):
+    """At most ``2 * probe_rows`` rows of numbers, NaN for NULL: some of the first ones, and one for each
+    other set of columns that are filled together; and whether these are all such sets."""
+    filled = F.concat(*[F.when(F.expr(e).isNull(), "0").otherwise("1") for e in numbers])
+    rows = data.select(filled.alias("filled"), F.expr(f"array({', '.join(numbers)})").alias("numbers"))
+    first = rows.limit(options.probe_rows).collect()
+    known = sorted({r["filled"] for r in first})
+    sets = rows.groupBy("filled").count()
+    if known:
+        sets = sets.where(~F.col("filled").isin(known))
+    others = [r["filled"] for r in sets.orderBy(F.desc("count"), "filled").limit(options.probe_rows + 1).collect()]
+    complete, others = len(others) <= options.probe_rows, others[: options.probe_rows]
+    if others:
+        wanted = F.broadcast(data.sparkSession.createDataFrame([(x,) for x in others], "filled string"))
+        first += rows.join(wanted, "filled").groupBy("filled").agg(F.any_value("numbers").alias("numbers")).collect()
+    return products.as_matrix([r["numbers"] for r in first], len(numbers)), complete
 
 
 # --- a = b -----------------------------------------------------------------------
@@ -98,24 +104,38 @@ def redundant_pairs(
     df: DataFrame, constant: Sequence[str] = (), options: Options = DEFAULT
 ) -> DataFrame:
     """(kept, copy, checked): columns of one type that are equal, NULLs included, on every row."""
-    fields, usable = df.schema.fields, _usable(df, constant)
-    claims = [
-        (a, b)
-        for a, b in combinations(usable, 2)
-        if fields[a].dataType == fields[b].dataType and _orderable(fields[a].dataType)
-    ]
-    if claims:
-        # adding zero makes the two zeros of floating point one, as equality does
-        plus = {i: " + 0" if isinstance(fields[i].dataType, (T.FloatType, T.DoubleType)) else "" for i in usable}
-        hashed = {i: _hash(f"(c{i}{plus[i]})") for i in sorted({i for pair in claims for i in pair})}
-        sample = _probe(df, hashed, options)
-        claims = [(a, b) for a, b in claims if sample[f"c{a}"].tolist() == sample[f"c{b}"].tolist()]
+    fields = df.schema.fields
+    by_type: dict[T.DataType, list[int]] = {}
+    for i in _usable(df, constant):
+        if _orderable(fields[i].dataType):
+            by_type.setdefault(fields[i].dataType, []).append(i)
+    compared = [i for members in by_type.values() if len(members) > 1 for i in members]
     data = positional(df)
+    prints = fingerprints(data, {i: fields[i].dataType for i in compared})
+    claims = [
+        (a, b) for members in by_type.values() for a, b in combinations(members, 2)
+        if prints.get(a) is not None and prints[a] == prints.get(b)
+    ]
     return _confirmed(
-        df, data, claims, lambda p: F.col(f"c{p[0]}").eqNullSafe(F.col(f"c{p[1]}")), ("kept", "copy")
+        df, data, sorted(claims), lambda p: F.col(f"c{p[0]}").eqNullSafe(F.col(f"c{p[1]}")), ("kept", "copy")
     )
 
 
+def fingerprints(data: DataFrame, columns: Mapping[int, T.DataType]) -> dict[int, int | None]:
+    """A number per column of :func:`positional` rows, alike for columns that are equal on every row.
+
+    Each value is hashed together with a mark of its row, and the hashes are combined without
+    regard to order, so that it takes one aggregate over all columns. NULL without rows."""
+    if not columns:
+        return {}
+    # adding zero makes the two zeros of floating point one, as equality does
+    plus = {i: " + 0" if isinstance(t, (T.FloatType, T.DoubleType)) else "" for i, t in columns.items()}
+    marked = data.withColumn("row", F.monotonically_increasing_id())
+    hashed = marked.selectExpr(*[f"xxhash64(row, c{i}{plus[i]}) AS c{i}" for i in columns])
+    found = hashed.agg(*[F.bit_xor(f"c{i}").alias(f"c{i}") for i in columns]).first()
+    return {i: found[f"c{i}"] for i in columns}
+
+
 def _orderable(dtype: T.DataType) -> bool:
     return not isinstance(dtype, (T.MapType, T.VariantType))
 
@@ -150,54 +170,45 @@ def dependencies(
     determinants: Sequence[str],
     dependents: Sequence[str],
     options: Options = DEFAULT,
+    width: int = 64,
 ) -> DataFrame:
     """(determinant, dependent, values): pairs where each left value has one right value.
 
-    Rows missing either value take no part. All surviving pairs share one
-    shuffle of their distinct value pairs.
+    Rows missing either value take no part. A row meets the groups of its values of all determinants,
+    and each group keeps the least and greatest hash of every dependent: they differ
+    where a second value comes in. ``width`` dependents are aggregated together.
     """
-    index = {name: i for i, name in enumerate(df.columns)}
-    named = sorted({index[c] for c in (*determinants, *dependents)})
-    fields = df.schema.fields
-    if not named:
-        return df.sparkSession.createDataFrame([], _DEPENDENCY)
-    sample = _probe(df, {i: _hash(X.rendered(f"c{i}", fields[i].dataType)) for i in named}, options)
-    claims = []
-    for a in determinants:
-        for b in dependents:
-            if a == b:
-                continue
-            pair = sample[[f"c{index[a]}", f"c{index[b]}"]].dropna().drop_duplicates()
-            if not pair[f"c{index[a]}"].duplicated().any():
-                claims.append((a, b))
-    if not claims:
-        return df.sparkSession.createDataFrame([], _DEPENDENCY)
-    # One row per (pair, left, right); the left and right sides travel as text.
-    used = sorted({index[c] for claim in claims for c in claim})
-    data = positional(df).selectExpr(*[f"{X.rendered(f'c{i}', fields[i].dataType)} AS c{i}" for i in used])
-    sides = F.array(
-        *[
-            F.struct(
-                F.lit(j).alias("pair"), F.col(f"c{index[a]}").alias("left"), F.col(f"c{index[b]}").alias("right")
-            )
-            for j, (a, b) in enumerate(claims)
+    index, fields = {name: i for i, name in enumerate(df.columns)}, df.schema.fields
+    determinants, dependents = list(dict.fromkeys(determinants)), list(dict.fromkeys(dependents))
+    blocks = [dependents[i : i + width] for i in range(0, len(dependents), width)]
+    parts = []
+    for block in blocks:
+        left = [a for a in determinants if any(a != b for b in block)]
+        if not left:
+            continue
+        shown = {c: X.rendered(f"c{index[c]}", fields[index[c]].dataType) for c in (*left, *block)}
+        hashes = [f"{_hash(shown[b])} AS h{j}" for j, b in enumerate(block)]
+        # two hashes stand for a value of a determinant: no two of very many may meet by chance
+        values = [
+            f"named_struct('site', {i}, 'x', {_hash(shown[a])}, 'y', {_hash(shown[a], 'site')})" for i, a in enumerate(left)
         ]
-    )
-    names = F.array(
-        *[F.struct(F.lit(a).alias("determinant"), F.lit(b).alias("dependent")) for a, b in claims]
-    )
-    return (
-        data.select(F.inline(sides))
-        .dropna()
-        .distinct()
-        .groupBy("pair", "left")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("pair")
-        .agg(F.max("n").alias("widest"), F.count(F.lit(1)).alias("values"))
-        .where("widest = 1")
-        .withColumn("names", F.element_at(names, F.col("pair") + 1))
-        .select("names.*", "values")
-    )
+        rows = positional(df).selectExpr(*hashes, f"inline(array({', '.join(values)}))").where("x IS NOT NULL")
+        extremes = [f(F.col(f"h{j}")).alias(f"{n}{j}") for j in range(len(block)) for n, f in (("lo", F.min), ("hi", F.max))]
+        groups = rows.groupBy("site", "x", "y").agg(*extremes)
+        verdicts = [
+            x for j in range(len(block))
+            for x in (F.count_if(F.col(f"lo{j}") != F.col(f"hi{j}")).alias(f"broken{j}"), F.count(f"lo{j}").alias(f"values{j}"))
+        ]
+        name = F.element_at(F.array(*[F.lit(a) for a in left]), F.col("site") + 1)
+        claims = [
+            F.struct(name.alias("determinant"), F.lit(b).alias("dependent"), F.col(f"values{j}").alias("values"), F.col(f"broken{j}").alias("broken"))
+            for j, b in enumerate(block)
+        ]
+        parts.append(groups.groupBy("site").agg(*verdicts).select(F.inline(F.array(*claims))))
+    if not parts:
+        return df.sparkSession.createDataFrame([], _DEPENDENCY)
+    held = union_all(parts).where("broken = 0 AND `values` > 0 AND determinant <> dependent")
+    return held.select("determinant", "dependent", "values")
 
 
 # --- findings ------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -51,49 +51,74 @@ def moments(rows: DataFrame) -> DataFrame:
     )
 
 
-def percentile_discrete(
-    rows: DataFrame, ranges: DataFrame, q: float, buckets: int = 4096, levels: int = 2
-) -> DataFrame:
+#: Fixed by the format of doubles: bits of the fraction, offset and least exponent of full precision.
+FRACTION_BITS, EXPONENT_BIAS, LEAST_EXPONENT = 52, 1023, -1022
+
+
+def order_bits(x: str) -> Column:
+    """The bits of a finite double as a signed integer in the order of the doubles; both zeros are 0.
+
+    The exponent is the logarithm's floor, put right where that was rounded over a power of
+    two. Powers of two and quotients by them are exact, so the bits are.
+    """
+    size = F.abs(F.col(x))
+    guess = F.greatest(F.floor(F.log2(size)), F.lit(LEAST_EXPONENT))
+    power = F.pow(F.lit(2.0), guess)
+    # quotients, since twice the greatest power of two is no double
+    exponent = guess + F.when(size / power >= 2, 1).when((size < power) & (guess > LEAST_EXPONENT), -1).otherwise(0)
+    scaled = size / F.pow(F.lit(2.0), exponent)  # below 1 only for the smallest doubles, of which no leading bit is implied
+    implied = (scaled >= 1).cast("long")
+    fraction = ((scaled - implied) * F.lit(float(1 << FRACTION_BITS))).cast("long")
+    bits = (exponent + EXPONENT_BIAS - 1 + implied) * (1 << FRACTION_BITS) + fraction
+    return F.when(F.col(x) > 0, bits).when(F.col(x) < 0, -bits).otherwise(F.lit(0).cast("long"))
+
+
+def percentile_discrete(rows: DataFrame, ranges: DataFrame, q: float, bits: int = 16) -> DataFrame:
     """(cid, percentile): smallest value with at least a share q of the rows at or below it.
 
-    Exact for any size and skew without sorting a column in one task. Each level
-    cuts the value range still in question into equal buckets, counts them (at
-    most ``buckets`` rows per column leave a map task) and keeps the one bucket
-    the wanted rank falls into, with the extremes really found in it. The last
-    step counts the distinct values of that bucket.
+    Exact for any size and skew without sorting a column in one task, by radix selection:
+    each level counts the values of a column by their next ``bits`` bits, of those that share
+    the bits settled so far. At most 2 ** ``bits`` counts per column leave a map task and meet in the task that
+    finds where the wanted rank falls, however the values are distributed. It ends when one value
+    is left per column, after 64 / ``bits`` levels at most.
 
     ``ranges`` has (cid, n, lo, hi), one row per column.
     """
     state = ranges.select(
-        "cid", "lo", "hi", F.ceil(F.col("n") * F.lit(q)).alias("rank"), F.lit(0).cast("bigint").alias("below")
+        "cid",
+        "lo",
+        "hi",
+        F.ceil(F.col("n") * F.lit(q)).alias("rank"),
+        F.lit(0).cast("bigint").alias("below"),
     )
-    running = Window.partitionBy("cid").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    shift = 64
+    while shift > 0:
+        shift = max(shift - bits, 0)
+        state = settle(_selected(radix_counts(rows, state, shift), state))
+        if state.where("lo <> hi").isEmpty():
+            break
+    return state.select("cid", F.col("lo").alias("percentile"))
 
-    def hit(counted: DataFrame) -> DataFrame:
-        reached = F.col("below") + F.sum("rows").over(running)
-        return (
-            counted.join(F.broadcast(state.select("cid", "rank", "below")), "cid")
-            .withColumn("reached", reached)
-            .where((F.col("reached") >= F.col("rank")) & (F.col("reached") - F.col("rows") < F.col("rank")))
-        )
 
-    def inside() -> DataFrame:
-        return rows.join(F.broadcast(state.select("cid", "lo", "hi")), "cid").where(
-            F.col("x").between(F.col("lo"), F.col("hi"))
-        )
+def radix_counts(rows: DataFrame, state: DataFrame, shift: int) -> DataFrame:
+    """(cid, slice, rows, lo, hi): values between a column's bounds, by their bits above ``shift``.
 
-    for _ in range(levels):
-        width = (F.col("hi") - F.col("lo")) / F.lit(buckets)
-        slot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(buckets - 1)))
-        counted = (
-            inside()
-            .groupBy("cid", F.coalesce(slot, F.lit(0)).alias("slice"))
-            .agg(F.count("x").alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-        )
-        state = settle(
-            hit(counted).select(
-                "cid", "lo", "hi", "rank", (F.col("reached") - F.col("rows")).alias("below")
-            )
-        )
-    counted = inside().groupBy("cid", F.col("x").alias("slice")).agg(F.count("x").alias("rows"))
-    return hit(counted).select("cid", F.col("slice").alias("percentile"))
+    The bounds are the extremes of one slice of the level before, so all but the last bits agree."""
+    return (
+        rows.join(F.broadcast(state.select("cid", F.col("lo").alias("from"), F.col("hi").alias("to"))), "cid")
+        .where(F.col("x").between(F.col("from"), F.col("to")))
+        .groupBy("cid", F.shiftright(order_bits("x"), shift).alias("slice"))
+        .agg(F.count("x").alias("rows"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+    )
+
+
+def _selected(counted: DataFrame, state: DataFrame) -> DataFrame:
+    """Per column, the slice that holds the wanted rank."""
+    running = Window.partitionBy("cid").orderBy("slice").rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.col("below") + F.sum("rows").over(running)
+    return (
+        counted.join(F.broadcast(state.select("cid", "rank", "below")), "cid")
+        .withColumn("reached", reached)
+        .where((F.col("reached") >= F.col("rank")) & (F.col("reached") - F.col("rows") < F.col("rank")))
+        .select("cid", "lo", "hi", "rank", (F.col("reached") - F.col("rows")).alias("below"))
+    )

@@ -1,7 +1,9 @@
+import numpy as np
 from pyspark.sql import functions as F
 
 from plumbline import profile_tables
 from plumbline.operators import enrichment as E
+from plumbline.operators import products
 from plumbline.sources.settle import settle
 from tests.samples import clean_orders
 
@@ -37,6 +39,63 @@ def test_dependencies(spark):
     }
 
 
+def test_late_columns_are_claimed_without_listing_all_triples(spark):
+    """300 numeric columns; a third of them is empty in the first rows, another third elsewhere."""
+    early = [f"CAST(abs(hash(id, {i})) % 1000003 AS DOUBLE) + 0.25 AS e{i}" for i in range(100)]
+    late = [f"IF(id >= 2000, abs(hash(id, 7, {i})) % 99991 + 0.5, NULL) AS l{i}" for i in range(98)]
+    other = [f"IF(id < 2500, abs(hash(id, 9, {i})) % 99989 + 0.5, NULL) AS o{i}" for i in range(100)]
+    df = spark.range(3000).selectExpr("id", *early, *late, *other)
+    df = df.selectExpr("*", "l3 * l4 AS made", "IF(id = 2999, 1, l3 * e5) AS nearly")
+    rows = E.derivable_columns(df, ["id"]).collect()
+    assert [tuple(r) for r in rows] == [("made", "l3", "l4", 1000)]
+
+
+def test_products_that_rows_let_stand():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        rows = rng.integers(-3, 4, (rng.integers(1, 6), 6)).astype(float)
+        rows[rng.random(rows.shape) < 0.3] = np.nan
+        gaps = {(c, a, b): np.abs(rows[:, c] - rows[:, a] * rows[:, b]) for c in range(6) for a in range(6) for b in range(a + 1, 6) if c not in (a, b)}
+        tested = {claim: g[~np.isnan(g)] for claim, g in gaps.items()}
+        assert sorted(products.surviving(rows, 0.005)) == sorted(c for c, g in tested.items() if len(g) and (g <= 0.005).all())
+        assert sorted(products.unseen(rows)) == sorted(c for c, g in tested.items() if not len(g))
+    assert products.surviving(np.empty((0, 4)), 0.005) == []
+
+
+def test_products_beyond_the_sets_of_columns_that_are_sampled(spark):
+    """More sets of filled columns than rows are taken for: what no row tested is checked on the table."""
+    df = spark.range(4000).selectExpr(
+        "id", *[f"IF(id >> {i} & 1 = 1, hash(id, {i}) % 97 + 0.5, NULL) AS v{i}" for i in range(5)]
+    ).selectExpr("*", "v0 * v3 AS made")
+    few = E.Options(probe_rows=2)
+    assert {(r["target"], r["left"], r["right"]) for r in E.derivable_columns(df, ["id"], few).collect()} == {("made", "v0", "v3")}
+
+
+def test_fingerprints_of_all_columns_in_one_pass(spark):
+    df = spark.range(500).selectExpr("id", "id % 3 AS a", "id % 3 AS b", "IF(id = 499, 5, id % 3) AS c", "IF(id % 3 = 0, NULL, id) AS d", "IF(id % 3 = 0, NULL, id) AS e", "0.0D * (id - 250) AS z", "0.0D AS zero")
+    pairs = {(r["kept"], r["copy"]) for r in E.redundant_pairs(df.repartition(7)).collect()}
+    assert pairs == {("a", "b"), ("d", "e"), ("z", "zero")}
+    assert E.redundant_pairs(df.limit(0)).count() == 0
+
+
+def test_dependencies_against_brute_force(spark):
+    rng = np.random.default_rng(2)
+    names = [f"v{i}" for i in range(6)]
+    rows = [[None if rng.random() < 0.2 else int(x) for x in rng.integers(0, k, 4)] for k in (2, 3, 9) for _ in range(12)]
+    rows = [(*r, None if r[0] is None else r[0] * 2, None) for r in rows]
+    df = spark.createDataFrame(rows, ", ".join(f"{n} int" for n in names))
+    expected = set()
+    for i, a in enumerate(names):
+        for j, b in enumerate(names):
+            pairs = {(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None}
+            if a != b and pairs and len(pairs) == len({x for x, _ in pairs}):
+                expected.add((a, b, len(pairs)))
+    got = E.dependencies(df, names, names, width=4)
+    assert {tuple(r) for r in got.collect()} == expected
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 4  # of two blocks of dependents: a row per determinant, and the verdicts
+
+
 def test_no_claims_no_rows(spark):
     df = spark.createDataFrame([("a",)], "v string")
     assert E.derivable_columns(df).count() == 0

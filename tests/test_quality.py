@@ -1,5 +1,6 @@
 import math
 import random
+import struct
 
 import pytest
 
@@ -124,12 +125,48 @@ def test_percentile_is_exact(spark, seed, q):
     rng.shuffle(rows)
     cids = {k: i for i, k in enumerate(columns)}
     df = spark.createDataFrame([(cids[k], v) for k, v in rows], "cid int, x double").repartition(5)
-    got = numbers.percentile_discrete(df, numbers.moments(df), q, buckets=16, levels=2)
+    got = numbers.percentile_discrete(df, numbers.moments(df), q, bits=4)
     got = {r["cid"]: r["percentile"] for r in got.collect()}
     for name, values in columns.items():
         assert got[cids[name]] == sorted(values)[math.ceil(q * len(values)) - 1], name
 
 
+def as_ordered(x):
+    bits = int.from_bytes(struct.pack(">d", abs(x)))
+    return -bits if x < 0 else bits
+
+
+def test_bits_are_those_of_the_double(spark):
+    rng = random.Random(1)
+    xs = [0.0, -0.0, 1.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.7976931348623157e308, 8.98846567431158e307]
+    for e in range(-1074, 1024):
+        near = [math.ldexp(1.0, e)]
+        near += [math.nextafter(near[0], 0.0), math.nextafter(near[0], math.inf)]
+        xs += near + [-y for y in near]
+    xs += [rng.gauss(0, 1) * 10 ** rng.randint(-300, 300) for _ in range(2000)]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = df.select("x", numbers.order_bits("x").alias("bits")).collect()
+    assert [(r["x"], r["bits"]) for r in got if r["bits"] != as_ordered(r["x"])] == []
+
+
+def test_levels_are_bounded_for_heavy_tails(spark):
+    """Values over all magnitudes: no level counts more than 2 ** 16 slices of a column."""
+    df = spark.range(200_000).selectExpr("CAST(id % 2 AS INT) AS cid", "IF(id % 2 = 0, exp(abs(hash(id)) / 3.1e6), -id * 1e-9) AS x")
+    moments = numbers.moments(df)
+    state = moments.selectExpr("cid", "lo", "hi", "CAST(ceil(n * 0.95) AS BIGINT) AS rank", "0L AS below")
+    shift, most = 64, []
+    while shift:
+        shift -= 16
+        counted = numbers.radix_counts(df, state, shift)
+        most.append(counted.groupBy("cid").count().agg({"count": "max"}).first()[0])
+        state = spark.createDataFrame(numbers._selected(counted, state).collect(), "cid int, lo double, hi double, rank long, below long")
+    assert max(most) <= 1 << 16 and most[-1] >= 1
+    got = {r["cid"]: r["percentile"] for r in numbers.percentile_discrete(df, moments, 0.95).collect()}
+    for cid in (0, 1):
+        xs = sorted(r["x"] for r in df.where(f"cid = {cid}").select("x").collect())
+        assert got[cid] == xs[math.ceil(0.95 * len(xs)) - 1]
+
+
 def test_outlier_search_reads_only_suspicious_columns(spark):
     df = spark.range(2000).selectExpr("id", "IF(id = 5, 1e6, id % 10 + 1.0) AS x", "CAST(id % 3 AS STRING) AS t")
     rows = Q.outlier_statistics({"t": df}).collect()
