@@ -14,7 +14,8 @@ frequent ones, for which the prefix is extended until it still has to share a pa
    in several components, at last all that are not in a list's largest component with
    those of other components. Members of one component are not compared again, so a group
    of n copies costs about n comparisons, and no link between different components goes
-   unseen.
+   unseen. The last comparison is between sets that are mostly unlike; a wide sketch of each bounds from
+   below by how many shingles two sets differ, and leaves few but those that are similar.
 
 Null and empty texts have no shingles and no links. Repeated rows are members of the same
 group. The table must give the same rows in the same order when a task is run again, as
@@ -211,12 +212,24 @@ def _sketch(tokens: np.ndarray) -> list[int]:
     return (count[::2] << 4 | count[1::2]).view(np.int64).tolist()
 
 
+#: Words of a wide sketch: 32 counts of two bits each.
+WIDE = 8
+
+
+def _wide_sketch(tokens: np.ndarray) -> list[int]:
+    """How many shingles fall in each of 32 * WIDE slots, modulo 4, in Gray code: of two counts, as
+    many bits differ as they are apart, the shorter way round."""
+    count = (np.bincount(((tokens >> U(28)) % U(32 * WIDE)).astype(np.int64), minlength=32 * WIDE) & 3).astype(np.uint8)
+    gray = count ^ (count >> 1)
+    return (gray[::4] | gray[1::4] << 2 | gray[2::4] << 4 | gray[3::4] << 6).view(np.int64).tolist()
+
+
 def _sign(table: pa.Table) -> pa.Table:
     """Of a batch: the sets with signatures."""
     kinds = {0: [], 1: [], 2: []}
     for r in table.to_pylist():
         kinds[r["kind"]].append(r)
-    out = {"key": [], "n": [], "m": [], "low": [], "high": [], "tokens": [], "signs": []}
+    out = {"key": [], "n": [], "m": [], "low": [], "high": [], "wide": [], "tokens": [], "signs": []}
     if kinds[0] or kinds[2]:
         found = kinds[0] + kinds[2]
         keys = kinds[1][0]["tokens"]
@@ -236,14 +249,15 @@ def _sign(table: pa.Table) -> pa.Table:
                 out["m"].append(int(b - a))
                 out["low"].append(low)
                 out["high"].append(high)
+                out["wide"].append(_wide_sketch(tokens[a:b]))
                 out["tokens"].append(_packed(np.sort(tokens[a:b] >> U(16))))
                 out["signs"].append([{"sign": s, "place": p, "before": m} for s, p, m in signs])
     sign = pa.struct([("sign", pa.int64()), ("place", pa.int32()), ("before", pa.int32())])
-    kinds = [pa.binary(), *[pa.int64()] * 4, pa.binary(), pa.list_(sign)]
+    kinds = [pa.binary(), *[pa.int64()] * 4, pa.list_(pa.int64()), pa.binary(), pa.list_(sign)]
     return pa.table([pa.array(v, t) for v, t in zip(out.values(), kinds, strict=True)], names=list(out))
 
 
-_SIGNED = "key binary, n long, m long, low long, high long, tokens binary, signs array<struct<sign: long, place: int, before: int>>"
+_SIGNED = "key binary, n long, m long, low long, high long, wide array<long>, tokens binary, signs array<struct<sign: long, place: int, before: int>>"
 
 
 def _similar(percent: int):
@@ -319,6 +333,29 @@ def _fits(a: str, b: str) -> Column:
     return sizes & (700 * most >= 300 * (x("n") + y("n"))) & (7 * _apart(a, b) <= x("n") + y("n"))
 
 
+def _wide_apart(a: str, b: str) -> Column:
+    """As ``_apart``, by the wide sketches."""
+    x, y = (lambda c: F.col(f"{a}.{c}")), (lambda c: F.col(f"{b}.{c}"))
+    total = x("n") - x("m") + y("n") - y("m")
+    for k in range(WIDE):
+        total = total + F.bit_count(x(f"w{k}").bitwiseXOR(y(f"w{k}")))
+    return total
+
+
+def _remaining(named: DataFrame, signed: DataFrame) -> DataFrame:
+    """Candidate pairs (a, b) of different components in open lists: all that are not in a list's
+    largest component with those of other components."""
+    wide = signed.select("key", *(F.col("wide")[k].alias(f"w{k}") for k in range(WIDE)))
+    member = F.struct(*_MEMBER, "label", *(f"w{k}" for k in range(WIDE)))
+    share = named.groupBy("sign", "label").count()
+    main = share.groupBy("sign").agg(F.max(F.struct("count", "label")).alias("main")).select("sign", F.col("main.label").alias("largest"))
+    met = settle(named.join(main, "sign").join(wide, "key").select("sign", member.alias("a"), (F.col("label") != F.col("largest")).alias("few")))
+    few = met.filter("few").select("sign", F.col("a").alias("b"))
+    pairs = met.select("sign", "a").join(few, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
+    pairs = pairs.filter(7 * _wide_apart("a", "b") <= F.col("a.n") + F.col("b.n"))
+    return pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+
+
 def _links(signed: DataFrame) -> DataFrame:
     """Components of the signed sets: key, label; sets without links may be missing."""
     lists = signed.select(*_MEMBER[:5], F.explode("signs").alias("s")).select(*_MEMBER[:5], "s.sign", "s.place", "s.before")
@@ -335,20 +372,14 @@ def _links(signed: DataFrame) -> DataFrame:
             named = settle(named)
             open_lists = named.groupBy("sign").agg(F.min("label").alias("x"), F.max("label").alias("y")).filter("x != y")
             named = named.join(open_lists.select("sign"), "sign")
-            if last:
-                share = named.groupBy("sign", "label").count()
-                main = share.groupBy("sign").agg(F.max(F.struct("count", "label")).alias("main")).select("sign", "main.label")
-                few = named.join(main.withColumnRenamed("label", "largest"), "sign").filter("label != largest")
-                chosen = few.select("sign", F.struct(*_MEMBER, "label").alias("b"))
-            else:
-                # lists are kept from round to round: another member leads in each
-                head = F.struct(F.xxhash64(F.lit(turn), "sign", "key").alias("at"), *_MEMBER, "label")
-                chosen = named.groupBy("sign").agg(F.min(head).alias("b"))
-        left = named.select("sign", F.struct(*_MEMBER, "label").alias("a"))
-        pairs = left.join(chosen, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
+            # lists are kept from round to round: another member leads in each
+            head = F.struct(F.xxhash64(F.lit(turn), "sign", "key").alias("at"), *_MEMBER, "label")
+            chosen = named.groupBy("sign").agg(F.min(head).alias("b"))
         if last:
-            pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b")).distinct()
+            pairs = _remaining(named, signed).distinct()
         else:
+            left = named.select("sign", F.struct(*_MEMBER, "label").alias("a"))
+            pairs = left.join(chosen, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
             # one a set, so that a group gets about a link a member; the last round misses none
             nearest = F.min(F.struct(_apart("a", "b").alias("apart"), F.col("b.key").alias("key")))
             pairs = pairs.groupBy(F.col("a.key").alias("a")).agg(nearest.alias("b")).select("a", F.col("b.key").alias("b"))

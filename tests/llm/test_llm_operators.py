@@ -50,6 +50,61 @@ def shingle_set(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else {tuple(words)} if words else set()
 
 
+def near_threshold_groups(n, seed=9):
+    """Groups whose members share a passage and differ about as much as the threshold allows, and one large one."""
+    rng, texts = np.random.default_rng(seed), []
+    for group in range(4):
+        base = made(1, 100 + group, 160, 161, 3000)[0].split()
+        for _ in range(n):
+            words = list(base)
+            for at in rng.integers(0, len(words), rng.integers(0, 16)):
+                words[at] = f"new{rng.integers(60)}"
+            texts.append(" ".join(words))
+    return texts
+
+
+def linked_components(sets):
+    label = list(range(len(sets)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, j in itertools.combinations(range(len(sets)), 2):
+        if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and sets[i]:
+            a, b = sorted((root(i), root(j)))
+            label[b] = a
+    return [root(i) for i in range(len(sets))]
+
+
+def test_ngram_join_candidates_grow_with_the_input(spark, monkeypatch):
+    rows, whole = [], ngram_join._remaining
+
+    def counted(named, signed):
+        pairs = whole(named, signed)
+        rows.append((named.count(), pairs.count()))
+        return pairs
+
+    monkeypatch.setattr(ngram_join, "_remaining", counted)
+    for n in (25, 75):
+        texts = near_threshold_groups(n)
+        got = {r.doc_id: r.component_id for r in ngram_join.near_duplicates(docs_of(spark, texts)).collect()}
+        assert [got[i] for i in range(len(texts))] == linked_components([shingle_set(t) for t in texts])
+    (few_members, few), (many_members, many) = rows
+    assert many <= 3 * max(few, few_members), rows  # three times the texts; all pairs would be nine times as many
+
+
+def test_wide_sketches_bound_the_difference(spark):
+    rng = np.random.default_rng(2)
+    for size in (5, 60, 700, 9000):
+        common = rng.integers(0, 2**63, size).astype(np.uint64)
+        x = np.unique(np.concatenate([common, rng.integers(0, 2**63, size // 4).astype(np.uint64)]))
+        y = np.unique(np.concatenate([common, rng.integers(0, 2**63, size // 5).astype(np.uint64)]))
+        apart = sum(bin((a ^ b) & (2**64 - 1)).count("1") for a, b in zip(ngram_join._wide_sketch(x), ngram_join._wide_sketch(y)))
+        assert apart <= len(np.setxor1d(x, y))
+
+
 def test_ngram_join_against_all_pairs(spark):
     rng = np.random.default_rng(5)
     texts = made(25, 1)
