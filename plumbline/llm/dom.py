@@ -1,4 +1,8 @@
-"""A small tolerant reader of HTML: what wrapper induction needs of a page, no more."""
+"""A small tolerant reader of HTML: what wrapper induction needs of a page, no more.
+
+Null pages are read as empty ones by the caller; an empty page is a root without children. Nothing recurses, so
+pages may be nested as deeply as they are long.
+"""
 
 from __future__ import annotations
 
@@ -34,7 +38,9 @@ _OUT_WORDS = frozenset(
     "social related recommended breadcrumb breadcrumbs pagination pager subscribe newsletter signup login search toolbar skip".split()
 )
 _HEADER_OF = frozenset("article post entry content story page".split())
-_MAIN = frozenset("html body main article".split())
+# Elements whose names are not asked, and those that show where a page's subject is.
+_MAIN = frozenset("html body main article h1 h2 h3 h4 h5 h6".split())
+_SUBJECT = frozenset("main article h1".split())
 
 
 @dataclass(slots=True)
@@ -42,15 +48,18 @@ class Node:
     tag: str
     label: str
     out: bool
+    #: Whether its class or id alone takes it out.
+    named: bool
     parent: Node | None
     children: list = field(default_factory=list)
     #: Where the node is in the page's folded tree.
     place: int = -1
 
 
-def _described(tag: str, attributes: str, parent: Node | None) -> tuple[str, bool]:
-    """Label (element and class words) and whether its content is never main text."""
-    words, out = [], tag in _OUT_TAGS
+def _described(tag: str, attributes: str, parent: Node | None) -> tuple[str, bool, bool]:
+    """Label (element and class words), whether its content is never main text, and whether its
+    class or id hints at that."""
+    words, out, hint = [], tag in _OUT_TAGS, False
     if attributes and not attributes.isspace():
         for name, value in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), value.strip("\"'").lower()
@@ -59,7 +68,7 @@ def _described(tag: str, attributes: str, parent: Node | None) -> tuple[str, boo
                 if name == "class":
                     words += mine
                 if tag not in _MAIN:
-                    out |= not _OUT_WORDS.isdisjoint(mine) or ("header" in mine and _HEADER_OF.isdisjoint(mine))
+                    hint |= not _OUT_WORDS.isdisjoint(mine) or ("header" in mine and _HEADER_OF.isdisjoint(mine))
             elif name == "role":
                 out |= value in _OUT_ROLES
             else:
@@ -69,12 +78,30 @@ def _described(tag: str, attributes: str, parent: Node | None) -> tuple[str, boo
         while node is not None and node.tag not in ("article", "main"):
             node = node.parent
         out = node is None
-    return tag + "." + ".".join(sorted(set(words))) if words else tag, out
+    return tag + "." + ".".join(sorted(set(words))) if words else tag, out, hint
+
+
+def _overrule(root: Node) -> None:
+    """Takes back what names hint at, where it would take the page's subject: all of its main parts,
+    articles and first headings, of which there are some, and more than half of its text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if not isinstance(c, str) and (c.named or not c.out)]
+    text, subjects = {}, {}
+    for node in reversed(order):
+        text[id(node)] = sum(len(c) * (not c.isspace()) if isinstance(c, str) else text.get(id(c), 0) for c in node.children)
+        subjects[id(node)] = (node.tag in _SUBJECT) + sum(subjects.get(id(c), 0) for c in node.children if not isinstance(c, str))
+    for node in order:
+        if node.named and subjects[id(node)] == subjects[id(root)] > 0 and 2 * text[id(node)] > text[id(root)]:
+            node.out = node.named = False
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text is kept as strings among the children, references decoded."""
-    root = node = Node("", "", False, None)
+    root = node = Node("", "", False, False, None)
+    hints = False
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
@@ -106,14 +133,17 @@ def parse(page: str) -> Node:
                 node = up.parent
                 if tag == "tr" and node.tag in closed:
                     node = node.parent
-        label, out = _described(tag, attributes, node)
-        new = Node(tag, label, out, node)
+        label, out, hint = _described(tag, attributes, node)
+        new = Node(tag, label, out or hint, hint and not out, node)
+        hints |= new.named
         node.children.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
             at = end.end() if end else n
         elif tag not in VOID and not attributes.endswith("/"):
             node = new
+    if hints:
+        _overrule(root)
     return root
 
 
@@ -141,16 +171,22 @@ def fold(root: Node) -> Folded:
     def text_of(node: Node, place: int, in_link: bool) -> list[Node]:
         """Takes the node's line text to ``place``; the block elements below it."""
         blocks = []
-        for child in node.children:
-            if isinstance(child, str):
+        # inline elements may be nested deeply: their children and whether these are in a link
+        stack = [(iter(node.children), in_link)]
+        while stack:
+            children, linked = stack[-1]
+            child = next(children, None)
+            if child is None:
+                stack.pop()
+            elif isinstance(child, str):
                 if not child.isspace():
                     done.texts[place].append(child)
-                    done.linked[place] += len(child) * in_link
+                    done.linked[place] += len(child) * linked
             elif child.out:
                 continue
             elif child.tag in INLINE:
                 child.place = place
-                blocks += text_of(child, place, in_link or child.tag == "a")
+                stack.append((iter(child.children), linked or child.tag == "a"))
             else:
                 blocks.append(child)
         return blocks

@@ -415,7 +415,20 @@ def test_tree_matching_keeps_order_and_takes_the_most():
     assert dom.align(a, a) == list(range(6))
 
 
-@pytest.mark.parametrize("page", ["", "<", "a < b", "<p", "<a href='x", "</div>", "<!--", "<p><b>x", "&am", "<li><li></ul>" * 50, "<div>" * 3000 + "x"])
+def test_names_that_would_take_the_article_are_overruled(spark):
+    body = "<article><h1>Title</h1><p>All of the text of this page, which is long enough.</p></article>"
+    aside = "<div class='sidebar'>Other pages of this host</div><div class='comments'>First!</div>"
+    wraps = ["class='container has-sidebar'", "id='page-with-comments'", "class='search-results-article'", "class='plain'"]
+    pages = [(i, f"https://h{i}.example/a", f"<html><body><div {w}>{body}{aside}</div></body></html>") for i, w in enumerate(wraps)]
+    heading = "<article><h1 class='notice'>Title</h1><p>All of the text of this page, which is long enough.</p></article>"
+    pages.append((4, "https://h4.example/a", f"<html><body>{heading}{aside}</body></html>"))
+    # more comments than article: they hold no heading of the page
+    pages.append((5, "https://h5.example/a", f"<html><body>{body}<div class='comments'>{'I think so too. ' * 50}</div></body></html>"))
+    got = html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.text for r in got} == {"Title\nAll of the text of this page, which is long enough."}
+
+
+@pytest.mark.parametrize("page", ["", "<", "a < b", "<p", "<a href='x", "</div>", "<!--", "<p><b>x", "&am", "<li><li></ul>" * 50, "<div>" * 3000 + "x", "<p>" + "<font>" * 3000 + "x", "<p>" + "<a class='nav'>" * 3000 + "x"])
 def test_any_page_can_be_read(page):
     root = dom.parse(page)
     dom.blocks_of(root, {0}, set())
