@@ -10,6 +10,7 @@ from contract import profile_sql as S
 from contract.views import TABLES, VIEWS, load
 from plumbline import ProfileOptions, profile_table, profile_tables
 from plumbline.operators import profile as P
+from plumbline.operators.isolation import profile_isolated
 from plumbline.sources import catalog
 
 PROFILED = [t for t in VIEWS if t in TABLES] + ["labelled", "order_sheet"]
@@ -109,6 +110,26 @@ def register() -> dict[str, tuple]:
         lambda s, d: presentable(profile_tables(inputs(s, d, PROFILED))),
         S.profiles_sql(PROFILED),
     )
+    def with_failures(s, d):
+        """Orders with two columns that raise an error in some row, beside other tables."""
+        bad = load(s, d, "orders").selectExpr(
+            "o_orderkey", "CAST(IF(o_orderkey = 7, 'x', '1') AS INT) AS unreadable", "o_custkey", "o_orderstatus",
+            "o_totalprice", "o_orderdate", "100 / (o_custkey - 11) AS undefined", "o_orderpriority",
+        )
+        return profile_isolated({"orders": bad, "nation": load(s, d, "nation"), "customer": load(s, d, "customer")})
+
+    # ordinals count the columns that fail, too
+    seen = S.profiles_sql(["orders", "nation", "customer"])
+    shifted = "CAST(ordinal + CASE WHEN \"table\" = 'orders' THEN CASE WHEN ordinal > 4 THEN 2 WHEN ordinal > 0 THEN 1 ELSE 0 END ELSE 0 END AS INTEGER)"
+    q["profile_beside_failing_columns"] = (
+        lambda s, d: presentable(with_failures(s, d)[0]),
+        f"SELECT * REPLACE ({shifted} AS ordinal) FROM ({seen})",
+    )
+    q["profile_failing_columns"] = (
+        lambda s, d: with_failures(s, d)[1].select("table", "column", F.length("error").cast("boolean").alias("has_error")),
+        """SELECT 'orders' AS "table", c AS "column", true AS has_error FROM (VALUES ('unreadable'), ('undefined')) AS v(c)
+           WHERE EXISTS (SELECT 1 FROM orders WHERE c = 'unreadable' AND o_orderkey = 7 OR c = 'undefined' AND o_custkey = 11)""",
+    )
     q["profile_headed_texts"] = (_profile("headed_texts"), S.profile_sql("headed_texts"))
     q["profile_population_deviation"] = (
         _profile("lineitem", deviation="population"),

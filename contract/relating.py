@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from contract import profile_sql as S
 from contract.profiling import inputs
-from contract.views import VIEWS
+from contract.views import VIEWS, load
 from plumbline import profile_tables
 from plumbline.operators import orphans, relations as R
 from plumbline.sources import catalog
@@ -148,6 +148,37 @@ def _declared(spark):
     return catalog.declared_keys_ansi(*ansi_catalog(spark))
 
 
+def _composite_keys(spark, sf_dir):
+    """A key of one to three columns for each customer, from catalog tables stored for this: each refers
+    to its segment's table by the columns of that table's primary key, in the opposite order."""
+    customers = load(spark, sf_dir, "customer")
+    own = customers.selectExpr("concat('fk_', c_custkey) AS constraint_name", "'public' AS table_schema",
+                               "concat('branch_', c_nationkey) AS table_name", "'FOREIGN KEY' AS constraint_type")
+    targets = customers.selectExpr("concat('pk_', c_mktsegment, '_', c_custkey % 3 + 1) AS constraint_name", "'public' AS table_schema",
+                                   "concat(c_mktsegment, '_', c_custkey % 3 + 1) AS table_name", "'PRIMARY KEY' AS constraint_type", "c_custkey % 3 + 1 AS size")
+    targets = targets.distinct()
+    from_side = customers.selectExpr("*", "explode(sequence(1, CAST(c_custkey % 3 + 1 AS INT))) AS ordinal_position").selectExpr(
+        "concat('fk_', c_custkey) AS constraint_name", "'public' AS table_schema", "concat('branch_', c_nationkey) AS table_name",
+        "concat('c', c_custkey, '_', ordinal_position) AS column_name", "ordinal_position",
+        "CAST(c_custkey % 3 + 2 - ordinal_position AS INT) AS position_in_unique_constraint",
+    )
+    to_side = targets.selectExpr("*", "explode(sequence(1, CAST(size AS INT))) AS ordinal_position").selectExpr(
+        "constraint_name", "table_schema", "table_name", "concat('k', ordinal_position) AS column_name", "ordinal_position",
+        "CAST(NULL AS INT) AS position_in_unique_constraint",
+    )
+    references = customers.selectExpr(
+        "concat('fk_', c_custkey) AS constraint_name", "'public' AS constraint_schema",
+        "concat('pk_', c_mktsegment, '_', c_custkey % 3 + 1) AS unique_constraint_name", "'public' AS unique_constraint_schema",
+    )
+    stored = [settle(df, bounded=False) for df in (own.union(targets.drop("size")), from_side.union(to_side), references)]
+    return catalog.declared_keys_ansi(stored[0], stored[1], references=stored[2])
+
+
+_COMPOSITE_SQL = """SELECT 'branch_' || c_nationkey AS from_table, 'c' || c_custkey || '_' || p AS from_column,
+    c_mktsegment || '_' || (c_custkey % 3 + 1) AS to_table, 'k' || (c_custkey % 3 + 2 - p) AS to_column
+    FROM (SELECT *, unnest(range(1, CAST(c_custkey % 3 + 2 AS BIGINT))) AS p FROM customer)"""
+
+
 def register() -> dict[str, tuple]:
     q: dict[str, tuple] = {}
     q["relation_candidates"] = (
@@ -197,6 +228,8 @@ def register() -> dict[str, tuple]:
     q["declared_keys_mysql"] = _checked_keys(lambda s: catalog.declared_keys_mysql(*mysql_catalog(s), "shop"))
     q["declared_keys_mssql"] = _checked_keys(lambda s: catalog.declared_keys_mssql(*mssql_catalog(s)))
 
+    q["declared_keys_composite"] = (_composite_keys, _COMPOSITE_SQL)
+
     def orphaned(spark, sf_dir):
         sales = VIEWS["sales"].build(spark, sf_dir)
         customers = VIEWS["customers"].build(spark, sf_dir).where("id >= 100")

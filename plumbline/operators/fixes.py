@@ -104,27 +104,44 @@ def _losses(df: DataFrame, fixes: Sequence[Fix], chain: Sequence[int]) -> list[i
 
 
 def _culprits(df: DataFrame, fixes: Sequence[Fix], chain: list[int]) -> dict[int, Exception]:
-    """Fixes that fail only after earlier ones: one pass if there are none, else a pass for
-    each fix, which joins the chain only if the chain still runs with it."""
-    if len(chain) < 2:
-        return {}
-    try:
-        if not any(_losses(df, fixes, chain)):
-            return {}
-    except (PySparkException, ValueError):
-        pass
+    """Fixes that fail only after earlier ones.
+
+    One pass over the whole chain marks what each fix loses; as those before the first loser
+    are right, it is a culprit, and the pass is repeated without it. If the pass itself fails on the
+    data, the shortest failing beginning of the chain, found by halving, ends with a culprit. So the
+    number of passes goes by the culprits, not by the chain's length.
+    """
     found: dict[int, Exception] = {}
-    kept: list[int] = []
-    for s in chain:
+    chain = list(chain)
+    while len(chain) + len(found) > 1 and chain:
         try:
-            if lost := _losses(df, fixes, [*kept, s])[-1]:
-                raise ValueError(f"{lost} new values do not fit the type of {fixes[s].column!r} after earlier fixes")
-            kept.append(s)
+            lost = _losses(df, fixes, chain)
         except (PySparkException, ValueError) as error:
-            found[s] = error
+            culprit = _first_failing(df, fixes, chain)
+            found[culprit] = error
+        else:
+            if not any(lost):
+                break
+            culprit = next(s for s, n in zip(chain, lost) if n)
+            number = lost[chain.index(culprit)]
+            found[culprit] = ValueError(f"{number} new values do not fit the type of {fixes[culprit].column!r} after earlier fixes")
+        chain.remove(culprit)
     return found
 
 
+def _first_failing(df: DataFrame, fixes: Sequence[Fix], chain: Sequence[int]) -> int:
+    """The last fix of the shortest beginning of ``chain`` that fails on the data."""
+    runs, fails = 0, len(chain)
+    while fails - runs > 1:
+        middle = (runs + fails) // 2
+        try:
+            _losses(df, fixes, chain[:middle])
+            runs = middle
+        except (PySparkException, ValueError):
+            fails = middle
+    return chain[fails - 1]
+
+
 def dry_run(tables: Mapping[str, DataFrame], fixes: Sequence[Fix]) -> list[Outcome]:
     """Outcome of each fix against the untouched tables.
 

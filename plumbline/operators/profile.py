@@ -308,7 +308,13 @@ def profile_tables(
     tables = {name: df for name, df in tables.items() if df.columns}
     if not tables:
         raise ValueError("no columns to profile")
-    sites = column_sites(tables, expected_types)
+    return profile_sites(tables, column_sites(tables, expected_types), options)
+
+
+def profile_sites(
+    tables: Mapping[str, DataFrame], sites: Mapping[str, list[ColumnSite]], options: ProfileOptions = ProfileOptions()
+) -> DataFrame:
+    """Profile of the given columns; their ids count from 0."""
     # at most k + 2 rows per column
     head = settle(frequency_head(value_frequencies(tables, sites, options), options.top_k))
     ranked = long_ties.in_value_order(

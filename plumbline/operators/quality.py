@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -252,14 +252,69 @@ def negative_findings(scan: DataFrame, t: Thresholds = DEFAULT) -> DataFrame:
     )
 
 
+#: Spellings that a fix may name; beyond that a column gets none.
+MOST_SPELLINGS = 500
+
+
 def label_findings(
     tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]]
 ) -> DataFrame | None:
     """INCONSISTENT_FORMAT: labels equal but for case or outer blanks.
 
-    ``columns`` are the label columns, see :func:`label_columns`. Values are
-    reduced to their distinct spellings before they are compared.
+    ``columns`` are the label columns, see :func:`label_columns`. Values are reduced to their
+    distinct spellings before they are compared. The fix writes each label in its most frequent
+    spelling (of equally frequent ones the first) and leaves labels of one spelling alone.
     """
+    spelled = label_spellings(tables, columns)
+    if spelled is None:
+        return None
+    label = ["table", "column", "folded", "folded_digest"]
+    usual = F.min(F.struct((-F.col("rows")).alias("seldom"), "spelling", "spelling_digest")).alias("usual")
+    labels = (
+        spelled.groupBy(*label)
+        .agg(F.count(F.lit(1)).alias("spellings"), F.sum("rows").alias("rows"), usual)
+        .where("spellings > 1")
+    )
+    totals = labels.groupBy("table", "column").agg(
+        F.count(F.lit(1)).alias("labels"), F.sum("spellings").alias("spellings"), F.sum("rows").alias("rows")
+    )
+    several = labels.select(*[F.col(c).alias(f"its_{c}") for c in label], "usual")
+    same = [F.col(c).eqNullSafe(F.col(f"its_{c}")) for c in label]
+    others = spelled.join(several, same).where(
+        (F.col("spelling") != F.col("usual.spelling")) | ~F.col("spelling_digest").eqNullSafe(F.col("usual.spelling_digest"))
+    )
+    place = F.row_number().over(Window.partitionBy("table", "column").orderBy("spelling", "spelling_digest"))
+    long = F.col("spelling_digest").isNotNull() | F.col("usual.spelling_digest").isNotNull()
+    named = (
+        others.select("table", "column", "spelling", "spelling_digest", F.col("usual.spelling").alias("usual"), long.alias("long"))
+        .withColumn("place", place)
+        .where(F.col("place") <= MOST_SPELLINGS)
+        .groupBy("table", "column")
+        .agg(F.array_sort(F.collect_list(F.struct("spelling", "usual"))).alias("changes"), F.max("long").alias("any_long"))
+    )
+    rows = totals.join(F.broadcast(named), ["table", "column"])
+    name = FD.sql_name(F.col("column"))
+    quoted = lambda s: F.concat(F.lit("'"), F.replace(F.replace(s, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'")), F.lit("'"))
+    listed = F.array_join(F.transform("changes", lambda c: quoted(c["spelling"])), ", ")
+    pairs = F.array_join(F.transform("changes", lambda c: F.concat(quoted(c["spelling"]), F.lit(", "), quoted(c["usual"]))), ", ")
+    # a column with more spellings, or long ones, is for a person to look at
+    mapped = ~F.col("any_long") & (F.col("spellings") - F.col("labels") == F.size("changes"))
+    predicate = F.concat(name, F.lit(" IN ("), listed, F.lit(")"))
+    value = F.concat(F.lit("element_at(map("), pairs, F.lit("), "), name, F.lit(")"))
+    folded = F.concat(name, F.lit(" <> lower(trim("), name, F.lit("))"))
+    return FD.emit(
+        rows,
+        FD.finding(
+            "INCONSISTENT_FORMAT", "medium", "yellow", "Labels differ only in case or blanks",
+            {"labels": "labels", "spellings": "spellings", "rows": "rows"},
+            fix=F.when(mapped, FD.set_value(F.col("column"), predicate, value)),
+            investigation=F.when(mapped, predicate).otherwise(folded),
+        ),
+    )
+
+
+def label_spellings(tables: Mapping[str, DataFrame], columns: Sequence[tuple[str, str]]) -> DataFrame | None:
+    """(table, column, spelling, folded, rows) and digests of long ones: distinct values of the columns."""
     parts, chosen = [], set(columns)
     for table, df in tables.items():
         names = [c for c in df.columns if (table, c) in chosen]
@@ -277,36 +332,15 @@ def label_findings(
             spelled.select(
                 F.lit(table).alias("table"),
                 F.element_at(names_by_site, F.substring("site", 2, 9).cast("int") + 1).alias("column"),
+                "spelling",
+                "spelling_digest",
                 "folded",
                 "folded_digest",
                 "rows",
             )
         )
-    if not parts:
-        return None
-    folded = (
-        union_all(parts)
-        .groupBy("table", "column", "folded", "folded_digest")
-        .agg(F.count(F.lit(1)).alias("spellings"), F.sum("rows").alias("rows"))
-        .where("spellings > 1")
-        .groupBy("table", "column")
-        .agg(
-            F.count(F.lit(1)).alias("labels"),
-            F.sum("spellings").alias("spellings"),
-            F.sum("rows").alias("rows"),
-        )
-    )
-    name = FD.sql_name(F.col("column"))
-    predicate = F.concat(name, F.lit(" <> lower(trim("), name, F.lit("))"))
-    return FD.emit(
-        folded,
-        FD.finding(
-            "INCONSISTENT_FORMAT", "medium", "yellow", "Labels differ only in case or blanks",
-            {"labels": "labels", "spellings": "spellings", "rows": "rows"},
-            fix=FD.set_value(F.col("column"), predicate, F.concat(F.lit("lower(trim("), name, F.lit("))"))),
-            investigation=predicate,
-        ),
-    )
+    # distinct values, used more than once
+    return settle(union_all(parts), bounded=False) if parts else None
 
 
 def _compact(expression: str, name: str, inline: int = 128) -> list[str]:

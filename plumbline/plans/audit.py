@@ -8,7 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from plumbline.operators import enrichment, fixes, quality
-from plumbline.operators.profile import ProfileOptions, profile_tables
+from plumbline.operators.isolation import profile_isolated, readable_columns
+from plumbline.operators.profile import ProfileOptions
 from plumbline.operators.redaction import redact_profile
 from plumbline.operators.relations import infer_relations
 from plumbline.plans import report
@@ -18,7 +19,8 @@ from plumbline.sources.settle import settle
 
 @dataclass(frozen=True)
 class Audit:
-    """Result tables of an audit; all but ``cleaned`` are bounded by the schema."""
+    """Result tables of an audit; all but ``cleaned`` are bounded by the schema. Columns in
+    ``unreadable`` (table, column, error) are in none of the others."""
 
     profile: DataFrame
     relations: DataFrame
@@ -27,6 +29,7 @@ class Audit:
     summary: DataFrame
     runbook: DataFrame
     cleaned: dict[str, DataFrame]
+    unreadable: DataFrame
 
 
 def audit(
@@ -44,7 +47,10 @@ def audit(
 ) -> Audit:
     """Audit a source. Tables are read by the rules that need them; what passes
     between the steps has one row per column or finding and is settled."""
-    profile = settle(profile_tables(tables, profile_options, expected_types))
+    profile, unreadable = profile_isolated(tables, profile_options, expected_types)
+    if profile is None:
+        raise ValueError("no column can be read")
+    profile, tables = settle(profile), readable_columns(tables, unreadable)
     relations = settle(infer_relations(profile, declared_keys, capabilities, singular_names))
     found = quality.quality_findings(tables, profile, relations, formulas, keys, thresholds)
     if enrich:
@@ -63,4 +69,5 @@ def audit(
         summary=report.summary(disposed),
         runbook=report.runbook(disposed),
         cleaned=cleaned,
+        unreadable=unreadable,
     )

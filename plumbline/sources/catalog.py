@@ -63,15 +63,24 @@ def sample_rows(df: DataFrame, n: int = 1000, order_by: Sequence[str | Column] =
 
 
 def declared_keys_ansi(
-    constraints: DataFrame, key_columns: DataFrame, target_columns: DataFrame, schema: str = "public"
+    constraints: DataFrame,
+    key_columns: DataFrame,
+    target_columns: DataFrame | None = None,
+    schema: str = "public",
+    references: DataFrame | None = None,
 ) -> DataFrame:
-    """Foreign keys from ``table_constraints``, ``key_column_usage`` and
-    ``constraint_column_usage``.
+    """Foreign keys from ``table_constraints``, ``key_column_usage`` and ``constraint_column_usage``.
 
-    Composite keys are matched by position when both usages carry
-    ``ordinal_position``; otherwise every source column meets every target
-    column of its constraint.
+    With ``references`` (``referential_constraints``) a key's columns meet those of the unique
+    constraint it refers to by ``position_in_unique_constraint``, so that composite keys are
+    matched as declared; ``target_columns`` is not needed then. Without it, composite keys are
+    matched by position when both usages carry ``ordinal_position``; otherwise every source column
+    meets every target column of its constraint.
     """
+    if references is not None:
+        return _by_reference(constraints, key_columns, references, schema)
+    if target_columns is None:
+        raise ValueError("needs constraint_column_usage or referential_constraints")
     on = ["constraint_name", "table_schema"]
     fks = constraints.where(
         (F.col("constraint_type") == "FOREIGN KEY") & (F.col("table_schema") == schema)
@@ -95,6 +104,35 @@ def declared_keys_ansi(
     return pairs.select(*DECLARED_KEY).dropDuplicates()
 
 
+def _by_reference(constraints: DataFrame, key_columns: DataFrame, references: DataFrame, schema: str) -> DataFrame:
+    """Names of constraints may be reused by tables; a key's columns are those of its own table."""
+    fks = constraints.where((F.col("constraint_type") == "FOREIGN KEY") & (F.col("table_schema") == schema))
+    fks = fks.select("constraint_name", "table_schema", F.col("table_name").alias("from_table"))
+    from_side = key_columns.select(
+        "constraint_name",
+        "table_schema",
+        F.col("table_name").alias("from_table"),
+        F.col("column_name").alias("from_column"),
+        F.col("position_in_unique_constraint").alias("position"),
+    )
+    refers = references.select(
+        "constraint_name",
+        F.col("constraint_schema").alias("table_schema"),
+        F.col("unique_constraint_name").alias("target_name"),
+        F.col("unique_constraint_schema").alias("target_schema"),
+    )
+    to_side = key_columns.select(
+        F.col("constraint_name").alias("target_name"),
+        F.col("table_schema").alias("target_schema"),
+        F.col("table_name").alias("to_table"),
+        F.col("column_name").alias("to_column"),
+        F.col("ordinal_position").alias("position"),
+    )
+    pairs = fks.join(from_side, ["constraint_name", "table_schema", "from_table"])
+    pairs = pairs.join(refers, ["constraint_name", "table_schema"]).join(to_side, ["target_name", "target_schema", "position"])
+    return pairs.select(*DECLARED_KEY).dropDuplicates()
+
+
 def _position(usage: DataFrame) -> list[str]:
     return ["ordinal_position"] if "ordinal_position" in usage.columns else []
 

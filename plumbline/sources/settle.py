@@ -23,9 +23,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def settle(df: DataFrame) -> DataFrame:
+def settle(df: DataFrame, bounded: bool = True) -> DataFrame:
     """Compute ``df`` once and cut its lineage: a table written to the shared folder
-    and read back. Meant for results bounded by the schema; they end in one file."""
+    and read back. Results bounded by the schema end in one file, others in a file a task."""
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.repartition(1).write.parquet(path)
+    (df.repartition(1) if bounded else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
