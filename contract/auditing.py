@@ -12,12 +12,18 @@ from contract.profiling import inputs
 from contract.relating import KEYS
 from contract.views import VIEWS, load
 from plumbline import profile_tables
-from plumbline.functions import pii
+from plumbline.functions.types import catalog_label
 from plumbline.operators import enrichment as E
+from plumbline.operators import findings as FD
 from plumbline.operators import fixes as FX
 from plumbline.operators import quality as Q
 from plumbline.operators import redaction
+from plumbline.operators.inquiries import offending_rows
+from plumbline.operators.profile import rounded, top_values
 from plumbline.plans import report as RP
+from plumbline.plans.audit import audit
+from plumbline.sources import files
+from plumbline.sources.catalog import describe_tables
 from plumbline.sources.settle import settle
 
 AUDITED = ["intake", "passages", "customers", "sales"]
@@ -286,6 +292,38 @@ def enrichment(spark, sf_dir) -> DataFrame:
     return E.profile_findings(profile, options=_BIG)
 
 
+# --- SQL of redaction -------------------------------------------------------------------
+
+# The kinds of entities in the order they are replaced, restated for the SQL side.
+_ENTITY_SHAPES = (
+    ("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"),
+    ("CREDIT_CARD", r"\b([0-9][ -]?){12,15}[0-9]\b"),
+    ("US_SSN", r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b"),
+    ("IP_ADDRESS", r"\b[0-9]{1,3}(\.[0-9]{1,3}){3}\b"),
+    ("PHONE_NUMBER", r"\+?[0-9][0-9 ()-]{7,}[0-9]"),
+    ("URL", r"https?://[^ ]+"),
+    ("IBAN_CODE", r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{10,30}\b"),
+)
+
+
+def _redacted_sql(column: str) -> str:
+    for entity, shape in _ENTITY_SHAPES:
+        column = f"regexp_replace({column}, '{shape}', '[REDACTED:{entity}]', 'g')"
+    return column
+
+
+def _entities_sql(source: str, column: str) -> str:
+    parts, left = [], column
+    for entity, shape in _ENTITY_SHAPES:
+        hits = f"len(regexp_extract_all({left}, '{shape}'))"
+        parts.append(
+            f"""SELECT '{column}' AS "column", '{entity}' AS entity, CAST(sum({hits}) AS BIGINT) AS hits,
+            count(*) FILTER ({hits} > 0) AS rows FROM {source}"""
+        )
+        left = f"regexp_replace({left}, '{shape}', '[REDACTED:{entity}]', 'g')"
+    return " UNION ALL ".join(parts)
+
+
 # --- fixes ------------------------------------------------------------------------------
 
 FIXES = [
@@ -330,6 +368,46 @@ def _cleaned(spark, sf_dir):
     return FX.apply_fixes(tables["intake"], "intake", FIXES, FX.dry_run(tables, FIXES))
 
 
+def _failing(spark, sf_dir):
+    """Findings on columns of the intake whose fixes fail, or do not, and what becomes of them."""
+    tables = inputs(spark, sf_dir, ["intake"])
+
+    def on(column, risk, predicate, value, kind=FD.QUALITY):
+        fix = FD.set_value(F.col("column"), predicate, value)
+        made = FD.finding("TRIED", "low", risk, f"{kind} {risk} {column}", {}, fix=fix, kind=kind)
+        return F.when(F.col("column") == column, made)
+
+    columns = describe_tables(tables)
+    found = FD.emit(
+        columns,
+        on("quantity", "green", "quantity < 0", "'many'"),  # no whole number
+        on("email", "yellow", "no_such_function(email)", "'x'"),
+        on("price", "green", "price < 0", "0"),
+        on("amount", "green", "amount > 1", "'dear'", FD.ENRICHMENT),
+        on("agent", "yellow", "agent IS NULL", "'A0'", FD.ENRICHMENT),
+        on("note", "red", "note IS NULL", "'x'"),
+        on("channel", "green", "channel IS NULL", "raise_error('no')"),
+    )
+    done = FX.validate(tables, settle(found))[0]
+    return done.select(
+        "kind", "column", "fix_risk", F.col("fix").isNotNull().alias("has_fix"), "dry_run.passed",
+        "dry_run.estimated_rows_affected", "dry_run.disposition",
+    )
+
+
+_FAILING_SQL = f"""SELECT kind, v."column", CASE WHEN risk = 'green' AND kind = 'quality' AND NOT passed THEN 'yellow' ELSE risk END AS fix_risk,
+    coalesce(passed, false) AS has_fix, passed, CASE WHEN passed THEN hits END AS estimated_rows_affected,
+    CASE WHEN passed THEN 'keep' WHEN NOT passed THEN 'drop' END AS disposition
+    FROM (SELECT 'quality' AS kind, 'quantity' AS "column", 'green' AS risk, count(*) FILTER (quantity < 0) = 0 AS passed, count(*) FILTER (quantity < 0) AS hits FROM data
+        UNION ALL SELECT 'quality', 'email', 'yellow', false, 0 FROM (SELECT 1)
+        UNION ALL SELECT 'quality', 'price', 'green', true, count(*) FILTER (price < 0) FROM data
+        UNION ALL SELECT 'enrichment', 'amount', 'green', count(*) FILTER (amount > 1) = 0, 0 FROM data
+        UNION ALL SELECT 'enrichment', 'agent', 'yellow', true, count(*) FILTER (agent IS NULL) FROM data
+        UNION ALL SELECT 'quality', 'note', 'red', NULL, 0 FROM (SELECT 1)
+        UNION ALL SELECT 'quality', 'channel', 'green', count(*) FILTER (channel IS NULL) = 0, 0 FROM data) v"""
+_FAILING_SQL = f"WITH data AS ({VIEWS['intake'].sql}) {_FAILING_SQL}"
+
+
 def _disposed(spark, sf_dir):
     tables, profile = profiled(spark, sf_dir)
     found = settle(Q.quality_findings(tables, profile, formulas=FORMULAS))
@@ -478,52 +556,40 @@ def register() -> dict[str, tuple]:
         ),
     )
 
-    # redaction
-    five = pii.ENTITIES[:5]
-    chain = "text"
-    for e in five:
-        chain = f"regexp_replace({chain}, '{pii.ENTITY_PATTERNS[e]}', '[REDACTED:{e}]', 'g')"
+    # redaction: all kinds of entities over whole tables
     q["redacted_documents"] = (
-        lambda s, d: redaction.redact_columns(load(s, d, "documents"), ["text"], five),
-        f"SELECT doc_id, {chain} AS text, lang, source, n_chars FROM documents",
+        lambda s, d: redaction.redact_columns(load(s, d, "documents"), ["text"]),
+        f"SELECT doc_id, {_redacted_sql('text')} AS text, lang, source, n_chars FROM documents",
     )
     q["redacted_conversations"] = (
-        lambda s, d: redaction.redact_columns(load(s, d, "conversations"), ["text"], five),
-        f"SELECT conv_id, turn, role, {chain} AS text FROM conversations",
-    )
-    counted, left = [], "text"
-    for e in five:
-        hits = f"len(regexp_extract_all({left}, '{pii.ENTITY_PATTERNS[e]}'))"
-        counted.append(
-            f"""SELECT 'text' AS "column", '{e}' AS entity, CAST(sum({hits}) AS BIGINT) AS hits,
-            count(*) FILTER ({hits} > 0) AS rows FROM documents"""
-        )
-        left = f"regexp_replace({left}, '{pii.ENTITY_PATTERNS[e]}', '[REDACTED:{e}]', 'g')"
+        lambda s, d: redaction.redact_columns(load(s, d, "conversations"), ["text"]),
+        f"SELECT conv_id, turn, role, {_redacted_sql('text')} AS text FROM conversations",
+    )
     q["entity_report"] = (
-        lambda s, d: redaction.entity_report(load(s, d, "documents"), ["text"], five),
-        " UNION ALL ".join(counted),
+        lambda s, d: redaction.entity_report(load(s, d, "documents"), ["text"]),
+        _entities_sql("documents", "text"),
     )
-    pages = {e: pii.ENTITY_PATTERNS[e] for e in ("EMAIL_ADDRESS", "URL")}
-    masked = "url"
-    for e, p in pages.items():
-        masked = f"regexp_replace({masked}, '{p}', '[REDACTED:{e}]', 'g')"
     q["redacted_page_addresses"] = (
-        lambda s, d: redaction.redact_columns(load(s, d, "pages"), ["url"], list(pages)).drop("html"),
-        f"SELECT page_id, {masked} AS url FROM pages",
+        lambda s, d: redaction.redact_columns(load(s, d, "pages"), ["url", "html"]),
+        f"SELECT page_id, {_redacted_sql('url')} AS url, {_redacted_sql('html')} AS html FROM pages",
+    )
+    # kinds that the texts do not hold
+    q["redacted_contacts"] = (
+        lambda s, d: redaction.redact_columns(VIEWS["contacts"].build(s, d), ["line"]),
+        f"SELECT id, {_redacted_sql('line')} AS line FROM ({VIEWS['contacts'].sql})",
+    )
+    q["entity_report_contacts"] = (
+        lambda s, d: redaction.entity_report(VIEWS["contacts"].build(s, d), ["line"]),
+        _entities_sql(f"({VIEWS['contacts'].sql})", "line"),
     )
 
     def redacted_profile(s, d):
-        profile = redaction.redact_profile(profile_tables(inputs(s, d, ["conversations", "intake"])), five)
-        from plumbline.operators.profile import top_values
-
+        profile = redaction.redact_profile(profile_tables(inputs(s, d, ["conversations", "intake", "contacts"])))
         return top_values(profile)
 
-    value = "r.value"
-    for e in five:
-        value = f"regexp_replace({value}, '{pii.ENTITY_PATTERNS[e]}', '[REDACTED:{e}]', 'g')"
     q["redacted_top_values"] = (
         redacted_profile,
-        S.profiles_sql(["conversations", "intake"], S.TOP_BODY.replace("r.value,", f"{value} AS value,")),
+        S.profiles_sql(["conversations", "intake", "contacts"], S.TOP_BODY.replace("r.value,", f"{_redacted_sql('r.value')} AS value,")),
     )
 
     # fixes
@@ -588,18 +654,126 @@ def register() -> dict[str, tuple]:
         summary_sql
         % f"""SELECT 'quality' AS kind, severity, code FROM ({_quality_sql()}) WHERE "table" = 'passages'""",
     )
+    # what ties on the ordering columns is alike in all that is compared
+    reading = '"table", "column" NULLS FIRST, code'
     q["report_findings_numbered"] = (
-        lambda s, d: RP.findings_table(quality(s, d)).groupBy("severity").agg(
-            F.max("number").cast("bigint").alias("last"), F.count(F.lit(1)).alias("findings")
-        ),
-        f"SELECT severity, count(*) AS last, count(*) AS findings FROM ({_quality_sql()}) GROUP BY severity",
-    )
+        lambda s, d: RP.findings_table(all_findings(s, d)).drop("description", "evidence"),
+        f"""SELECT *, row_number() OVER (PARTITION BY kind, severity ORDER BY {reading}) AS number FROM ({both})""",
+    )
     phase = """CASE WHEN fix_risk = 'green' THEN 1 WHEN fix_risk = 'yellow' THEN 2
         WHEN kind = 'quality' THEN 3 END"""
     q["report_runbook"] = (
-        lambda s, d: RP.runbook(all_findings(s, d)).select("phase", "code", "table", "column"),
-        f"""SELECT {phase} AS phase, code, "table", "column" FROM ({both}) WHERE {phase} IS NOT NULL""",
+        lambda s, d: RP.runbook(all_findings(s, d)).select(
+            "phase", "step", "kind", "code", "table", "column", F.col("fix").isNotNull().alias("has_fix")
+        ),
+        f"""SELECT phase, row_number() OVER (PARTITION BY phase ORDER BY kind DESC, {reading}) AS step, kind, code,
+            "table", "column", phase < 3 AS has_fix FROM (SELECT *, {phase} AS phase FROM ({both})) WHERE phase IS NOT NULL""",
+    )
+    q["fix_selection"] = (
+        lambda s, d: RP.selected_fixes(all_findings(s, d), "yellow").select("kind", "code", F.array_join("tables", ",").alias("table"), "column"),
+        f"""SELECT kind, code, "table", "column" FROM ({both}) WHERE fix_risk = 'yellow'""",
+    )
+
+    def whole_audit(s, d):
+        tables = inputs(s, d, AUDITED)
+        return audit(tables, formulas=FORMULAS, enrich=False, keys={t: [k] for t, k in TABLE_KEYS.items()})
+
+    of_quality = f"SELECT 'quality' AS kind, {_KIND_COLUMNS} FROM ({_quality_sql()})"
+    q["audit_findings"] = (
+        lambda s, d: whole_audit(s, d).findings.select(
+            "kind", "code", F.array_join("tables", ",").alias("table"), "column", "severity", "fix_risk"
+        ),
+        of_quality,
+    )
+    q["audit_summary"] = (lambda s, d: whole_audit(s, d).summary, summary_sql % of_quality)
+    clean = ["nations", "region_list"]
+
+    def of_clean(s, d):
+        tables, profile = profiled(s, d, clean)
+        return Q.quality_findings(tables, profile, keys={t: ["id"] for t in clean}).agg(F.count("*").alias("findings"))
+
+    q["quality_clean_tables"] = (
+        of_clean,
+        "SELECT count(*) AS findings FROM (" + " UNION ALL ".join(
+            f"SELECT code FROM ({x})" for x in (
+                _over_profiles(_NULLS, clean), _over_profiles(_MIXED, clean), _over_profiles(_OWN_KEY, clean),
+                _over_profiles(_DUPLICATE_KEY, clean), _formats_sql(clean), _labels_sql(clean), _negatives_sql(clean),
+                _outliers_sql(clean), _duplicate_rows_sql(clean, dict.fromkeys(clean, "id")),
+            )
+        ) + ")",
+    )
+    q["report_generated_at"] = (
+        lambda s, d: load(s, d, "orders").select("o_orderkey", RP.generated_at(F.col("o_orderdate")).alias("shown")),
+        "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M UTC') AS shown FROM orders",
+    )
+    q["report_documents"] = (
+        lambda s, d: RP.as_json(load(s, d, "customer")),
+        "SELECT CAST(to_json(customer) AS VARCHAR) AS document FROM customer",
+    )
+    type_names = """CASE o_custkey % 6 WHEN 0 THEN concat('decimal(', o_custkey % 30 + 1, ', 2)') WHEN 1 THEN concat('VARCHAR(', o_custkey, ')')
+        WHEN 2 THEN 'BIGINT' WHEN 3 THEN 'timestamp with time zone' WHEN 4 THEN 'tinyint' ELSE concat('Double ', '(', o_custkey, ')') END"""
+    q["catalog_labels"] = (
+        lambda s, d: load(s, d, "orders").select(F.expr(type_names).alias("type")).select("type", catalog_label(F.col("type")).alias("label")),
+        f"""SELECT type, CASE WHEN bare = 'BIGINT' THEN 'integer' WHEN bare IN ('DECIMAL', 'DOUBLE') THEN 'float'
+            WHEN bare LIKE 'TIMESTAMP%' THEN 'datetime' ELSE 'string' END AS label
+            FROM (SELECT *, upper(trim(split_part(type, '(', 1))) AS bare FROM (SELECT {type_names} AS type FROM orders))""",
+    )
+
+    def sheet_lines(s, d):
+        rows = load(s, d, "customer").selectExpr(
+            "c_custkey + 1 AS number",
+            "CASE c_custkey % 3 WHEN 0 THEN concat(c_custkey, ',', c_name) "
+            "WHEN 1 THEN concat(c_custkey, ',\"', c_name, ', \"\"Inc\"\"\",', c_nationkey) "
+            "ELSE concat(c_custkey, ',,', c_nationkey, ',', c_mktsegment, ',more') END AS line",
+        )
+        head = rows.orderBy("number").limit(1).selectExpr("0L AS number", "' key ,Name,,name' AS line")
+        return files.sheet(s, head.union(rows))
+
+    q["sheet_rows"] = (
+        sheet_lines,
+        """SELECT CAST(c_custkey AS VARCHAR) AS key, CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN c_name || ', "Inc"' END AS "Name",
+            CASE WHEN c_custkey % 3 > 0 THEN CAST(c_nationkey AS VARCHAR) END AS col_2,
+            CASE WHEN c_custkey % 3 = 2 THEN c_mktsegment END AS name_1, CASE WHEN c_custkey % 3 = 2 THEN 'more' END AS col_4 FROM customer""",
+    )
+    q["sheet_as_text"] = (
+        lambda s, d: files.as_text(load(s, d, "customer").toDF(" key", "Key ", "", "c", "C_1")),
+        """SELECT CAST(c_custkey AS VARCHAR) AS key, c_name AS "Key_1", CAST(c_nationkey AS VARCHAR) AS col_2,
+            CAST(c_acctbal AS VARCHAR) AS c, c_mktsegment AS "C_1" FROM customer""",
+    )
+    q["profile_rounded"] = (
+        lambda s, d: rounded(profile_tables(inputs(s, d, ["labelled"]))).select("column", "null_pct", "cardinality_ratio"),
+        S.with_ctes(
+            S.profile_ctes("labelled"),
+            'SELECT "column", round(null_pct, 4) AS null_pct, round(cardinality_ratio, 4) AS cardinality_ratio FROM profile',
+        ),
     )
+
+    # rows behind findings over groups
+    intake, passages = VIEWS["intake"].sql, VIEWS["passages"].sql
+
+    def behind(code, table, column):
+        def run(s, d):
+            tables = inputs(s, d, AUDITED)
+            found = quality(s, d).where((F.col("code") == code) & F.col("column").eqNullSafe(F.lit(column)) & (F.col("tables")[0] == table))
+            return offending_rows(tables, found.first(), {t: [k] for t, k in TABLE_KEYS.items()})
+
+        return run
+
+    q["fix_investigation_repeated_keys"] = (
+        behind("POSSIBLE_DUPLICATE", "intake", "intake_id"),
+        f"SELECT * FROM ({intake}) WHERE intake_id IN (SELECT intake_id FROM ({intake}) GROUP BY intake_id HAVING count(*) > 1)",
+    )
+    q["fix_investigation_repeated_rows"] = (
+        behind("POSSIBLE_DUPLICATE", "passages", None),
+        f"SELECT * FROM ({passages}) WHERE text IN (SELECT text FROM ({passages}) GROUP BY text HAVING count(*) > 1)",
+    )
+    q["fix_investigation_own_key"] = (
+        behind("CARDINALITY_ANOMALY", "intake", "intake_id"),
+        f"SELECT * FROM ({intake}) WHERE intake_id IN (SELECT intake_id FROM ({intake}) GROUP BY intake_id HAVING count(*) > 1)",
+    )
+
+    # fixes that fail their dry run, of both kinds
+    q["fix_failing_dispositions"] = (_failing, _FAILING_SQL)
     q["report_scope"] = (
         lambda s, d: RP.scope(all_findings(s, d), "parquet"),
         f"""SELECT 'PARQUET' AS source_type, string_agg(t, ', ' ORDER BY t) AS tables FROM

@@ -219,3 +219,17 @@ VIEWS["headed_texts"] = _renamed(
     "doc_id=doc_id; text=concat(repeat('= ', 100), text); lang=lang",
     "doc_id:bigint text:string lang:string",
 )
+# every kind of entity, from the rows' own numbers
+VIEWS["contacts"] = _renamed(
+    "customer",
+    "id=c_custkey;"
+    "line=CASE c_custkey % 8 WHEN 0 THEN concat('mail ', c_custkey, '@example.org now') "
+    "WHEN 1 THEN concat('card 4111 1111 1111 ', 1000 + c_custkey % 9000) "
+    "WHEN 2 THEN concat('ssn ', 100 + c_custkey % 900, '-12-', 1000 + c_custkey % 9000, '.') "
+    "WHEN 3 THEN concat('from 10.0.', c_custkey % 256, '.7, and 10.1.2.3') "
+    "WHEN 4 THEN concat('call +1 555 0', 100000 + c_custkey, ' or write') "
+    "WHEN 5 THEN concat('see https://example.com/', c_custkey, '?q=1 and http://a.b') "
+    "WHEN 6 THEN concat('pay DE', 10 + c_custkey % 90, '5001051754073249', 10 + c_custkey % 90, ' soon') "
+    "ELSE c_name END",
+    "id:bigint line:string",
+)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline import profile_tables
 from plumbline.operators import fixes as FX
-from plumbline.operators import isolation, profile as P, quality as Q
+from plumbline.operators import inquiries, isolation, profile as P, quality as Q
 from plumbline.plans.audit import audit
 from plumbline.sources import catalog
 
@@ -116,3 +116,26 @@ def test_composite_keys_meet_by_position(ansi):
     }
     with pytest.raises(ValueError):
         catalog.declared_keys_ansi(constraints, usage)
+
+
+def test_rows_behind_findings_over_groups(spark):
+    rows = [(1, "a", 10, b"x"), (1, "b", 11, None), (2, "a", 10, b"x"), (3, None, None, None), (4, None, None, None), (None, "z", 12, b"y"), (None, "y", 13, b"y")]
+    df = spark.createDataFrame(rows, "id int, t string, parent int, raw binary")
+    parents = spark.createDataFrame([(10,), (13,)], "id int")
+    relation = {"from_table": "t", "from_column": "parent", "to_table": "p", "to_column": "id"}
+    base = {"kind": "quality", "tables": ["t"], "column": None, "investigation": None, "description": "Values missing from p"}
+
+    def behind(**finding):
+        return inquiries.offending_rows({"t": df, "p": parents}, base | finding, {"t": ["id"]}, [relation])
+
+    shown = lambda found: sorted(((r["id"], r["t"]) for r in found.collect()), key=str)
+    assert shown(behind(code="POSSIBLE_DUPLICATE", column="id")) == [(1, "a"), (1, "b")]
+    assert shown(behind(code="POSSIBLE_DUPLICATE")) == [(1, "a"), (2, "a"), (3, None), (4, None)]
+    assert shown(behind(code="CARDINALITY_ANOMALY", column="parent")) == [(1, "a"), (2, "a")]
+    assert shown(behind(code="ORPHANED_FK", column="parent")) == [(1, "b"), (None, "z")]
+    assert shown(behind(code="NULL_EXCESS", column="t")) == [(3, None), (4, None)]
+    assert shown(behind(code="OUTLIER", column="parent", investigation="parent > 12")) == [(None, "y")]
+    assert behind(code="DERIVABLE_COLUMN", kind="enrichment", column="t") is None
+    assert inquiries.repeated_rows(df, df.columns).count() == 0
+    clash = df.withColumnRenamed("t", "key_0")
+    assert inquiries.repeated_key_rows(clash, ["id"]).columns == clash.columns

@@ -1,3 +1,5 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -116,3 +118,41 @@ def test_settled_results_do_not_recompute(spark):
     done = settle(df)
     before = counter.value
     assert done.count() == 4 and done.collect() and counter.value == before
+
+
+def test_bounds_follow_the_keys_own_distribution(spark):
+    """Nine tenths of the keys lie in a hundredth of the range, one value holds a fifth of all rows."""
+    keys = spark.range(10000).selectExpr(
+        "CASE WHEN id % 5 = 0 THEN 7 WHEN id % 10 = 1 THEN id * 1000 ELSE id END AS k", "CAST(id AS STRING) AS t",
+        "date_add(DATE'2024-01-01', CAST(sqrt(id) AS INT)) AS day",
+    )
+    connection = jdbc.Connection.parse("postgres://db/shop")
+    for column in ("k", "day"):
+        bounds = jdbc.equal_depth_bounds(keys, column, 8)
+        predicates = jdbc.range_predicates(connection, column, bounds)
+        counts = [keys.where(p.replace('"', "`")).count() for p in predicates]
+        assert sum(counts) == 10000 and len(predicates) <= 8
+        assert max(counts) <= 10000 / 8 * (2.2 if column == "k" else 1.2)
+    assert jdbc.equal_depth_bounds(keys, "t", 8) is None
+    assert jdbc.equal_depth_bounds(keys.limit(0), "k", 4) == [] and jdbc.range_predicates(connection, "k", []) == ["1 = 1"]
+
+
+def test_range_predicates_hold_each_row_once(spark):
+    connection = jdbc.Connection.parse("mysql://db/shop")
+    rows = spark.createDataFrame([(None,), (-5,), (0,), (3,), (3,), (9,)], "k int")
+    predicates = jdbc.range_predicates(connection, "k", [0, 3])
+    assert [rows.where(p).count() for p in predicates] == [2, 1, 3]
+    assert jdbc.range_predicates(connection, "d", [dt.date(2024, 1, 2), dt.datetime(2024, 1, 2, 3, 4, 5)])[1] == (
+        "`d` >= '2024-01-02' AND `d` < '2024-01-02T03:04:05.000'"
+    )
+
+
+@pytest.mark.parametrize("dsn", ["postgres://db/shop", "mysql://db/shop", "mssql://db/shop"])
+def test_hash_predicates_and_schemas(dsn):
+    connection = jdbc.Connection.parse(dsn)
+    predicates = jdbc.hash_predicates(connection, "code", 4)
+    assert len(predicates) == 4 and "IS NULL" in predicates[0] and all(p.startswith(predicates[0][:20]) for p in predicates)
+    quoted = connection.quote
+    assert jdbc.table_options(connection, "t", schema="s")["dbtable"] == f"{quoted('s')}.{quoted('t')}"
+    assert "table_schema" in jdbc.listing_options(connection)["query"]
+    assert jdbc.source_names([("a", "t"), ("b", "t"), ("a", "u")]) == {"a.t": ("a", "t"), "b.t": ("b", "t"), "u": ("a", "u")}
