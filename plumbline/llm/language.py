@@ -18,9 +18,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from plumbline.llm.hashing import as_bytes, blocks, gaps
-from plumbline.llm.tables import bounded_sample, for_workers
+from plumbline.llm.tables import bounded_sample, for_workers, unused
 
 #: Bound of the sample that is fitted; slots of the hashed n-grams.
 PER_LANGUAGE, SLOTS = 400, 2048
@@ -121,13 +122,15 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(rows: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = PER_LANGUAGE) -> Model | None:
     """A model of the rows with a language and a letter; None without any. The sample is chosen by
-    id before any text is read."""
+    id before any text is read; where ids are repeated, so many of their rows as the bound lets
+    are chosen by their features."""
     rows = for_workers(rows).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"), F.col(lang).alias("lang"))
     rows = rows.filter("lang IS NOT NULL AND text IS NOT NULL")
     chosen = bounded_sample(rows.select("doc_id", "lang"), "lang", per_language).distinct()
     # as many ids as PER_LANGUAGE for each language
     sample = rows.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
-    got = sample.mapInArrow(_featured, "lang string, data binary").orderBy("lang", "data").toArrow()
+    sample = bounded_sample(sample.mapInArrow(_featured, "lang string, data binary"), "lang", per_language, "data")
+    got = sample.orderBy("lang", "data").toArrow()
     data = got.column("data").to_pylist()
     x = np.zeros((len(data), SLOTS), np.float32)
     for i, row in enumerate(data):
@@ -141,7 +144,7 @@ def _predicted(model):
     def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            raw = as_bytes(batch.column("_text"))
+            raw = as_bytes(batch.column(batch.num_columns - 1))
             names, scores = [], []
             for text, x in zip(raw, features(raw), strict=True):
                 if m is None or text is None or not _LETTER.search(text.decode("utf-8", "replace")):
@@ -158,9 +161,10 @@ def _predicted(model):
 
 
 def identify(docs: DataFrame, model: Model | None, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns of ``keep``, lang_pred and score, per row of ``docs``."""
+    """The columns of ``keep``, lang_pred and score, per row of ``docs``. Names in ``keep`` must
+    not be those two; any other column of ``docs`` may have any name."""
     kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
+    schema = StructType([*kept.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias(unused("_text", list(keep))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_predicted(shared), f"{schema}, lang_pred string, score double")
+    return rows.mapInArrow(_predicted(shared), schema)

@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.llm.hashing import U, WHITE, as_bytes, blocks, shingles, words
-from plumbline.llm.tables import bounded_sample, for_workers
+from plumbline.llm.tables import bounded_sample, for_workers, unused
 
 #: Bound of the sample that is fitted; slots of hashed words; factors; steps of a statistic.
 PER_CLASS, SLOTS, FACTORS, STEPS = 2000, 1 << 14, 8, 16
@@ -127,9 +128,9 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     if len(counts) < 2:
         return 0.0 if set(counts) == {0} else 1.0
     chosen = bounded_sample(known, "label", per_class).groupBy("doc_id").agg(F.max("label").alias("label"))
-    # at most 2 * per_class ids
+    # at most 2 * per_class ids; where they are repeated, their rows are cut as well
     got = docs.join(F.broadcast(chosen), "doc_id").select("label", "text").mapInArrow(_featured, f"label {chosen.schema['label'].dataType.simpleString()}, data binary")
-    got = got.orderBy("label", "data").toArrow()
+    got = bounded_sample(got, "label", per_class, "data").orderBy("label", "data").toArrow()
     rows = []
     for data in got.column("data").to_pylist():
         slots = np.frombuffer(data, np.int32).astype(np.int64)
@@ -144,7 +145,7 @@ def _scored(model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            found = inputs(as_bytes(batch.column("_text")))
+            found = inputs(as_bytes(batch.column(batch.num_columns - 1)))
             scores = [m if isinstance(m, float) else m.score(*x) for x in found]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
@@ -152,9 +153,10 @@ def _scored(model):
 
 
 def score(docs: DataFrame, model: Model | float, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and score, per row of ``docs``."""
+    """The columns of ``keep`` and score, per row of ``docs``. No name in ``keep`` may be score;
+    any other column of ``docs`` may have any name."""
     kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias(unused("_text", list(keep))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scored(shared), f"{schema}, score double")
+    return rows.mapInArrow(_scored(shared), schema)

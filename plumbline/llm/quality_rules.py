@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from plumbline.llm.hashing import WHITE, as_bytes, blocks, shingles, words
-from plumbline.llm.tables import bounded_sample, for_workers
+from plumbline.llm.tables import bounded_sample, for_workers, unused
 
 #: Bound of the sample that is fitted; least share of bad texts a rule may cover, and least number.
 PER_CLASS, PRECISION, LEAST = 4000, 0.95, 4
@@ -87,7 +88,7 @@ def statistics(texts: list[bytes | None]) -> Iterator[tuple[int | float, ...]]:
 def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = COUNTS + SHARES
     for batch in batches:
-        rows = list(zip(*statistics(as_bytes(batch.column("_text"))), strict=True)) or [()] * len(names)
+        rows = list(zip(*statistics(as_bytes(batch.column(batch.num_columns - 1))), strict=True)) or [()] * len(names)
         arrays = [pa.array(x, pa.int64() if n in COUNTS else pa.float64()) for n, x in zip(names, rows, strict=True)]
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], *names])
 
@@ -95,10 +96,9 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def measured(docs: DataFrame, keep: dict[str, Column], text: str = "text") -> DataFrame:
     """The columns of ``keep`` and the statistics, per row of ``docs``."""
     kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-    schema += [f"{n} long" for n in COUNTS] + [f"{n} double" for n in SHARES]
-    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
-    return rows.mapInArrow(_measured, ", ".join(schema))
+    fields = [StructField(n, LongType()) for n in COUNTS] + [StructField(n, DoubleType()) for n in SHARES]
+    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias(unused("_text", list(keep))))
+    return rows.mapInArrow(_measured, StructType([*kept.schema.fields, *fields]))
 
 
 @dataclass(frozen=True)
@@ -190,9 +190,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", doc_id: str = "d
     known = labels.select("doc_id", "label").filter("label IN (0, 1)")
     chosen = bounded_sample(known, "label", per_class).groupBy("doc_id").agg(F.max("label").alias("label"))
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    # at most 2 * per_class ids
+    # at most 2 * per_class ids; where they are repeated, their rows are cut as well
     rows = docs.join(F.broadcast(chosen), "doc_id")
-    got = measured(rows, {"label": F.col("label").cast("int")}).orderBy(*SHARES, "label").toArrow()
+    found = measured(rows, {"label": F.col("label").cast("int")}).select("label", F.struct(*SHARES).alias("shares"))
+    got = bounded_sample(found, "label", per_class, "shares").select("label", "shares.*").orderBy(*SHARES, "label").toArrow()
     x = np.stack([got.column(n).to_numpy() for n in SHARES], axis=1)
     bad = got.column("label").to_numpy() == 0
     return learn(x, bad) if 0 < bad.sum() < len(bad) else []

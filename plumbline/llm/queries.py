@@ -55,7 +55,8 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels, held_out = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), fold("doc_id", 5) == 0
-    model = toxicity.fit(docs, labels.filter(~held_out).select("doc_id", (F.col("toxic") == 1).alias("confirmed")))
+    confirmed = labels.filter(~held_out).select("doc_id", (F.col("toxic") == 1).alias("confirmed"))
+    model = toxicity.fit(docs.filter(~held_out), confirmed)
     scored = toxicity.score(docs, model, {"doc_id": F.col("doc_id"), "held_out": held_out})
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 

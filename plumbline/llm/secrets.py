@@ -10,7 +10,8 @@ has all of them; one of few owners and repositories is taken as live.
 
 The three base kinds are always spans. The further kinds are spans where their value is live.
 
-A null text counts as empty; null repositories and owners are one unknown each. Repeated
+In the registered query a document is a repository of its own, as the table names none; ``repository``
+takes the column of one where there is one. A null text counts as empty; null repositories and owners are one unknown each. Repeated
 rows are reported once a row. Matches may overlap between kinds.
 """
 
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.tables import settle
+from plumbline.llm.tables import settle, unused
 
 
 @dataclass(frozen=True)
@@ -48,11 +49,12 @@ BASE = (
     Kind("access", "AKIA[A-Z0-9]+", 0, 16, "AKIA"),
     Kind("hex", "[0-9a-f]{32,}", 0, 32, "[0-9a-f]{32}"),
 )
-# A private key's body goes to its END line, past few dashes of header lines; without one, over
-# lines of base64, parted by white space or escaped line ends.
+# A private key's body goes to its END line, past single dashes of header lines; without one, over
+# lines of base64, parted by white space or escaped line ends. However long it is: a possessive
+# group is matched in a loop, without a frame for each repetition.
 _BEGIN, _END = "-----BEGIN [A-Z ]*PRIVATE KEY-----", "-----END [A-Z ]*PRIVATE KEY-----"
-_CLOSED = rf"[^-]*+(?:-[^-]++){{0,20}}+(?={_END})"
-_OPEN = r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+){0,1000}+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2}+)?+"
+_CLOSED = rf"[^-]*+(?:-[^-]++)*+(?={_END})"
+_OPEN = r"(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{16,}+={0,2}+)*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]{1,15}+={1,2}+)?+"
 #: What the method adds: credentials that a format alone makes likely.
 FURTHER = (
     Kind("bearer", r"\b[Bb]earer\x20+[A-Za-z0-9._~+/-]{20,}=*", 0, 27, "[Bb]earer"),
@@ -120,7 +122,8 @@ def scan(
         .groupBy("value")
         .agg(F.count("*").alias("owners"), F.sum("repositories").alias("repositories"))
     )
-    judged = spans.join(owners, "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
+    # as a table, so that both sides of the join come from shuffles, whose large partitions Spark splits
+    judged = spans.join(settle(owners), "value").withColumn("live", (F.col("owners") <= max_owners) & (F.col("repositories") <= max_repositories))
     per_row = judged.groupBy("doc_id", "text_hash").agg(
         F.array_sort(F.collect_set(F.when(F.col("live") & (F.col("s.kind") >= len(BASE)), F.col("s")))).alias("added"),
         F.size(F.collect_set(F.when(F.col("live"), F.col("s")))).cast("long").alias("n_live"),
@@ -150,10 +153,11 @@ def digest(found: DataFrame) -> DataFrame:
 def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark: str = "[secret]", **options) -> DataFrame:
     """``docs`` with every span of a text replaced by ``mark``; other rows as they are."""
     found = scan(docs, text, doc_id, **options).filter(F.size("spans") > 0)
-    found = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias("_spans"))
-    found = found.dropDuplicates(["_id", "_hash"])
+    key, code, places = (unused(n, docs.columns) for n in ("_id", "_hash", "_spans"))
+    found = found.select(F.col("doc_id").alias(key), F.col("text_hash").alias(code), F.transform("spans", lambda s: F.struct(s["start"], s["end"])).alias(places))
+    found = found.dropDuplicates([key, code])
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    both = docs.join(found, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(body) == F.col("_hash")), "left")
+    both = docs.join(found, docs[doc_id].eqNullSafe(F.col(key)) & (F.xxhash64(body) == F.col(code)), "left")
     t = F.col(text)
 
     def step(state: Column, s: Column) -> Column:
@@ -162,30 +166,35 @@ def redacted(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", mark:
         return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(new, F.concat(state["text"], gap, F.lit(mark))).otherwise(state["text"]).alias("text"))
 
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text"))
-    done = F.aggregate("_spans", start, step)
+    done = F.aggregate(places, start, step)
     rest = F.concat(done["text"], F.substring(t, (done["at"] + 1).cast("int"), F.length(t)))
-    return both.withColumn(text, F.when(F.col("_spans").isNull(), t).otherwise(rest)).select(*docs.columns)
+    return both.withColumn(text, F.when(F.col(places).isNull(), t).otherwise(rest)).select(*docs.columns)
 
 
 def _kind_sql(kind: Kind, rank: int) -> str:
-    pattern = kind.pattern.replace("'", "''")
-    values = f"regexp_extract_all(t, '{pattern}', {kind.group})"
+    pattern, value = kind.pattern.replace("'", "''"), "value"
+    if kind.name == "pem":  # DuckDB's patterns do not look ahead: the END line is cut off the value
+        pattern = f"{_BEGIN}(?:[^-]*(?:-[^-]+)*{_END}|{_OPEN_SQL})"
+        value = f"regexp_replace(regexp_replace(whole, '^{_BEGIN}', ''), '{_END}$', '')"
+    values = f"regexp_extract_all(t, '{pattern}', {kind.group if kind.name != 'pem' else 0})"
     return f"""
-    SELECT r, {rank} AS kind, '{kind.name}' AS name, value, "end" - length(whole) AS start, "end" FROM (
+    SELECT r, {rank} AS kind, '{kind.name}' AS name, {value} AS value, "end" - length(whole) AS start, "end" FROM (
         SELECT r, whole, value, CAST(sum(gap + length(whole)) OVER (PARTITION BY r ORDER BY i) AS BIGINT) AS "end" FROM (
             SELECT r, unnest(range(len(m))) AS i, unnest(m) AS whole, unnest(v) AS value, length(unnest(p[1:len(m)])) AS gap FROM (
                 SELECT r, string_split_regex(t, '{pattern}') AS p, regexp_extract_all(t, '{pattern}', 0) AS m, {values} AS v FROM d)))
-    WHERE length(value) >= {kind.least}"""
+    WHERE length({value}) >= {kind.least}"""
 
 
-# The SQL knows a private key by its header line alone, and judges values by owners alone.
-_IN_SQL = BASE + FURTHER[:-1] + (Kind("pem", _BEGIN, 0, 30, "PRIVATE KEY"),)
+_OPEN_SQL = r"(?:(?:[\x09-\x0D\x20]|\\[nr])*[A-Za-z0-9+/]{16,}={0,2})*(?:(?:[\x09-\x0D\x20]|\\[nr])*[A-Za-z0-9+/]{1,15}={1,2})?"
 #: DuckDB SQL for the registered query, of ``documents``.
 SQL = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, row_number() OVER () AS r FROM documents),
-s AS ({" UNION ALL ".join(_kind_sql(k, i) for i, k in enumerate(_IN_SQL))}),
-o AS (SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners FROM s JOIN d USING (r) GROUP BY value),
-j AS (SELECT s.*, owners <= 2 AS live, name || ':' || start || ':' || "end" AS shown FROM s JOIN o USING (value)),
+s AS ({" UNION ALL ".join(_kind_sql(k, i) for i, k in enumerate(BASE + FURTHER))}),
+o AS (
+    SELECT value, count(DISTINCT coalesce('=' || source, '')) AS owners,
+        count(DISTINCT coalesce('=' || source, '') || chr(10) || coalesce(CAST(doc_id AS VARCHAR), '')) AS repositories
+    FROM s JOIN d USING (r) GROUP BY value),
+j AS (SELECT s.*, owners <= 2 AND repositories <= 10 AS live, name || ':' || start || ':' || "end" AS shown FROM s JOIN o USING (value)),
 g AS (
     SELECT r, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
         string_agg(shown, ',' ORDER BY start, kind) FILTER (kind < {len(BASE)}) AS base,

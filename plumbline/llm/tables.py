@@ -49,10 +49,39 @@ def fold(column: str, n: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """``name``, behind as many underscores as tell it from all ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+#: Up to this limit Spark cuts each task's share of a window's rows before it shuffles them
+#: (spark.sql.optimizer.windowGroupLimitThreshold); tasks whose shares meet in the first cut.
+CUT_EARLY, TOGETHER = 1000, 256
+
+
 def bounded_sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id") -> DataFrame:
     """At most ``per_label`` rows of each label, the same ones on every run: those whose
-    ids have the smallest hashes. Spark cuts each task's share before it shuffles."""
+    keys have the smallest hashes.
+
+    Three cuts bound what meets in a task. Hashes are dealt to shares, each about half as large
+    as CUT_EARLY in the sample, and no share keeps more than CUT_EARLY rows: first of TOGETHER
+    neighbouring tasks (each cuts its own rows before the shuffle), then of all, then the shares
+    of a label are cut to ``per_label``. A key that is repeated without end fills one share only."""
     from pyspark.sql import Window
 
-    order = Window.partitionBy(label).orderBy(F.xxhash64(key), F.col(key))
-    return rows.withColumn("_place", F.row_number().over(order)).filter(F.col("_place") <= per_label).drop("_place")
+    share, part, place = (unused(n, rows.columns) for n in ("_share", "_part", "_place"))
+    code = F.xxhash64(key)
+    shares, limit = max(1, -(-2 * per_label // CUT_EARLY)), min(CUT_EARLY, per_label)
+
+    def cut(found: DataFrame, groups: list[str], limit: int) -> DataFrame:
+        order = Window.partitionBy(*groups).orderBy(code, F.col(key))
+        return found.withColumn(place, F.row_number().over(order)).filter(F.col(place) <= limit).drop(place)
+
+    dealt = rows.withColumn(share, F.pmod(code, F.lit(shares))).withColumn(part, F.floor(F.spark_partition_id() / TOGETHER))
+    near = cut(dealt, [label, share, part], limit).drop(part)
+    if shares > 1:
+        near = cut(near, [label, share], limit)
+    return cut(near.drop(share), [label], per_label)

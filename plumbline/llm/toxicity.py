@@ -1,11 +1,11 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; other texts are unlabelled, toxic ones among
-them. The risk of calling an unlabelled text toxic is the unlabelled risk less the share
+Confirmed toxic texts are the positives; a sample of all texts is unlabelled, toxic ones among
+them, whose share, the class prior, is estimated from the two samples. The risk of calling an unlabelled text toxic is the unlabelled risk less the share
 the class prior leaves to positives, which is not let under zero: where a step would push
 it there, it is undone instead (Kiryo et al., 2017). The classifier is linear over hashed
 words and word beginnings that occur in a text, fitted with numpy on the driver on at most
-``PER_CLASS`` positives and four times as many others; every text is scored.
+``PER_CLASS`` positives and four times as many unlabelled ones; every text is scored.
 
 Null and empty texts have no features and get the score of the offset alone. Without a
 positive to learn from every score is 0.
@@ -19,9 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from plumbline.llm.hashing import NOT_ALNUM_EITHER_CASE, U, as_bytes, blocks, mix, words
-from plumbline.llm.tables import bounded_sample, for_workers
+from plumbline.llm.tables import bounded_sample, for_workers, unused
 
 #: Bound of the sample that is fitted, slots that features are hashed to, features of the model.
 PER_CLASS, SLOTS, MOST = 1500, 1 << 18, 1024
@@ -107,44 +108,66 @@ def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("confirmed"), pa.array(data, pa.binary())], names=["confirmed", "data"])
 
 
+def prior_of(positive: list[np.ndarray], unlabelled: list[np.ndarray], guess: float = 0.2, doubt: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from both samples alone, and one standard error
+    more, as a prior that is too small costs positives first. Each half of the rows is ranked by a model
+    of the other, fitted with a guess. The share of unlabelled rows over a threshold is at least the
+    prior times that of positives, with equality where only positives are left. The threshold is the one
+    where that bound, with the error of both shares, is lowest (best bin estimation)."""
+    order, sides = np.random.default_rng(5), [positive, unlabelled]
+    if min(len(rows) for rows in sides) < 2:
+        return guess
+    half = [order.permutation(len(rows)) % 2 for rows in sides]
+    ranks = [np.zeros(len(rows)) for rows in sides]
+    for k in (0, 1):
+        model = Model(*([row for row, h in zip(rows, of, strict=True) if h != k] for rows, of in zip(sides, half, strict=True)), guess)
+        for rows, of, rank in zip(sides, half, ranks, strict=True):
+            rank[of == k] = [model.score(rows[i]) for i in np.flatnonzero(of == k)]
+    s_p, s_u = (np.sort(rank) for rank in ranks)
+    n_p, n_u = len(s_p), len(s_u)
+    over_p = 1 - np.searchsorted(s_p, s_p) / n_p
+    over_u = 1 - np.searchsorted(s_u, s_p) / n_u
+    error = np.sqrt(np.log(4 / doubt) / 2 / n_p) + np.sqrt(np.log(4 / doubt) / 2 / n_u)
+    best = int(np.argmin((over_u + 1.01 * error) / over_p))
+    q, u = over_p[best], over_u[best]
+    spread = np.sqrt(u * (1 - u) / n_u + (u / q) ** 2 * q * (1 - q) / n_p) / q
+    return float(np.clip(u / q + spread, 0.5 / n_u, 0.95))
+
+
 def fit(docs: DataFrame, confirmed: DataFrame, text: str = "text", doc_id: str = "doc_id", per_class: int = PER_CLASS) -> Model | None:
-    """``confirmed``: doc_id and a boolean of the same name for the rows to learn from; what is
-    not true there is unlabelled. The class prior is the share of confirmed ones among them,
-    which is a lower bound where toxic texts are missed. None without any."""
+    """``docs``: the rows to learn from, all of them unlabelled; ``confirmed``: doc_id and a boolean of
+    the same name, true for the positives; its other rows say nothing. Nothing else is known of a row: no label says
+    that it is not toxic, and the class prior is estimated. None without a positive. Where ids are
+    repeated, so many of their rows as the bound lets are chosen by their features."""
     docs = for_workers(docs).select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    known = confirmed.select("doc_id", F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
-    n, n_positive = known.agg(F.count("*"), F.coalesce(F.sum(F.col("confirmed").cast("long")), F.lit(0))).first()
-    if not n_positive:
-        return None
-    positive = bounded_sample(known.filter("confirmed"), "confirmed", per_class)
-    other = bounded_sample(known.filter("NOT confirmed"), "confirmed", 4 * per_class)
-    chosen = positive.union(other).groupBy("doc_id").agg(F.max("confirmed").alias("confirmed"))
+    positive = bounded_sample(confirmed.filter("confirmed").select("doc_id", "confirmed"), "confirmed", per_class)
+    other = bounded_sample(docs.select("doc_id", F.lit(False).alias("confirmed")), "confirmed", 4 * per_class)
     # at most 5 * per_class ids
-    got = docs.join(F.broadcast(chosen), "doc_id").select("confirmed", "text").mapInArrow(_featured, "confirmed boolean, data binary")
-    got = got.orderBy("confirmed", "data").toArrow()
+    chosen = positive.union(other).distinct()
+    found = docs.join(F.broadcast(chosen), "doc_id").select("confirmed", "text").mapInArrow(_featured, "confirmed boolean, data binary")
+    got = bounded_sample(found, "confirmed", 4 * per_class, "data").orderBy("confirmed", F.xxhash64("data"), "data").toArrow()
     rows = {True: [], False: []}
     for is_confirmed, data in zip(got.column("confirmed").to_pylist(), got.column("data").to_pylist(), strict=True):
         rows[is_confirmed].append(np.frombuffer(data, np.int32))
-    prior = n_positive / n
-    # unlabelled texts hold positives at the rate of the prior
-    n_mixed = min(len(rows[True]), round(len(rows[False]) * prior / max(1e-9, 1 - prior)))
-    return Model(rows[True], rows[False] + rows[True][:n_mixed], prior) if rows[True] else None
+    positives, unlabelled = rows[True][:per_class], rows[False]
+    return Model(positives, unlabelled, prior_of(positives, unlabelled)) if positives else None
 
 
 def _scored(model):
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
-            scores = [0.0 if m is None else m.score(f) for f in features(as_bytes(batch.column("_text")))]
+            scores = [0.0 if m is None else m.score(f) for f in features(as_bytes(batch.column(batch.num_columns - 1)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=[*batch.schema.names[:-1], "score"])
 
     return scored
 
 
 def score(docs: DataFrame, model: Model | None, keep: dict[str, Column], text: str = "text") -> DataFrame:
-    """The columns of ``keep`` and score, per row of ``docs``."""
+    """The columns of ``keep`` and score, per row of ``docs``. No name in ``keep`` may be score;
+    any other column of ``docs`` may have any name."""
     kept = for_workers(docs).select(*(c.alias(n) for n, c in keep.items()))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields)
-    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias("_text"))
+    schema = StructType([*kept.schema.fields, StructField("score", DoubleType())])
+    rows = docs.select(*(c.alias(n) for n, c in keep.items()), F.col(text).cast("string").alias(unused("_text", list(keep))))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    return rows.mapInArrow(_scored(shared), f"{schema}, score double")
+    return rows.mapInArrow(_scored(shared), schema)

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.llm.tables import settle
+
 # Host and path of each rule, and what it says.
 RULES = [
     ("org", "/", "allow"),
@@ -63,7 +65,9 @@ def judge(pages: DataFrame, rule_rows: DataFrame, url: str = "url", page_id: str
     best = fit.groupBy("host", "path").agg(
         F.min(F.struct((-F.length("rule")).alias("size"), (F.col("verdict") != "block").alias("mild"), "rule", "verdict")).alias("best")
     )
-    return named.join(best, ["host", "path"], "left").select(
+    # as a table, so that both sides of the join come from shuffles: Spark splits what one URL,
+    # or rows without any, make large
+    return named.join(settle(best), ["host", "path"], "left").select(
         "page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict")
     )
 
