@@ -1,12 +1,18 @@
 """From raw documents to packed sequences: each stage reads what the one before it kept.
 
 Every stage is a function of (spark, docs, sf_dir); its result is written as Parquet and is
-the next one's ``docs``. All but the last return the columns of documents.
+the next one's ``docs``. All but the last return the columns of documents, and any further
+columns of ``docs`` as they are, whatever their names.
+
+Null texts, empty ones and such without a letter go with the first stage. An empty table passes
+every stage as an empty table. Texts are read whole, however long.
 """
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +21,25 @@ from plumbline.llm import decontamination, language, ngram_join, packing, secret
 from plumbline.llm.tables import fold, read, settle, shared_folder
 
 
+#: The columns that stages may read.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _apart(stage: Stage) -> Stage:
+    """Columns that documents do not have get other names while the stage runs, so that they
+    clash with none of its own, and their names back after it."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        plain = [n if n in COLUMNS else f"further_{i}" for i, n in enumerate(names)]
+        found = stage(spark, docs.toDF(*plain), sf_dir)
+        return found.toDF(*names) if found.columns == plain else found
+
+    return run_stage
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     """With a key of id and text, so that null and repeated ids are told apart by their texts.
     Only rows of one id and one text share a key; what a stage decides is the same for these."""
@@ -26,6 +51,7 @@ def _without(keyed: DataFrame, keys: DataFrame) -> DataFrame:
     return keyed.join(settle(keys.select("_key").distinct()), "_key", "left_anti").select(*keyed.columns)
 
 
+@_apart
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in no language, without text or a letter, go. The model learns from the same
     rows as in the registered query."""
@@ -34,6 +60,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return named.filter(named[len(docs.columns)] != "und").select(*docs.columns)
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, one document of the smallest id stays, a null id
     being the largest, in one row if id and text are repeated. Documents without words are
@@ -51,6 +78,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return kept.select(*docs.columns)
 
 
+@_apart
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a benchmark passage go."""
     keyed = _keyed(docs)
@@ -58,11 +86,13 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return _without(keyed, found.filter("contaminated").withColumnRenamed("doc_id", "_key")).select(*docs.columns)
 
 
+@_apart
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets in texts are replaced; every document stays."""
     return secrets.redacted(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
+@_apart
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences, of every document that is left."""
     return packing.pack(docs)
