@@ -215,39 +215,77 @@ def fold(root: Node) -> Folded:
 
 def align(a: tuple, b: tuple) -> list[int]:
     """Simple tree matching of two shapes: for each place of ``a`` its counterpart in ``b`` or
-    -1. Children of matched nodes are matched in order, for the most matched nodes in all."""
+    -1. Children of matched nodes are matched in order, for the most matched nodes in all.
 
-    def children(shape: tuple) -> list[list[int]]:
-        out: list[list[int]] = [[] for _ in shape]
+    Equal subtrees at the front and the back of two lists of children are matched as they are: no
+    other matching of these has more nodes, nor do others profit if they are matched elsewhere.
+    Tables are made only for what lies between, so pages that differ in few places take a time
+    linear in their size, and only lists of unlike children the product of their lengths."""
+    kinds: dict[tuple, int] = {}
+
+    def described(shape: tuple) -> tuple[list[list[int]], list[int], list[int]]:
+        """Children, a number that equal subtrees share, and nodes of each subtree."""
+        below: list[list[int]] = [[] for _ in shape]
         for i, (parent, _) in enumerate(shape):
             if parent >= 0:
-                out[parent].append(i)
-        return out
+                below[parent].append(i)
+        kind, nodes = [0] * len(shape), [1] * len(shape)
+        # places of parents come before those of children, so from the back all below is known
+        for i in range(len(shape) - 1, -1, -1):
+            kind[i] = kinds.setdefault((shape[i][1], *(kind[c] for c in below[i])), len(kinds))
+            nodes[i] += sum(nodes[c] for c in below[i])
+        return below, kind, nodes
 
-    in_a, in_b = children(a), children(b)
+    in_a, kind_a, nodes_a = described(a)
+    in_b, kind_b, _ = described(b)
+    if a[0][1] != b[0][1]:
+        return [-1] * len(a)
+    # pairs of nodes whose parents are a pair; with each, how many children are equal in front and at the back
+    pairs, ends = [(0, 0)], {}
+    for i, j in pairs:
+        if kind_a[i] == kind_b[j]:
+            continue
+        x, y = in_a[i], in_b[j]
+        short, front, back = min(len(x), len(y)), 0, 0
+        while front < short and kind_a[x[front]] == kind_b[y[front]]:
+            front += 1
+        while front + back < short and kind_a[x[-1 - back]] == kind_b[y[-1 - back]]:
+            back += 1
+        ends[i, j] = front, back
+        by_label: dict[str, list[int]] = {}
+        for v in y[front : len(y) - back]:
+            by_label.setdefault(b[v][1], []).append(v)
+        pairs += [(u, v) for u in x[front : len(x) - back] for v in by_label.get(a[u][1], ())]
     sizes: dict[tuple[int, int], int] = {}
     tables: dict[tuple[int, int], list[list[int]]] = {}
-    # places of parents come before those of children, so from the back all below is known
-    by_label: dict[str, list[int]] = {}
-    for j in range(len(b) - 1, -1, -1):
-        by_label.setdefault(b[j][1], []).append(j)
-    for i in range(len(a) - 1, -1, -1):
-        for j in by_label.get(a[i][1], ()):
-            x, y = in_a[i], in_b[j]
-            table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-            for p, u in enumerate(x, 1):
-                row, above = table[p], table[p - 1]
-                for q, v in enumerate(y, 1):
-                    row[q] = max(above[q], row[q - 1], above[q - 1] + sizes.get((u, v), 0))
-            tables[i, j] = table
-            sizes[i, j] = 1 + table[-1][-1]
+    for i, j in reversed(pairs):
+        if (i, j) not in ends:
+            sizes[i, j] = nodes_a[i]
+            continue
+        front, back = ends[i, j]
+        x, y = in_a[i], in_b[j]
+        equal = x[:front] + x[len(x) - back :]
+        x, y = x[front : len(x) - back], y[front : len(y) - back]
+        table = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
+        for p, u in enumerate(x, 1):
+            row, above = table[p], table[p - 1]
+            for q, v in enumerate(y, 1):
+                row[q] = max(above[q], row[q - 1], above[q - 1] + sizes.get((u, v), 0))
+        tables[i, j] = table
+        sizes[i, j] = 1 + sum(nodes_a[u] for u in equal) + table[-1][-1]
     out = [-1] * len(a)
-    stack = [(0, 0)] if a[0][1] == b[0][1] else []
+    stack = [(0, 0)]
     while stack:
         i, j = stack.pop()
         out[i] = j
-        x, y, table = in_a[i], in_b[j], tables[i, j]
-        p, q = len(x), len(y)
+        x, y = in_a[i], in_b[j]
+        if kind_a[i] == kind_b[j]:
+            stack += zip(x, y, strict=True)
+            continue
+        front, back = ends[i, j]
+        stack += zip(x[:front], y[:front], strict=True)
+        stack += zip(x[len(x) - back :], y[len(y) - back :], strict=True)
+        p, q, table = len(x) - front - back, len(y) - front - back, tables[i, j]
         while p and q:
             if table[p][q] == table[p - 1][q]:
                 p -= 1
@@ -255,41 +293,42 @@ def align(a: tuple, b: tuple) -> list[int]:
                 q -= 1
             else:
                 p, q = p - 1, q - 1
-                stack.append((x[p], y[q]))
+                stack.append((x[front + p], y[front + q]))
     return out
 
 
-def blocks_of(root: Node, wanted: set[int], dropped: set[int]) -> list[str]:
-    """Text blocks under the places ``wanted`` in page order, without the text directly in
-    those ``dropped``; places below them are judged by themselves."""
-    out: list[str] = []
+def blocks_of(root: Node, wanted: set[int]) -> list[tuple[int, str]]:
+    """Text blocks under the places ``wanted`` in page order, each with the place it is directly in."""
+    out: list[tuple[int, str]] = []
     held: list[str] = []
+    at = -1
 
     def flush() -> None:
         if line := " ".join("".join(held).split()):
-            out.append(line)
+            out.append((at, line))
         held.clear()
 
-    # with each node: whether it is under a wanted place, and whether text directly in it is taken
-    stack: list[tuple[Node | str | None, bool, bool]] = [(root, False, False)]
+    # with each node: whether it is under a wanted place, and the place that text in it is directly in
+    stack: list[tuple[Node | str | None, bool, int]] = [(root, False, -1)]
     while stack:
-        node, inside, taken = stack.pop()
+        node, inside, place = stack.pop()
         if node is None:
             flush()
         elif isinstance(node, str):
-            if taken:
+            if inside:
                 held.append(node)
+                at = place
         elif node.out:
             if node.tag not in INLINE:
                 flush()
         elif node.tag in INLINE:
             if node.tag == "br":
                 held.append(" ")
-            stack += [(c, inside, taken) for c in reversed(node.children)]
+            stack += [(c, inside, place) for c in reversed(node.children)]
         else:
             flush()
             inside = inside or node.place in wanted
-            stack.append((None, False, False))
-            stack += [(c, inside, inside and node.place not in dropped) for c in reversed(node.children)]
+            stack.append((None, False, -1))
+            stack += [(c, inside, node.place) for c in reversed(node.children)]
     flush()
     return out

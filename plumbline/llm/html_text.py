@@ -3,9 +3,15 @@
 Pages of a host are made by the same template. A host's reference is its most frequent
 tree shape; each page's tree is aligned to it by simple tree matching, and of each node of
 the reference it is counted how often pages of different main texts have the same text
-there. A text that is constant in a node is template: it goes from the pages that have it
-there, while another text in the same node and what is in nodes below stay. The smallest subtree that holds most of the varying
-text outside of links is where content is. Menus, headers, footers, sidebars,
+there. The smallest subtree that holds most of the varying text outside of links is where content is, or
+the main part or article that holds half of it, if markup names one; a varying first heading elsewhere belongs to it.
+
+What is constant outside of that is template. Within it, articles may share a heading or a lead, so
+* of a named main part or article nothing goes,
+* of another container, constant text goes from its front and its end, and stays between texts that vary,
+* if content has no container but the page's body, constant text goes, but for headings of the body between texts that vary.
+
+Only pages that have the constant text in a node lose it. Menus, headers, footers, sidebars,
 notices, adverts, forms and comments that markup names as such are left out throughout.
 
 What is counted goes by host and shape, or by host, node and text, with partial sums before
@@ -62,24 +68,34 @@ def _content_root(parents: list[int], mass: list[float]) -> int:
     return at
 
 
-def _named_root(parents: list[int], labels: list[str], mass: list[float]) -> int:
-    """The main part or articles, where markup names one that holds half of all mass; else
-    where most of it is."""
+#: What goes of the constant text under the root: all, what is at the ends, nothing.
+_ALL, _ENDS, _NOTHING = range(3)
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
+
+def _tag(label: str) -> str:
+    return label.split(".")[0]
+
+
+def _chosen_root(parents: list[int], labels: list[str], mass: list[float]) -> tuple[int, int]:
+    """The main part or article, where markup names one that holds half of all mass, else
+    where most of it is; with it, what goes of the constant text there."""
     total = list(mass)
     for i in range(len(total) - 1, 0, -1):
         total[parents[i]] += total[i]
     for name in ("main", "article"):
         for i, label in enumerate(labels):
-            if label.split(".")[0] == name and 2 * total[i] >= total[0]:
-                return i
-    return _content_root(parents, mass)
+            if _tag(label) == name and 2 * total[i] >= total[0]:
+                return i, _NOTHING
+    root = _content_root(parents, mass)
+    return root, _ALL if _tag(labels[root]) in ("", "html", "body") else _ENDS
 
 
 def _own_root(page: Folded) -> set[int]:
     """By one page alone: its articles or main part if it has text, else where most text is."""
     sizes = [float(sum(map(len, t)) - link) for t, link in zip(page.texts, page.linked, strict=True)]
     for names in (("main",), ("article",)):
-        found = {i for i, label in enumerate(page.labels) if label.split(".")[0] in names}
+        found = {i for i, label in enumerate(page.labels) if _tag(label) in names}
         total = list(sizes)
         for i in range(len(total) - 1, 0, -1):
             total[page.parents[i]] += total[i]
@@ -149,47 +165,69 @@ def wrappers(pages: DataFrame) -> DataFrame:
     return per_host.join(reference, "host").select("host", "reference", "places")
 
 
+_ROOTED = "host string, reference string, root int, goes int, heads array<int>, template array<struct<place: int, text: long>>"
+
+
 def _rooted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = {"root": [], "template": []}
+        out = {"root": [], "goes": [], "heads": [], "template": []}
         for reference, places in zip(batch.column("reference").to_pylist(), batch.column("places").to_pylist(), strict=True):
             parents, labels = zip(*json.loads(reference), strict=True)
-            mass, template = [0.0] * len(parents), []
+            mass, template, heads = [0.0] * len(parents), [], []
             for p in places:
                 if p["constant"] is not None:
                     template.append({"place": p["place"], "text": p["constant"]})
                 else:
                     mass[p["place"]] = float(max(0, p["chars"]))
+                    if p["n"] >= LEAST and _tag(labels[p["place"]]) == "h1":
+                        heads.append(p["place"])
             # of one main text alone nothing is known to vary
             several = max((p["n"] for p in places), default=0) > 1
-            out["root"].append(_named_root(parents, labels, mass) if several and any(mass) else -1)
+            root, goes = _chosen_root(parents, labels, mass) if several and any(mass) else (-1, _NOTHING)
+            out["root"].append(root)
+            out["goes"].append(goes)
+            out["heads"].append([] if goes == _NOTHING else sorted(heads))
             out["template"].append(template)
-        kind = pa.list_(pa.struct([("place", pa.int32()), ("text", pa.int64())]))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("host"), batch.column("reference"), pa.array(out["root"], pa.int32()), pa.array(out["template"], kind)],
-            names=["host", "reference", "root", "template"],
-        )
+        kinds = {"root": pa.int32(), "goes": pa.int32(), "heads": pa.list_(pa.int32()), "template": pa.list_(pa.struct([("place", pa.int32()), ("text", pa.int64())]))}
+        columns = [batch.column("host"), batch.column("reference"), *(pa.array(out[c], kind) for c, kind in kinds.items())]
+        yield pa.RecordBatch.from_arrays(columns, names=["host", "reference", *kinds])
+
+
+def _without_template(blocks: list[tuple[int, str]], page: Folded, constant: set[int], goes: int, roots: set[int]) -> list[str]:
+    if goes == _NOTHING:
+        return [line for _, line in blocks]
+    varying = [k for k, (place, _) in enumerate(blocks) if place not in constant]
+    if not varying:
+        return []
+    between = range(varying[0], varying[-1] + 1)
+
+    def stays(k: int, place: int) -> bool:
+        if place not in constant:
+            return True
+        of_body = _tag(page.labels[place]) in _HEADINGS and page.parents[place] in roots
+        return k in between and (goes == _ENDS or of_body)
+
+    return [line for k, (place, line) in enumerate(blocks) if stays(k, place)]
 
 
-def _main_text(root: Node, page: Folded, to: list[int] | None, wrapper_root: int, template: list[dict]) -> str:
-    wanted = {i for i, t in enumerate(to) if t == wrapper_root} if to is not None and wrapper_root >= 0 else set()
-    dropped: set[int] = set()
-    if wanted:
+def _main_text(root: Node, page: Folded, to: list[int] | None, wrapper: dict) -> str:
+    roots = {i for i, t in enumerate(to) if t == wrapper["root"]} if to is not None and wrapper["root"] >= 0 else set()
+    lines: list[str] = []
+    if roots:
+        constants = {t["place"]: t["text"] for t in wrapper["template"]}
         # a place is template on the pages that have the constant text there, on others it is not
-        constant = {t["place"]: t["text"] for t in template}
-        dropped = {i for i, t in enumerate(to) if t in constant and _hash("".join(page.texts[i])) == constant[t]}
-    if not wanted or not (text := "\n".join(blocks_of(root, wanted, dropped))):
-        text = "\n".join(blocks_of(root, _own_root(page), set()))
-    return text
+        constant = {i for i, t in enumerate(to) if t in constants and _hash("".join(page.texts[i])) == constants[t]}
+        wanted = roots | {i for i, t in enumerate(to) if t in wrapper["heads"]}
+        lines = _without_template(blocks_of(root, wanted), page, constant, wrapper["goes"], roots)
+    return "\n".join(lines or [line for _, line in blocks_of(root, _own_root(page))])
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: dict[tuple, list[int]] = {}
     for batch in batches:
         out = []
-        columns = (batch.column(c).to_pylist() for c in ("_html", "reference", "root", "template"))
-        for page, reference, wrapper_root, template in zip(*columns, strict=True):
-            root = parse(page or "")
+        for row in batch.select(["_html", "reference", "root", "goes", "heads", "template"]).to_pylist():
+            root, reference = parse(row["_html"] or ""), row["reference"]
             folded = fold(root)
             to = None
             if reference is not None:
@@ -199,7 +237,7 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if len(known) > _CACHE:
                         known.clear()
                     to = known[key] = align(key[0], tuple(map(tuple, json.loads(reference))))
-            out.append(_main_text(root, folded, to, -1 if wrapper_root is None else wrapper_root, template or []))
+            out.append(_main_text(root, folded, to, row))
         yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(out)], names=["page_id", "url", "text"])
 
 
@@ -208,7 +246,7 @@ def main_text(pages: DataFrame, html: str = "html", url: str = "url", page_id: s
     pages = for_workers(pages).select(F.col(page_id).alias("page_id"), F.col(url).cast("string").alias("_url"), F.col(html).cast("string").alias("_html"))
     kind = pages.schema["page_id"].dataType.simpleString()
     pages = pages.withColumn("host", host_and_path(F.col("_url"))[0])
-    wrapped = wrappers(pages).mapInArrow(_rooted, "host string, reference string, root int, template array<struct<place: int, text: long>>")
+    wrapped = wrappers(pages).mapInArrow(_rooted, _ROOTED)
     both = pages.join(settle(wrapped), "host", "left")
-    out = both.select("page_id", F.col("_url").alias("url"), "_html", "reference", "root", "template")
+    out = both.select("page_id", F.col("_url").alias("url"), "_html", "reference", "root", "goes", "heads", "template")
     return out.mapInArrow(_extracted, f"page_id {kind}, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

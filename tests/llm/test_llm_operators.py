@@ -5,6 +5,7 @@ import collections
 import hashlib
 import itertools
 import re
+import time
 import zlib
 
 import numpy as np
@@ -393,19 +394,43 @@ def test_main_text_by_wrapper(spark, odd, none):
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def texts_of(spark, pages):
+    rows = [(i, "http://h.example/", page) for i, page in enumerate(pages)]
+    found = html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return [r.text.split("\n") for r in sorted(found, key=lambda r: r.page_id)]
+
+
 def test_only_the_constant_text_of_a_place_is_template(spark):
-    page = "<body><article>{own}<h1>T{i}</h1><h2>{head}</h2><p>{text}</p><div>{label}<p>below {i}</p></div></article></body>"
-    rows = []
+    inner = "{own}<h1>T{i}</h1><h2>{head}</h2><p>{text}</p><div>{label}<p>below {i}</p></div><div class='x'>{own}</div>"
+    filled = []
     for i in range(10):
         head, label, own = (f"Heading {i}", f"Label {i}", f"Own {i}") if i >= 7 else ("Summary", "Note", "Site")
-        rows.append((i, "http://h.example/", page.format(i=i, head=head, label=label, own=own, text=f"text {i} " * 30)))
-    got = {r.page_id: r.text.split("\n") for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    for i in range(10):
-        text = " ".join([f"text {i}"] * 30)
-        if i >= 7:
-            assert got[i] == [f"Own {i}", f"T{i}", f"Heading {i}", text, f"Label {i}", f"below {i}"]
-        else:
-            assert got[i] == [f"T{i}", text, f"below {i}"]
+        filled.append({"i": i, "head": head, "label": label, "own": own, "text": " ".join([f"text {i}"] * 30)})
+    whole = [[f["own"], f"T{f['i']}", f["head"], f["text"], f["label"], f"below {f['i']}", f["own"]] for f in filled]
+    menu = "<body><div class='m'>Always the same</div>"
+    # markup names the article: all of it stays
+    named = [f"{menu}<article>{inner.format(**f)}</article></body>" for f in filled]
+    assert texts_of(spark, named) == whole
+    # it does not: what is constant goes from the ends alone, and only where it is the constant text
+    plain = [f"{menu}<div class='y'>{inner.format(**f)}</div></body>" for f in filled]
+    assert texts_of(spark, plain) == [w if i >= 7 else w[1:-1] for i, w in enumerate(whole)]
+    # the body is the container: constant text goes, but for headings between what varies
+    flat = [f"{menu}{inner.format(**f)}</body>" for f in filled]
+    assert texts_of(spark, flat) == [w if i >= 7 else [w[1], w[2], w[3], w[5]] for i, w in enumerate(whole)]
+
+
+@pytest.mark.parametrize("container", ["article", "div class='post'"])
+def test_a_shared_lead_and_heading_stay(spark, container):
+    end = container.split()[0]
+    page = f"<body><div>Top of the site</div><{container}><h1>T{{i}}</h1><p class='lead'>As all of us know.</p><h2>Background</h2><p>{{text}}</p></{end}><div>Imprint</div></body>"
+    got = texts_of(spark, [page.format(i=i, text=f"text {i} " * 40) for i in range(8)])
+    assert got == [[f"T{i}", "As all of us know.", "Background", " ".join([f"text {i}"] * 40)] for i in range(8)]
+
+
+def test_a_first_heading_apart_from_the_text_belongs_to_it(spark):
+    page = "<body><div class='a'>Site<h1>T{i}</h1></div><div class='b'>Always here</div><div class='c'><p>{text}</p><p>end {i}</div><div class='d'>Imprint</div></body>"
+    got = texts_of(spark, [page.format(i=i, text=f"text {i} " * 40) for i in range(6)])
+    assert got == [[f"T{i}", " ".join([f"text {i}"] * 40), f"end {i}"] for i in range(6)]
 
 
 def test_tree_matching_keeps_order_and_takes_the_most():
@@ -415,6 +440,55 @@ def test_tree_matching_keeps_order_and_takes_the_most():
     assert dom.align(a, a) == list(range(6))
 
 
+def test_tree_matching_equals_brute_force():
+    rng = np.random.default_rng(8)
+
+    def tree(n):
+        """Places in the order of ``fold``: parents before children, children in order."""
+        parents = [-1] + [int(rng.integers(0, i)) for i in range(1, n)]
+        return tuple((p, "" if p < 0 else "xyz"[rng.integers(0, 3)]) for p in parents)
+
+    def below(shape, i):
+        return [j for j, (p, _) in enumerate(shape) if p == i]
+
+    def most(a, i, b, j):
+        if a[i][1] != b[j][1]:
+            return 0
+
+        def rest(x, y):
+            if not x or not y:
+                return 0
+            best = max(rest(x[1:], y), rest(x, y[1:]))
+            one = most(a, x[0], b, y[0])
+            return max(best, one + rest(x[1:], y[1:])) if one else best
+
+        return 1 + rest(below(a, i), below(b, j))
+
+    for _ in range(300):
+        a = tree(int(rng.integers(1, 9)))
+        b = a[: int(rng.integers(1, 9))] if rng.random() < 0.3 else tree(int(rng.integers(1, 9)))
+        to = dom.align(a, b)
+        pairs = [(i, j) for i, j in enumerate(to) if j >= 0]
+        assert len(pairs) == most(a, 0, b, 0)
+        assert len({j for _, j in pairs}) == len(pairs)
+        for i, j in pairs:
+            assert a[i][1] == b[j][1] and (i == j == 0 or to[a[i][0]] == b[j][0])
+        for i, j in pairs:  # siblings keep their order
+            assert all(j < to[k] for k in range(i + 1, len(a)) if a[k][0] == a[i][0] and to[k] >= 0)
+
+
+def test_shapes_that_differ_in_few_places_are_matched_at_once():
+    def page(extra):
+        return ((-1, ""), *((0, "hp"[i % 2]) for i in range(40_000)), *((0, "x") for _ in range(extra)), *((0, "hp"[i % 2]) for i in range(40_000)))
+
+    started = time.perf_counter()
+    assert dom.align(page(0), page(0)) == list(range(80_001))
+    to = dom.align(page(3), page(1))
+    assert sum(t >= 0 for t in to) == 80_002
+    # a table over all children would have 6.4 billion cells
+    assert time.perf_counter() - started < 20
+
+
 def test_names_that_would_take_the_article_are_overruled(spark):
     body = "<article><h1>Title</h1><p>All of the text of this page, which is long enough.</p></article>"
     aside = "<div class='sidebar'>Other pages of this host</div><div class='comments'>First!</div>"
@@ -431,7 +505,7 @@ def test_names_that_would_take_the_article_are_overruled(spark):
 @pytest.mark.parametrize("page", ["", "<", "a < b", "<p", "<a href='x", "</div>", "<!--", "<p><b>x", "&am", "<li><li></ul>" * 50, "<div>" * 3000 + "x", "<p>" + "<font>" * 3000 + "x", "<p>" + "<a class='nav'>" * 3000 + "x"])
 def test_any_page_can_be_read(page):
     root = dom.parse(page)
-    dom.blocks_of(root, {0}, set())
+    dom.blocks_of(root, {0})
     dom.fold(root)
 
 
