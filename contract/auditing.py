@@ -765,7 +765,8 @@ def register() -> dict[str, tuple]:
     )
     q["fix_investigation_repeated_rows"] = (
         behind("POSSIBLE_DUPLICATE", "passages", None),
-        f"SELECT * FROM ({passages}) WHERE text IN (SELECT text FROM ({passages}) GROUP BY text HAVING count(*) > 1)",
+        f"""SELECT p.* FROM ({passages}) p JOIN (SELECT text, lang, source, n_chars FROM ({passages})
+            GROUP BY ALL HAVING count(*) > 1) USING (text, lang, source, n_chars)""",
     )
     q["fix_investigation_own_key"] = (
         behind("CARDINALITY_ANOMALY", "intake", "intake_id"),

@@ -105,25 +105,39 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
             "toxic",
             F.lit(None).cast("string").alias("reviewer"),
             (F.col("n_chars") > 1000).alias("is_long"),
+            "text",
         )
     )
 
 
+# The two engines write small fractions differently; in this unit every component from 2 ** -36 on is a
+# whole number (24 bits of fraction), so the texts are equal where the vectors are.
+_UNIT = 1 << 60
+
+
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.transform("embedding", lambda x: F.floor(x.cast("double") * float(_UNIT)).cast("string"))
+    return load(spark, sf_dir, "embeddings").select("vec_id", "label", F.array_join(whole, " ").alias("embedding"))
+
+
 VIEWS: dict[str, View] = {t: _plain(t) for t in _PLAIN}
 VIEWS |= {
-    "embeddings": _renamed(
-        "embeddings", "vec_id=vec_id; label=label", "vec_id:bigint label:int"
+    "embeddings": View(
+        _embeddings,
+        f"""SELECT vec_id, label, array_to_string([CAST(floor(CAST(x AS DOUBLE) * {_UNIT}.0) AS BIGINT) for x in embedding], ' ')
+                   AS embedding FROM embeddings""",
+        _columns("vec_id:bigint label:int embedding:string"),
     ),
     # gaps: outer join and NULLed values, an empty column, a boolean
     "labelled": View(
         _labelled,
         """SELECT d.doc_id, d.lang, nullif(d.source, 'src1') AS source,
                   CASE WHEN d.n_chars > 900 THEN d.n_chars END AS long_chars,
-                  l.quality, l.toxic, CAST(NULL AS VARCHAR) AS reviewer, d.n_chars > 1000 AS is_long
+                  l.quality, l.toxic, CAST(NULL AS VARCHAR) AS reviewer, d.n_chars > 1000 AS is_long, d.text
            FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id""",
         _columns(
             "doc_id:bigint lang:string source:string long_chars:bigint quality:int toxic:int "
-            "reviewer:string is_long:boolean"
+            "reviewer:string is_long:boolean text:string"
         ),
     ),
     # every column as text, as a spreadsheet import delivers it
@@ -139,13 +153,14 @@ VIEWS |= {
     # entity-style names for the relationship rules
     "customers": _renamed(
         "customer",
-        "id=c_custkey; name=c_name; nation_id=c_nationkey; segment=c_mktsegment",
-        "id:bigint name:string nation_id:int segment:string",
+        "id=c_custkey; name=c_name; nation_id=c_nationkey; segment=c_mktsegment; balance=c_acctbal",
+        "id:bigint name:string nation_id:int segment:string balance:double",
     ),
     "sales": _renamed(
         "orders",
-        "id=o_orderkey; customer_id=o_custkey; status=o_orderstatus; total=o_totalprice",
-        "id:bigint customer_id:bigint status:string total:double",
+        "id=o_orderkey; customer_id=o_custkey; status=o_orderstatus; total=o_totalprice;"
+        "placed=o_orderdate; priority=o_orderpriority",
+        "id:bigint customer_id:bigint status:string total:double placed:timestamp priority:string",
     ),
     "nations": _renamed(
         "nation", "id=n_nationkey; name=n_name; region_key=n_regionkey", "id:int name:string region_key:int"
@@ -153,13 +168,15 @@ VIEWS |= {
     "region_list": _renamed("region", "id=r_regionkey; name=r_name", "id:int name:string"),
     "suppliers": _renamed(
         "supplier",
-        "supplier_id=s_suppkey; nation_fk=CAST(s_nationkey AS VARCHAR(20)); balance=s_acctbal",
-        "supplier_id:bigint nation_fk:string balance:double",
+        "supplier_id=s_suppkey; nation_fk=CAST(s_nationkey AS VARCHAR(20)); balance=s_acctbal; name=s_name",
+        "supplier_id:bigint nation_fk:string balance:double name:string",
     ),
     "sale_lines": _renamed(
         "lineitem",
-        "sale_id=l_orderkey; supplier_id=l_suppkey; line_no=l_linenumber; quantity=l_quantity",
-        "sale_id:bigint supplier_id:bigint line_no:int quantity:double",
+        "sale_id=l_orderkey; supplier_id=l_suppkey; line_no=l_linenumber; quantity=l_quantity; part_no=l_partkey;"
+        "price=l_extendedprice; discount=l_discount; tax=l_tax; returned=l_returnflag; status=l_linestatus; shipped=l_shipdate",
+        "sale_id:bigint supplier_id:bigint line_no:int quantity:double part_no:bigint price:double discount:double "
+        "tax:double returned:string status:string shipped:timestamp",
     ),
 }
 
@@ -189,7 +206,11 @@ VIEWS["intake"] = _renamed(
     "reviewer:string agent:string",
 )
 # texts repeated under different ids
-VIEWS["passages"] = _renamed("documents", "passage_id=doc_id; text=text", "passage_id:bigint text:string")
+VIEWS["passages"] = _renamed(
+    "documents",
+    "passage_id=doc_id; text=text; lang=lang; source=source; n_chars=n_chars",
+    "passage_id:bigint text:string lang:string source:string n_chars:bigint",
+)
 # products, copies and dependencies
 VIEWS["invoice"] = _renamed(
     "lineitem",
