@@ -180,6 +180,22 @@ def _summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _judge_alone(indexes):
+    """As ``_judge`` and ``_summary`` for the only block of a benchmark, in one worker a task: two steps
+    on end would keep two at work, and an executor twice as many afterwards."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _judge(indexes)(batches):
+            each = pa.array(np.arange(batch.num_rows + 1, dtype=np.int32))
+            lists = [pa.ListArray.from_arrays(each, batch.column(c)) for c in ("runs", "items")]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *lists], names=[*batch.schema.names[:-2], "all_runs", "all_items"])
+
+    def judge_alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _summary(single(batches))
+
+    return judge_alone
+
+
 def _tokens_and_index(docs: DataFrame, items: list[tuple], size: int):
     """The block's windows by rarest shingle, broadcast."""
     context = docs.sparkSession.sparkContext
@@ -205,24 +221,24 @@ def contamination(
     total = held.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0] // 2
     n_blocks = max(1, -(-total // block_words))
     held = held.withColumn("block", F.pmod(F.xxhash64("id", "t"), F.lit(n_blocks)))
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    found = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, runs array<long>"
     row = F.monotonically_increasing_id().alias("_row")
     out = None
     for block in range(n_blocks):
         items = [(r.id, r.t.encode()) for r in held.filter(F.col("block") == block).select("id", "t").collect()]
         index = _tokens_and_index(docs, items, size)
-        id_type = docs.schema["doc_id"].dataType.simpleString()
+        if n_blocks == 1:
+            return docs.mapInArrow(_judge_alone(index), found).withColumn("contaminated", F.col("n_hit") > 0)
         schema = f"_row long, doc_id {id_type}, n_words long, runs array<long>, items array<string>"
         part = docs.select(row, "doc_id", "_text").mapInArrow(_judge(index), schema)
         out = part if out is None else out.union(part)
-    if n_blocks > 1:  # a row was read once for each block
-        out = out.groupBy("_row").agg(
-            F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("all_runs"), F.collect_list("items").alias("all_items")
-        )
-    else:
-        out = out.select("doc_id", "n_words", F.array("runs").alias("all_runs"), F.array("items").alias("all_items"))
+    # a row was read once for each block
+    out = out.groupBy("_row").agg(
+        F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("runs").alias("all_runs"), F.collect_list("items").alias("all_items")
+    )
     out = out.select("doc_id", "n_words", "all_runs", "all_items")
-    schema = f"doc_id {id_type}, n_words long, n_hit long, n_items long, items_sha256 string, runs array<long>"
-    return out.mapInArrow(_summary, schema).withColumn("contaminated", F.col("n_hit") > 0)
+    return out.mapInArrow(_summary, found).withColumn("contaminated", F.col("n_hit") > 0)
 
 
 #: DuckDB SQL for the registered query, of ``documents`` and ``benchmark``.

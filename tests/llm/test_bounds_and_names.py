@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from plumbline.llm import language, quality_model, quality_rules, secrets, toxicity
+from plumbline.llm import decontamination, language, quality_model, quality_rules, secrets, toxicity
 from plumbline.llm.tables import bounded_sample
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
@@ -170,3 +170,19 @@ def test_risk_of_unlabelled_rows_is_not_let_under_zero():
     z = np.array([[model.score(r) for r in rows[:100]] for rows in (positive, clean)])
     negative = (z[1].mean() * 300 + z[0].mean() * 50) / 350 - 0.4 * z[0].mean()
     assert negative > -0.05 and (z[1] < 0.5).mean() > 0.8 and (z[0] >= 0.5).mean() > 0.8
+
+
+def test_one_worker_a_task_tells_contamination(spark):
+    """Python steps on end keep a worker each, which the executor holds on to afterwards."""
+    passage = " ".join(f"w{i}" for i in range(12))
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([passage, f"a {passage} b", "c d", "", None])], "doc_id long, text string")
+    benchmark = spark.createDataFrame([("b1", passage), ("b2", None)], "item_id string, text string")
+    found = decontamination.contamination(docs, benchmark)
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted((r.doc_id, r.n_words, r.n_hit, r.n_items, r.runs, r.contaminated) for r in found.collect()) == [
+        (0, 12, 12, 1, [0, 12], True),
+        (1, 14, 12, 1, [1, 13], True),
+        (2, 2, 0, 0, [], False),
+        (3, 0, 0, 0, [], False),
+        (4, 0, 0, 0, [], False),
+    ]
