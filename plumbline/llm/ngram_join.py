@@ -15,7 +15,8 @@ frequent ones, for which the prefix is extended until it still has to share a pa
    those of other components. Members of one component are not compared again, so a group
    of n copies costs about n comparisons, and no link between different components goes
    unseen. The last comparison is between sets that are mostly unlike; a wide sketch of each bounds from
-   below by how many shingles two sets differ, and leaves few but those that are similar.
+   below by how many shingles two sets differ, and leaves few but those that are similar. Members of a large
+   group, who share hundreds of long lists, meet in tiles there: once instead of in every list.
 
 Null and empty texts have no shingles and no links. Repeated rows are members of the same
 group. The table must give the same rows in the same order when a task is run again, as
@@ -342,18 +343,94 @@ def _wide_apart(a: str, b: str) -> Column:
     return total
 
 
+#: Few sets and others of one tile at most (about), and bytes of their shingles.
+TILE_FEW, TILE_OTHERS, TILE_BYTES = 1 << 10, 1 << 12, 24 << 20
+#: A comparison within a tile costs so much less than one of two rows of a list.
+CHEAPER = 16
+
+
+def _compared(table: pa.Table) -> pa.Table:
+    """Of a tile: similar pairs of a set of side 0 and one of side 1 in another component, one for
+    each set and component. The wide sketches leave few pairs whose shared shingles are counted."""
+    side, n, m = (table.column(c).to_numpy() for c in ("side", "n", "m"))
+    keys, label = table.column("key").to_pylist(), table.column("label").combine_chunks().dictionary_encode().indices.to_numpy()
+    wide = table.column("wide").combine_chunks().flatten().to_numpy().view(U).reshape(-1, WIDE)
+    parts = [_unpacked(t) for t in table.column("tokens").to_pylist()]
+    ends = np.cumsum([len(p) for p in parts])
+    distinct, at = np.unique(np.concatenate(parts), return_inverse=True)
+    sets = np.split(at, ends[:-1])
+    mark = np.zeros(len(distinct), bool)
+    others, out = np.flatnonzero(side == 1), []
+    o_wide, o_n, o_alone, o_label = wide[others], n[others], (n - m)[others], label[others]
+    for i in np.flatnonzero(side == 0):
+        apart = np.bitwise_count(o_wide ^ wide[i]).sum(axis=1, dtype=np.int64) + o_alone + (n[i] - m[i])
+        met = np.flatnonzero((7 * apart <= o_n + n[i]) & (o_label != label[i]))
+        if not len(met):
+            continue
+        found = [sets[j] for j in others[met]]
+        mark[sets[i]] = True
+        both = np.add.reduceat(mark[np.concatenate(found)], np.cumsum([0] + [len(f) for f in found[:-1]]), dtype=np.int64)
+        mark[sets[i]] = False
+        met = met[100 * both >= 75 * (n[i] + o_n[met] - both)]
+        first = np.unique(o_label[met], return_index=True)[1]
+        out += [(keys[i], keys[j]) for j in others[met[first]]]
+    return pa.table([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def _gathered(met: DataFrame, few: DataFrame, signed: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of ``few`` that are to be compared list by list, and similar pairs of the other ones.
+
+    What members of a large group share is in hundreds of long lists, so that list by list they would
+    meet as often. The few sets whose longest list is the same are a group; it is compared once with all
+    that meet one of it in any long list, in tiles, if that takes fewer comparisons."""
+    long_few = settle(few.filter(F.col("many") > RARE).select("key", "sign", "many"))
+    if long_few.isEmpty():
+        return few, None
+    home = long_few.groupBy("key").agg(F.max(F.struct("many", "sign")).alias("top")).select("key", F.col("top.sign").alias("home"))
+    asked = settle(long_few.join(home, "key").groupBy("home", "sign").agg(F.count("*").alias("few"), F.first("many").alias("many")))
+    facts = met.join(asked.select("home", "sign"), "sign").select("home", "key", "label").distinct()
+    sizes = signed.select("key", "m")
+    others = settle(facts.join(sizes, "key"))
+    those = settle(home.join(sizes, "key"))
+    count = F.count("*"), F.sum(F.col("m") * 6)
+    x = those.groupBy("home").agg(count[0].alias("x"), count[1].alias("x_bytes"))
+    y = others.groupBy("home").agg(count[0].alias("y"), count[1].alias("y_bytes"))
+    listed = asked.groupBy("home").agg(F.sum(F.col("few") * F.col("many")).alias("listed"))
+    plan = x.join(y, "home").join(listed, "home").filter(F.col("x") * F.col("y") <= CHEAPER * F.col("listed"))
+    tiles = [
+        F.greatest(F.ceil(F.col(c) / most), F.ceil(F.col(f"{c}_bytes") / TILE_BYTES)).cast("int").alias(f"n_{c}")
+        for c, most in (("x", TILE_FEW), ("y", TILE_OTHERS))
+    ]
+    plan = settle(plan.select("home", *tiles))
+    dealt, all_of = F.xxhash64("key", F.lit(1)), lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = those.join(plan, "home").select("home", "key", F.lit(0).alias("side"), F.pmod(dealt, "n_x").cast("int").alias("x"), all_of("n_y").alias("y"))
+    own = own.union(others.join(plan, "home").select("home", "key", F.lit(1), all_of("n_x"), F.pmod(dealt, "n_y").cast("int")))
+    label = others.select("key", "label").distinct()
+    sets = signed.select("key", "n", "m", "wide", "tokens").join(label, "key")
+    tiled = own.join(sets, "key")
+    links = tiled.groupBy("home", "x", "y").applyInArrow(_compared, "a binary, b binary")
+    whole = home.join(plan, "home").select("key", F.lit(True).alias("whole"))
+    rest = few.join(whole, "key", "left").filter((F.col("many") <= RARE) | F.col("whole").isNull())
+    return rest.select(*few.columns), links
+
+
 def _remaining(named: DataFrame, signed: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of different components in open lists: all that are not in a list's
-    largest component with those of other components."""
+    """Links between different components in open lists: all that are not in a list's largest
+    component are compared with those of other components."""
     wide = signed.select("key", *(F.col("wide")[k].alias(f"w{k}") for k in range(WIDE)))
     member = F.struct(*_MEMBER, "label", *(f"w{k}" for k in range(WIDE)))
-    share = named.groupBy("sign", "label").count()
-    main = share.groupBy("sign").agg(F.max(F.struct("count", "label")).alias("main")).select("sign", F.col("main.label").alias("largest"))
-    met = settle(named.join(main, "sign").join(wide, "key").select("sign", member.alias("a"), (F.col("label") != F.col("largest")).alias("few")))
-    few = met.filter("few").select("sign", F.col("a").alias("b"))
-    pairs = met.select("sign", "a").join(few, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
+    share = settle(named.groupBy("sign", "label").count())
+    main = share.groupBy("sign").agg(F.max(F.struct("count", "label")).alias("main"), F.sum("count").alias("many"))
+    main = main.select("sign", "many", F.col("main.label").alias("largest"))
+    met = settle(named.join(main, "sign").select("sign", *_MEMBER, "label", "many", (F.col("label") != F.col("largest")).alias("few")))
+    few, links = _gathered(met, met.filter("few"), signed)
+    few = few.join(wide, "key").select("sign", member.alias("b"))
+    lists = met.join(few.select("sign").distinct(), "sign", "left_semi").join(wide, "key").select("sign", member.alias("a"))
+    pairs = lists.join(few, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
     pairs = pairs.filter(7 * _wide_apart("a", "b") <= F.col("a.n") + F.col("b.n"))
-    return pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+    pairs = pairs.select(F.least("a.key", "b.key").alias("a"), F.greatest("a.key", "b.key").alias("b"))
+    found = _verified(pairs.distinct(), signed)
+    return found if links is None else found.union(links)
 
 
 def _links(signed: DataFrame) -> DataFrame:
@@ -376,14 +453,14 @@ def _links(signed: DataFrame) -> DataFrame:
             head = F.struct(F.xxhash64(F.lit(turn), "sign", "key").alias("at"), *_MEMBER, "label")
             chosen = named.groupBy("sign").agg(F.min(head).alias("b"))
         if last:
-            pairs = _remaining(named, signed).distinct()
+            new = settle(_remaining(named, signed))
         else:
             left = named.select("sign", F.struct(*_MEMBER, "label").alias("a"))
             pairs = left.join(chosen, "sign").filter(F.col("a.label") != F.col("b.label")).filter(_fits("a", "b"))
             # one a set, so that a group gets about a link a member; the last round misses none
             nearest = F.min(F.struct(_apart("a", "b").alias("apart"), F.col("b.key").alias("key")))
             pairs = pairs.groupBy(F.col("a.key").alias("a")).agg(nearest.alias("b")).select("a", F.col("b.key").alias("b"))
-        new = settle(_verified(pairs, signed))
+            new = settle(_verified(pairs, signed))
         if labels is None:
             labels = components(new)
         elif not new.isEmpty():
