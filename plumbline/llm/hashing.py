@@ -33,14 +33,36 @@ _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _STEP = constants(64, 23)
 _BASE = U(0x2545F4914F6CDD1D)
-_POWERS = np.cumprod(np.full(4096, _BASE))
-
-
-def _powers(n: int) -> np.ndarray:
-    global _POWERS
-    if n > len(_POWERS):
-        _POWERS = np.cumprod(np.full(2 * n, _BASE))
-    return _POWERS
+#: _BASE is odd: times this it is 1, modulo 2**64.
+_INVERSE = U(pow(int(_BASE), -1, 1 << 64))
+#: Bytes whose sum is taken at once, so that what is at work stays in the cache.
+_BITS = 15
+_STRIDE = 1 << _BITS
+_POWERS = np.cumprod(np.full(_STRIDE, _BASE))
+_BACK = np.cumprod(np.concatenate([[U(1)], np.full(_STRIDE - 1, _INVERSE)]))
+
+
+def _steps(n: int, back: bool = False) -> np.ndarray:
+    """Powers of _BASE, or of its inverse, for each stride of ``n`` bytes."""
+    each = _BACK[-1:] * _INVERSE if back else _POWERS[-1:]
+    return np.cumprod(np.concatenate([[U(1)], np.repeat(each, n // _STRIDE)]))
+
+
+def _sums(values: np.ndarray, data: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """Sum of the bytes' values times powers of _BASE before each of the sorted places."""
+    out, far, held = np.empty(len(place), U), _steps(len(data)), np.zeros(1, U)
+    total, cuts = np.empty(_STRIDE + 1, U), np.searchsorted(place, np.arange(0, len(data) + _STRIDE, _STRIDE))
+    for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        step = values[data[i * _STRIDE : (i + 1) * _STRIDE]]
+        step *= _POWERS[: len(step)]
+        step *= far[i]
+        total[:1] = held
+        np.cumsum(step, out=total[1 : len(step) + 1])
+        total[1 : len(step) + 1] += held
+        out[a:b] = total[place[a:b] - i * _STRIDE]
+        held = total[len(step) : len(step) + 1].copy()
+    out[cuts[-1] :] = held
+    return out
 
 
 def gaps(*ranges: tuple[int, int]) -> np.ndarray:
@@ -78,16 +100,17 @@ def blocks(texts: list[bytes | None]) -> Iterator[tuple[int, np.ndarray, np.ndar
 
 def words(data: np.ndarray, gap: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, start and end (bytes) of every word; ``fold`` takes A-Z as a-z."""
-    inside = ~gap[data]
-    edge = np.diff(inside.view(np.int8), prepend=0, append=0)
-    start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    inside = np.zeros(len(data) + 2, bool)
+    np.logical_not(gap[data], out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2].copy(), edge[1::2].copy()
     if not len(start):
         return np.zeros(0, U), start, end
-    length = end - start
-    first = np.cumsum(length) - length
-    at = np.arange(first[-1] + length[-1]) - np.repeat(first, length)
-    value = (_FOLDED if fold else _BYTE)[data[inside]] * _powers(int(length.max()))[at]
-    return mix(np.add.reduceat(value, first) + length.astype(U)), start, end
+    total = _sums(_FOLDED if fold else _BYTE, data, edge)
+    # sums from the start of a word on, with the powers from 0 on
+    value = (total[1::2] - total[::2]) * _BACK[start & (_STRIDE - 1)]
+    value *= _steps(len(data), back=True)[start >> _BITS]
+    return mix(value + (end - start).astype(U)), start, end
 
 
 def shingles(word: np.ndarray, k: int) -> np.ndarray:
@@ -110,6 +133,9 @@ def shingle_sets(texts: list[bytes | None], k: int = 5) -> Iterator[np.ndarray]:
         rolled = shingles(word, k)
         for a, b in zip(place[:-1], place[1:], strict=True):
             if b - a >= k:
-                yield np.unique(rolled[a : b - k + 1])
+                found = np.sort(rolled[a : b - k + 1])
+                new = np.ones(len(found), bool)
+                np.not_equal(found[1:], found[:-1], out=new[1:])
+                yield found[new]
             else:
                 yield shingles(word[a:b], int(b - a)) if b > a else np.zeros(0, U)

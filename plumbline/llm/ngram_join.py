@@ -137,7 +137,9 @@ def _send(n_buckets: int, hot: np.ndarray):
                 out.append((-1 - batch, batch, 2, tokens[is_hot].tobytes(), refs[is_hot].tobytes(), rank.tobytes()))
                 tokens, refs = tokens[~is_hot], refs[~is_hot]
             bucket = (tokens % U(n_buckets)).astype(np.int64)
-            order = np.lexsort((tokens, bucket))
+            # by bucket, in it nearly by token, for what is packed to compress
+            bits = n_buckets.bit_length()
+            order = np.argsort(bucket.astype(U) << U(64 - bits) | tokens >> U(bits))
             tokens, refs, bucket = tokens[order] >> U(16), refs[order], bucket[order]
             cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
             for a, b in zip(cuts, [*cuts[1:], len(bucket)], strict=True):

@@ -1,10 +1,12 @@
 """What operators do as tables and groups of similar rows grow."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import ngram_join
+from plumbline.llm import hashing, ngram_join
 from tests.llm.test_llm_operators import docs_of, linked_components, made, shingle_set
 
 
@@ -41,3 +43,35 @@ def test_members_of_a_large_group_do_not_meet_in_each_of_its_lists(spark, monkey
     assert 5 < len(set(expected[:150])) < 145
     ((before, after),) = rows
     assert before > 100 and after == (0 if cheaper else before)
+
+
+def plain_words(data, gap, fold):
+    """Hash, start and end of every word, a word at a time."""
+    values = hashing._FOLDED if fold else hashing._BYTE
+    inside = [not gap[x] for x in data] + [False]
+    start = [i for i in range(len(data)) if inside[i] and not (i and inside[i - 1])]
+    end = [inside.index(False, i) for i in start]
+    total = [sum(int(values[x]) * pow(int(hashing._BASE), j + 1, 1 << 64) for j, x in enumerate(data[a:b].tolist())) + b - a for a, b in zip(start, end, strict=True)]
+    return hashing.mix(np.array([t % (1 << 64) for t in total], np.uint64)), start, end
+
+
+@pytest.mark.parametrize("n", [0, 1, 40, hashing._STRIDE - 1, hashing._STRIDE, 2 * hashing._STRIDE + 5])
+def test_word_hashes_from_running_sums(n):
+    rng = np.random.default_rng(n)
+    data = rng.choice(np.frombuffer("abXY9é. \n\t".encode(), np.uint8), n)
+    data[n // 2 : n // 2 + 300] = 97  # across the border of two strides, if there are two
+    for gap in (hashing.WHITE, hashing.NOT_ALNUM):
+        for fold in (True, False):
+            for got, expected in zip(hashing.words(data, gap, fold), plain_words(data, gap, fold), strict=True):
+                assert list(got) == list(expected)
+
+
+def test_words_are_hashed_without_an_array_of_numbers_for_all_bytes():
+    """Eight bytes for each of the text, and more than once, were at work before."""
+    data = np.frombuffer(b"a word or two " * 200_000, np.uint8)
+    tracemalloc.start()
+    hashing.words(data, np.ones(256, bool))
+    hashing._sums(hashing._FOLDED, data, np.array([0, len(data)]))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 6 * len(data)
