@@ -127,3 +127,34 @@ def test_profile_rules(spark):
     assert ("PARTITION_OPPORTUNITY", "part", "low") in got and ("PARTITION_OPPORTUNITY", "day", "low") in got
     assert ("REDUNDANT_COLUMN", "one", "low") in got and ("MISSING_CONSTRAINT", "key", "medium") in got
     assert ("MISSING_CONSTRAINT", "part", "low") not in got
+
+
+def test_what_some_rows_refute_does_not_travel(spark):
+    """Rows meet the groups of a determinant with the hashes of those columns only that it may determine."""
+    made = [f"id % {k} AS v{i}" for i, k in enumerate((500, 499, 491, 487, 479, 467, 463))]
+    df = spark.range(30_000).selectExpr(*made, "'x' AS same", "id % 500 * 0.5D AS half", "IF(id = 29999, 1, id % 499) AS nearly")
+    names = df.columns
+    got = E.dependencies(df, names, names)
+    held = {(a, "same", int(a[1:]) and k or 500) for a, k in zip(names, (500, 499, 491, 487, 479, 467, 463), strict=False)}
+    held |= {("half", "same", 500), ("nearly", "same", 499), ("v0", "half", 500), ("half", "v0", 500)}
+    assert {tuple(r) for r in got.collect()} == held
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("min(") <= 3 and plan.count("Generate") == 2  # ten columns: one hash each before
+
+
+def test_values_that_stand_for_themselves(spark):
+    """Both zeros, not-a-number and the ends of the types are values of their own, as their texts are."""
+    rows = [(0.0, 1, 2**63 - 1, True), (-0.0, 2, -(2**63), False), (float("nan"), 3, 0, None), (float("inf"), 4, -1, True), (1.5, 5, 1, False)]
+    df = spark.createDataFrame(rows * 3, "f double, i int, b bigint, t boolean").selectExpr("*", "CAST(f AS FLOAT) AS g", "CAST(f AS STRING) AS s", "date_add(DATE'2020-01-01', i) AS d")
+    names, shown = df.columns, df.selectExpr(*[f"CAST({c} AS STRING) AS {c}" for c in df.columns])
+    got = {tuple(r) for r in E.dependencies(df, names, names).collect()}
+    assert got == {tuple(r) for r in E.dependencies(shown, names, names).collect()}
+    assert ("f", "i", 5) in got and ("i", "t", 4) in got and ("t", "i", 2) not in got
+
+
+def test_refuting_rows_do_not_depend_on_their_order(spark):
+    df = spark.range(4000).selectExpr("id AS a", "id % 40 AS b", "IF(id = 3999, 7, id % 40 % 5) AS c")
+    few = E.Options(probe_values=2, probe_share=3)
+    expected = {("a", "b", 4000), ("a", "c", 4000)}
+    for rows in (df, df.orderBy(F.desc("a")), df.repartition(5, "c")):
+        assert {tuple(r) for r in E.dependencies(rows, df.columns, df.columns, few).collect()} == expected
