@@ -104,10 +104,11 @@ class Encoder:
             self.bytes[i] = len(token)
         self.forget()
         if path in _KNOWN:
-            self.names, self.start, self.size, self.flat = _KNOWN[path]
+            self.names, self.start, self.size, self.flat, self.seen = _KNOWN[path]
 
     def forget(self) -> None:
         self.names, self.start, self.size, self.flat = np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint16)
+        self.seen = np.zeros(0, bool)
         self.new: list[tuple] = []
         self.n_new = 0
 
@@ -157,6 +158,7 @@ class Encoder:
         known = self.names[at] == names if len(self.names) else np.zeros(len(names), bool)
         start, size = np.zeros(len(names), np.int64), np.zeros(len(names), np.int64)
         start[known], size[known] = self.start[at[known]], self.size[at[known]]
+        self.seen[at[known]] = True
         single, joined = np.flatnonzero(~known & alone), np.flatnonzero(~known & ~alone)
         found = self.tokenizer.encode_batch_fast([raw[begin[i] : stop[i]].decode() for i in single], add_special_tokens=False)
         parts = [np.array(e.ids, np.uint16) for e in found]
@@ -177,17 +179,27 @@ class Encoder:
 
     def remember(self) -> None:
         if len(self.names) + self.n_new > self.MOST:
-            self.forget()
-            return
+            self.forget_unseen()
         names = np.concatenate([self.names, *(n for n, _, _ in self.new)])
         size = np.concatenate([self.size, *(s for _, s, _ in self.new)])
         fresh = np.concatenate([s for _, s, _ in self.new])
         start = np.concatenate([self.start, len(self.flat) + np.cumsum(fresh) - fresh])
         self.flat = np.concatenate([self.flat, *(f for _, _, f in self.new)])
+        seen = np.concatenate([self.seen, np.zeros(self.n_new, bool)])
         self.names, order = np.unique(names, return_index=True)
-        self.start, self.size = start[order], size[order]
+        self.start, self.size, self.seen = start[order], size[order], seen[order]
         self.new, self.n_new = [], 0
 
+    def forget_unseen(self) -> None:
+        """Pieces that came again since this was done last stay, if they are no more than half of MOST."""
+        keep = np.flatnonzero(self.seen)
+        if 2 * len(keep) > self.MOST or len(keep) + self.n_new > self.MOST:
+            keep = keep[:0]
+        start, size = self.start[keep], self.size[keep]
+        place = np.cumsum(size) - size
+        self.flat = self.flat[np.arange(size.sum()) + np.repeat(start - place, size)]
+        self.names, self.start, self.size, self.seen = self.names[keep], place, size, np.zeros(len(keep), bool)
+
 
 _READ = "curve long, text_hash long, doc_id {id}, doc_tokens long, full array<long>, rest binary"
 
@@ -214,7 +226,7 @@ def _encode(path: str, size: int):
                     + [pa.array(np.diff(start)), pa.array(full, pa.list_(pa.int64())), pa.array(rest, pa.binary())],
                     names=["curve", "text_hash", "doc_id", "doc_tokens", "full", "rest"],
                 )
-        _KNOWN[path] = (encoder.names, encoder.start, encoder.size, encoder.flat)
+        _KNOWN[path] = (encoder.names, encoder.start, encoder.size, encoder.flat, encoder.seen)
 
     return encode
 

@@ -3,10 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import hashing, ngram_join
+from plumbline.llm import hashing, ngram_join, packing
 from tests.llm.test_llm_operators import docs_of, linked_components, made, shingle_set
 
 
@@ -75,3 +76,26 @@ def test_words_are_hashed_without_an_array_of_numbers_for_all_bytes():
     most = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert most < 6 * len(data)
+
+
+def test_encoder_keeps_pieces_that_come_again(monkeypatch):
+    """Rare pieces alone are forgotten when too many are held; ids stay those of the tokenizer."""
+    monkeypatch.setattr(packing, "_KNOWN", {})
+    monkeypatch.setattr(packing.Encoder, "MOST", 120_000)
+    encoder = packing.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    common = [f"often{i}" for i in range(500)]
+    for turn in range(6):
+        rare = [f"once{turn}x{i}" for i in range(30_000)]
+        text = " ".join(common + rare + ["é\n\n ünd,"] + common)
+        _, data, ends = next(hashing.blocks([text.encode()]))
+        ids = encoder.block(data, ends)[0]
+        assert ids[:-1].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(encoder.names) + encoder.n_new <= 120_000 + 50_000
+    if encoder.new:
+        encoder.remember()
+    _, data, ends = next(hashing.blocks([" ".join(common).encode()]))
+    encoder.block(data, ends)
+    held = len(encoder.names)
+    assert encoder.seen.sum() >= 499
+    encoder.forget_unseen()
+    assert 499 <= len(encoder.names) < 1_100 < held
